@@ -86,4 +86,10 @@ def parse_candidates(text: Column) -> list[Column]:
     general = F.coalesce(trimmed.try_cast("timestamp_ntz"), *[
         F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in DAY_FORMATS
     ])
-    return [general] + [F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz") for f in MONTH_FORMATS]
+    months = []
+    for f in MONTH_FORMATS:
+        parsed = F.try_to_timestamp(trimmed, F.lit(f)).cast("timestamp_ntz")
+        if "yyyy" not in f:  # two digits mean 1969 to 2068
+            parsed = F.when(F.year(parsed) > 2068, F.add_months(parsed, -1200).cast("timestamp_ntz")).otherwise(parsed)
+        months.append(parsed)
+    return [general] + months

@@ -39,7 +39,7 @@ def rank_tfidf(docs: DataFrame, query: str, text: str, limit: int | None = None,
         return out.limit(limit) if limit else out
     distinct = list(dict.fromkeys(wanted))
     counted = docs.withColumn("_tokens", tx.tokens(F.col(text))).withColumn(
-        "_tf", F.array(*[F.size(F.filter("_tokens", lambda t, q=q: t == q)) for q in distinct])
+        "_tf", F.array(*[_uses("_tokens", q) for q in distinct])
     )
     size = counted.agg(F.count("*").alias("_docs"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(distinct))])
     vocabulary = counted.select(F.explode("_tokens").alias("t")).distinct().agg(F.count("*").alias("_vocabulary"))
@@ -57,6 +57,10 @@ def rank_tfidf(docs: DataFrame, query: str, text: str, limit: int | None = None,
     return out.limit(limit) if limit else out
 
 
+def _uses(tokens: str, token: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t == token))
+
+
 def hash_embedding(docs: DataFrame, text: str, id_column: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Sparse signed-hash vectors of unit length: ``id, bucket, weight``; zero weights are left out."""
     words = tx.words(F.replace(F.lower(text), F.lit("_"), F.lit(" ")))

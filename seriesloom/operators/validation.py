@@ -105,6 +105,21 @@ def mae_improvement(metrics: DataFrame, baseline: DataFrame, keys: Sequence[str]
         F.col("before") != 0, (F.col("before") - F.col("after")) / F.col("before") * 100).otherwise(0.0))
 
 
+def evaluation_report(metrics: DataFrame, keys: Sequence[str] = (), baseline: str = "last_value") -> DataFrame:
+    """``keys, candidate, rows, mae, baseline_mae, reduction_percent, acceptance`` of the best candidate per key."""
+    row = F.struct("candidate", "rows", "mae")
+    best = metrics.groupBy(*keys).agg(
+        F.min_by(row, F.struct("mae", "candidate")).alias("_b"),
+        F.max(F.when(F.col("candidate") == baseline, F.col("mae"))).alias("baseline_mae"),
+    )
+    mae, before = F.col("_b.mae"), F.col("baseline_mae")
+    return best.select(
+        *keys, "_b.candidate", "_b.rows", mae.alias("mae"), "baseline_mae",
+        F.when(before != 0, (before - mae) / before * 100).otherwise(0.0).alias("reduction_percent"),
+        F.when(mae.isNotNull() & ~F.isnan(mae) & (F.abs(mae) < float("inf")), "passed").otherwise("failed").alias("acceptance"),
+    )
+
+
 def prediction_samples(predictions: DataFrame, limit: int = 160, keys: Sequence[str] = (), order: Sequence[str] = ("idx",)) -> DataFrame:
     """Evenly spaced rows from first to last: ``keys, position, actual, predicted, error``.
 

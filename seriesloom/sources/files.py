@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -38,27 +36,20 @@ def largest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
     return list_files(spark, folder, pattern).orderBy(F.desc("length"), "path").limit(1)
 
 
-def file_shapes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, header, columns, rows`` per CSV file; rows are the records after the header.
+def file_shapes(spark: SparkSession, folder: str, multi_line: bool = False, pattern: str = "*.csv") -> DataFrame:
+    """``path, header, columns, rows`` per CSV file below a folder; rows are the parsed records after the header.
 
-    Record fields are not parsed: blank lines are left out and a line that leaves a quote open is joined to the count of the next by
-    its quote parity, so quoted line breaks do not add rows.
+    ``multi_line`` counts records with line breaks inside quotes as one, at the price of one task per file.
     """
-    lines = spark.read.text(list(paths) if not isinstance(paths, str) else paths, pathGlobFilter="*.csv", recursiveFileLookup=True)
-    placed = lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_at"), "value",
-    )
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    # A record broken over lines has one opening and one closing line with an odd number of quotes, and blank-free lines between
-    # them have none: rows = lines - lines inside quotes. Each odd pair spans whole lines, counted here as one break per pair.
-    per_file = placed.where(F.trim("value") != "").groupBy("path").agg(
-        F.min_by("value", F.struct("_block", "_at")).alias("header"), F.count("*").alias("_lines"),
-        F.count_if(quotes % 2 == 1).alias("_odd"),
+    found = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
+    records = spark.read.options(**found).schema("first string").option("multiLine", multi_line).option("escape", '"').csv(folder)
+    counts = records.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg((F.count("*") - 1).alias("rows"))
+    starts = spark.read.options(**found).text(folder).where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"), "value"
     )
-    names = F.transform(F.split("header", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    return per_file.select("path", names.alias("header"), F.size(names).alias("columns"),
-                           (F.col("_lines") - 1 - F.floor(F.col("_odd") / 2)).alias("rows"))
+    first = starts.groupBy("path").agg(F.min_by("value", "_at").alias("_line"))
+    names = F.transform(F.split("_line", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
+    return counts.join(first, "path").select("path", names.alias("header"), F.size(names).alias("columns"), "rows")
 
 
 class FrameCache:
