@@ -61,8 +61,8 @@ def file_shape(t):
     return files.file_shapes(spark, root).select(name.alias("name"), "columns", "rows")
 
 
-@query("build_catalog", """SELECT 'acme--daily-store-orders' AS id, 'acme/daily-store-orders' AS ref, 'Daily Store Orders' AS title, 'sales' AS domain, true AS is_time_series, count(*) AS row_count, 6 AS column_count FROM orders
-UNION ALL SELECT 'acme--big_customer-list', 'acme/big_customer-list', 'Big Customer List', 'finance', false, count(*), 5 FROM customer UNION ALL SELECT 'shop--energy-parts', 'shop/energy-parts', 'Energy Parts', 'finance', false, count(*), 6 FROM part""")
+@query("build_catalog", """SELECT 'acme--daily-store-orders' AS id, 'acme/daily-store-orders' AS ref, 'Daily Store Orders' AS title, 'finance' AS domain, true AS is_time_series, count(*) AS row_count, 6 AS column_count FROM orders
+UNION ALL SELECT 'acme--big_customer-list', 'acme/big_customer-list', 'Big Customer List', 'general', false, count(*), 5 FROM customer UNION ALL SELECT 'shop--energy-parts', 'shop/energy-parts', 'Energy Parts', 'finance', false, count(*), 6 FROM part""")
 def build_catalog(t):
     spark, root = folders(t)
     return catalog.build_catalog(spark, root).select("id", "ref", "title", "domain", "is_time_series", "row_count", "column_count")

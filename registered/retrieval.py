@@ -10,20 +10,21 @@ from seriesloom.plans.search import search_catalog as run_search
 QUERY = "the rest of that and her region"
 
 
+# The white space of the library as one character class.
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def toks(c: str) -> str:
-    # The same white space as the library, with the characters outside ASCII written out.
-    space = r"[\s\x0B\x1C-\x1F" + "\x85   -     　" + "]+"
-    return f"list_transform(list_filter(regexp_split_to_array({c}, '{space}'), lambda w: length(w) > 2), lambda w: lower(trim(w, '.,:;()[]')))"
+    return f"list_transform(list_filter(regexp_split_to_array({c}, '{SPACE}'), lambda w: length(w) > 2), lambda w: lower(trim(w, '.,:;()[]')))"
 
 
 def words(c: str) -> str:
-    space = r"[\s\x0B\x1C-\x1F" + "\x85   -     　" + "]+"
-    return f"list_filter(regexp_split_to_array({c}, '{space}'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({c}, '{SPACE}'), lambda w: w <> '')"
 
 
 @query("tokenize", f"SELECT token, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) GROUP BY 1")
 def tokenize(t):
-    tokens = t("documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
+    tokens = text.token_rows(t("documents").select("doc_id", "text"), "text").select("doc_id", "token")
     per_doc = tokens.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("token").agg(F.sum("c").alias("uses"), F.count("*").alias("docs"))
 

@@ -19,8 +19,20 @@ def kurtosis_g2(c: Column) -> Column:
 
 def safe_corr(a: Column, b: Column) -> Column:
     """Pearson correlation over complete pairs; 0 with fewer than three pairs or without variance."""
-    pairs = F.count(F.when(a.isNotNull() & b.isNotNull(), F.lit(1)))
-    return F.coalesce(F.when(pairs >= 3, F.nanvl(F.corr(a, b), F.lit(0.0))), F.lit(0.0))
+    return F.coalesce(F.when(F.regr_count(a, b) >= 3, pearson(a, b)), F.lit(0.0))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson correlation over complete pairs, null or 0 without variance.
+
+    ``corr`` divides by zero for a constant column, which is an error in ANSI mode; the coefficient of determination does not.
+    """
+    return F.signum(F.covar_pop(a, b)) * F.sqrt(F.regr_r2(a, b))
+
+
+def percent(part: Column, all_: Column) -> Column:
+    """Share in percent, null when there is nothing."""
+    return F.try_divide(part * 100.0, all_)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
 
-# What counts as white space between words, as a character class.
-SPACE = r"[\s\x0B\x1C-\x1F\x85   -     　]"
+from pyspark.sql import Column, DataFrame, functions as F
+
+# White space besides the ASCII kind that a regular expression's \s covers.
+OTHER_SPACES = (
+    "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003"
+    "\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Punctuation taken off both ends of a token.
 TOKEN_EDGE = ".,:;()[]"
 # Shapes of text that look like a date, and the shape of a clock time.
@@ -17,9 +22,14 @@ MONTH_FORMATS = ("yy-MMM", "yyyy-MMM", "MMM-yy", "MMM-yyyy", "MM-yyyy", "yyyy-MM
 DAY_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M-d-yyyy", "yyyy/M/d")
 
 
+def plain_space(text: Column) -> Column:
+    """Every kind of white space outside ASCII as a blank, so that the cheap ``\\s`` is enough afterwards."""
+    return F.translate(text, OTHER_SPACES, " " * len(OTHER_SPACES))
+
+
 def words(text: Column) -> Column:
     """Non-empty words between white space."""
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    return F.filter(F.split(plain_space(text), r"\s+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -32,6 +42,21 @@ def tokens(text: Column) -> Column:
     return F.transform(kept, lambda w: F.lower(F.btrim(w, F.lit(TOKEN_EDGE))))
 
 
+def token_uses(text: Column, wanted: list[str]) -> Column:
+    """The tokens of a text that are among ``wanted``, in order and with repeats, found in one pass over the text."""
+    edge = "[" + re.escape(TOKEN_EDGE) + "]*"
+    options = "|".join(re.escape(w) for w in sorted(set(wanted), key=len, reverse=True))
+    # Between white space (or the ends), three characters or more, punctuation only at the edges.
+    pattern = rf"(?<!\S)(?=\S{{3}}){edge}({options}){edge}(?!\S)"
+    return F.regexp_extract_all(F.lower(plain_space(text)), F.lit(pattern), F.lit(1))
+
+
+def token_rows(df: DataFrame, text: str, into: str = "token") -> DataFrame:
+    """One row per token, the same tokens as ``tokens``; cheaper than exploding that array."""
+    exploded = df.withColumn(into, F.explode(F.split(F.lower(plain_space(F.col(text))), r"\s+"))).where(F.length(into) > 2)
+    return exploded.withColumn(into, F.btrim(into, F.lit(TOKEN_EDGE)))
+
+
 def name_tokens(name: Column) -> Column:
     """Distinct words of a column name longer than two characters (underscores and hyphens separate)."""
     parts = F.split(F.trim(F.translate(F.lower(name), "_-", "  ")), " +")

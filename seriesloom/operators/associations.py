@@ -25,9 +25,9 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     out = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         chunk = pairs[start:start + PAIRS_PER_SCAN]
-        wide = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
+        wide = df.agg(*[stats.pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
         rows = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.nanvl(f"_{i}", F.lit(None)).alias("correlation"))
+            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"_{i}").alias("correlation"))
             for i, (a, b) in enumerate(chunk)
         ])))
         out = rows if out is None else out.unionByName(rows)
@@ -39,7 +39,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def target_corr(df: DataFrame, target: str, top: int = 10) -> DataFrame:
     """``feature, correlation``: absolute correlation with the target, strongest first."""
     columns = [c for c in numeric_columns(df) if c != target]
-    wide = df.agg(*[F.abs(F.nanvl(F.corr(c, target), F.lit(None))).alias(c) for c in columns])
+    wide = df.agg(*[F.abs(stats.pearson(F.col(c), F.col(target))).alias(c) for c in columns])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in columns
     ]))).where("correlation is not null").orderBy(F.desc("correlation"), "feature").limit(top)
@@ -108,7 +108,7 @@ def eta_squared(df: DataFrame, target: str, features: Sequence[str] | None = Non
     ])).alias("p")).select("y", "p.*")
     groups = stacked.groupBy("feature", "v").agg(F.count("*").alias("c"), F.avg("y").alias("m"))
     between = attach(groups, total).groupBy("feature").agg(
-        (F.sum(F.col("c") * F.pow(F.col("m") - F.col("_mean"), 2)) / (F.max("_n") * F.max("_var"))).alias("_eta")
+        F.try_divide(F.sum(F.col("c") * F.pow(F.col("m") - F.col("_mean"), 2)), F.max("_n") * F.max("_var")).alias("_eta")
     )
     eta = F.least(F.coalesce(F.nanvl("_eta", F.lit(None)), F.lit(0.0)), F.lit(1.0))
     return between.select(

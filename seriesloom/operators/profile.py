@@ -166,7 +166,7 @@ def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
             "median": F.lit(quartiles[c][1]).cast("double") if c in numeric else null,
             "std": F.stddev_pop(v) if c in numeric else null,
             "variance": F.var_pop(v) if c in numeric else null,
-            "outlier_percent": F.count_if(outside) * 100.0 / F.count(F.col(c)) if c in numeric else null,
+            "outlier_percent": stats.percent(F.count_if(outside), F.count(F.col(c))) if c in numeric else null,
             "words": F.avg(text.word_count(F.col(c))) if c in strings else null,
         }
     wide = named_rows(df, "column", facts)
@@ -271,7 +271,7 @@ def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> Data
             "mean": F.avg(c), "median": F.lit(quartiles[c][1]).cast("double"), "std": F.stddev_pop(c),
             "variance": F.var_pop(c), "min": F.min(F.col(c).cast("double")), "max": F.max(F.col(c).cast("double")),
             "skewness": stats.skewness_g1(F.col(c)), "kurtosis": stats.kurtosis_g2(F.col(c)),
-            "outlier_percent": F.count_if(outside) * 100.0 / F.count(c),
+            "outlier_percent": stats.percent(F.count_if(outside), F.count(c)),
         }
     return named_rows(df, "column", facts)
 
@@ -329,7 +329,7 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float
         outside = F.count_if((F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high)))
         facts[c] = {
             "low": F.lit(low).cast("double"), "high": F.lit(high).cast("double"), "outliers": outside,
-            "percent": outside * 100.0 / F.count(c) if iqr else F.lit(0.0),
+            "percent": stats.percent(outside, F.count(c)) if iqr else F.lit(0.0),
         }
     return named_rows(df, "column", facts)
 

@@ -30,19 +30,19 @@ def tags_from_text(text: Column | str, domain: Column) -> Column:
 def rank_tfidf(docs: DataFrame, query: str, text: str, limit: int | None = None, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with ``score``, best first.
 
-    Term counts of the query's tokens are taken on each row, so documents are not shuffled; only the vocabulary size needs the
-    distinct tokens of all documents.
+    Uses of the query's tokens are counted on each row, so documents are not shuffled; only the vocabulary size needs the distinct
+    tokens of all documents.
     """
     wanted = query_tokens(query)
     if not wanted:
         out = docs.withColumn("score", F.lit(None).cast("double")).orderBy(id_column)
         return out.limit(limit) if limit else out
     distinct = list(dict.fromkeys(wanted))
-    counted = docs.withColumn("_tokens", tx.tokens(F.col(text))).withColumn(
-        "_tf", F.array(*[_uses("_tokens", q) for q in distinct])
+    counted = docs.withColumn("_hits", tx.token_uses(F.col(text), distinct)).withColumn(
+        "_tf", F.array(*[_uses("_hits", q) for q in distinct])
     )
     size = counted.agg(F.count("*").alias("_docs"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(distinct))])
-    vocabulary = counted.select(F.explode("_tokens").alias("t")).distinct().agg(F.count("*").alias("_vocabulary"))
+    vocabulary = tx.token_rows(docs.select(text), text).select("token").distinct().agg(F.count("*").alias("_vocabulary"))
     facts = attach(size, vocabulary)
     score = F.lit(0.0)
     for i, q in enumerate(distinct):
@@ -52,7 +52,7 @@ def rank_tfidf(docs: DataFrame, query: str, text: str, limit: int | None = None,
     scored = attach(counted, facts).withColumn(
         "score", F.least(F.lit(0.99), F.lit(0.55) + score / F.greatest(F.col("_vocabulary"), F.lit(1)))
     )
-    out = scored.drop("_tokens", "_tf", "_docs", "_vocabulary", *[f"_df{i}" for i in range(len(distinct))])
+    out = scored.drop("_hits", "_tf", "_docs", "_vocabulary", *[f"_df{i}" for i in range(len(distinct))])
     out = out.orderBy(F.desc("score"), id_column)
     return out.limit(limit) if limit else out
 
@@ -63,8 +63,8 @@ def _uses(tokens: str, token: str) -> Column:
 
 def hash_embedding(docs: DataFrame, text: str, id_column: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Sparse signed-hash vectors of unit length: ``id, bucket, weight``; zero weights are left out."""
-    words = tx.words(F.replace(F.lower(text), F.lit("_"), F.lit(" ")))
-    exploded = docs.select(id_column, F.explode(words).alias("_w"))
+    pieces = F.split(F.translate(F.lower(tx.plain_space(F.col(text))), "_", " "), r"\s+")
+    exploded = docs.select(id_column, F.explode(pieces).alias("_w")).where("_w != ''")
     digest = F.sha2("_w", 256)
     little_endian = F.concat(*[F.substring(digest, p, 2) for p in (7, 5, 3, 1)])
     bucket = F.conv(little_endian, 16, 10).cast("long") % dimensions

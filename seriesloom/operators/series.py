@@ -228,7 +228,8 @@ def forward_backward_fill(indexed: DataFrame, columns: Sequence[str], keys: Sequ
     own = in_blocks(indexed, 0)
     inside = Window.partitionBy(*keys, "_block").orderBy("idx")
     before = inside.rowsBetween(Window.unboundedPreceding, 0)
-    after = inside.rowsBetween(0, Window.unboundedFollowing)
+    # Looking ahead is looking back in reverse order: a frame that only grows, instead of one evaluated anew per row.
+    after = Window.partitionBy(*keys, "_block").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
     edges = own.groupBy(*keys, "_block").agg(*[
         x for i, c in enumerate(columns) for x in (
             F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(f"_last{i}"),
@@ -237,16 +238,16 @@ def forward_backward_fill(indexed: DataFrame, columns: Sequence[str], keys: Sequ
     ])
     blocks = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block")
     earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    later = blocks.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(*keys, "_block", *[
         x for i, _ in enumerate(columns) for x in (
             F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_from_before{i}"),
-            F.first(f"_first{i}", ignorenulls=True).over(later).alias(f"_from_after{i}"),
+            F.last(f"_first{i}", ignorenulls=True).over(later).alias(f"_from_after{i}"),
         )
     ])
     filled = own.withColumns({
-        f"_fill{i}": F.coalesce(F.last(c, ignorenulls=True).over(before)) for i, c in enumerate(columns)
-    } | {f"_next{i}": F.first(c, ignorenulls=True).over(after) for i, c in enumerate(columns)})
+        f"_fill{i}": F.last(c, ignorenulls=True).over(before) for i, c in enumerate(columns)
+    } | {f"_next{i}": F.last(c, ignorenulls=True).over(after) for i, c in enumerate(columns)})
     joined = attach(filled, carried, [*keys, "_block"])
     return joined.select(*[
         F.coalesce(f"_fill{columns.index(c)}", f"_from_before{columns.index(c)}", f"_next{columns.index(c)}",

@@ -98,7 +98,7 @@ def time_candidates(df: DataFrame) -> DataFrame:
     parts = []
     for c, reading in candidates.items():
         facts = gap_stats(df.select(reading.alias("ts")), "ts")
-        parts.append(facts.withColumn("column", F.lit(c)).withColumn("parse_rate", F.col("rows") / rows))
+        parts.append(facts.withColumn("column", F.lit(c)).withColumn("parse_rate", F.col("rows") / max(rows, 1)))
     if not parts:
         return df.sparkSession.createDataFrame([], "column string, name_score double, distinct_times long, parse_rate double")
     every = reduce(DataFrame.unionByName, parts)
@@ -134,7 +134,7 @@ def implicit_index(df: DataFrame, columns: Sequence[str], order_by: Sequence[str
     counts = distinct_counts(df, columns).select("column", "unique_values")
     joined = facts.join(F.broadcast(modal), "column", "left").join(F.broadcast(counts), "column", "left")  # one row per column
     is_index = (
-        (F.col("rows") >= 100) & F.col("integral") & F.col("rising") & (F.col("unique_values") / F.col("rows") > 0.95)
+        (F.col("rows") >= 100) & F.col("integral") & F.col("rising") & (F.col("unique_values") > 0.95 * F.col("rows"))
         & (F.col("lowest") <= 10) & (F.abs(F.col("modal_step") - 1) < 0.01) & ~names.non_time_column(F.col("column"))
     )
     return joined.select("column", "rows", "unique_values", "lowest", "modal_step", F.coalesce(is_index, F.lit(False)).alias("is_index"))

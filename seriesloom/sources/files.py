@@ -14,8 +14,7 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None, multi_li
     Give ``schema`` for big folders: inference reads the data once more. ``multi_line`` allows line breaks inside quotes, at the price of
     one task per file.
     """
-    lines = spark.read.text(path)
-    broken = lines.where(F.col("value").contains("�")).limit(1).count() > 0
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() > 0
     reader = (
         spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("encoding", "ISO-8859-1" if broken else "UTF-8")

@@ -40,10 +40,10 @@ def reconcile_profile(spark: SparkSession, path: str) -> DataFrame:
         F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
     )
     n = F.col("rows") - F.col("missing")
-    mean = F.col("total") / n
+    mean = F.try_divide(F.col("total"), n)
     return sums.select(
         "column", "rows", "missing", mean.alias("mean"),
-        F.sqrt(F.greatest(F.col("squares") / n - mean * mean, F.lit(0.0))).alias("std"), "lowest", "highest",
+        F.sqrt(F.greatest(F.try_divide(F.col("squares"), n) - mean * mean, F.lit(0.0))).alias("std"), "lowest", "highest",
     )
 
 
