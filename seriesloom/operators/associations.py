@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions import names, stats
 from seriesloom.operators.frames import attach, categorical_columns, named_rows, numeric_columns
@@ -18,24 +18,52 @@ PAIRS_PER_SCAN = 400
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``feature1, feature2, correlation`` for every pair of numeric columns (first before second in column order).
 
-    All pairs of up to ``PAIRS_PER_SCAN`` are one aggregate over one scan; wide tables take several scans.
+    Rows with both values count. A first scan takes the means; the second sums products of distances from them, which keeps the
+    sums small and needs one plain sum per pair where no value is missing. Without variance the correlation is null.
     """
     columns = list(columns or numeric_columns(df))
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
+    facts = df.agg(F.count("*").alias("rows"), *[
+        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean")).alias(f"_{c}") for c in columns
+    ]).first()
+    full = {c for c in columns if facts[f"_{c}"]["n"] == facts["rows"]}
+    far = {c: F.col(c).cast("double") - F.lit(facts[f"_{c}"]["mean"] or 0.0) for c in columns}
+    noise = {c: (1e-13 * (facts[f"_{c}"]["mean"] or 0.0)) ** 2 for c in columns}  # rounding of the mean itself
     out = None
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
         chunk = pairs[start:start + PAIRS_PER_SCAN]
-        wide = df.agg(*[stats.pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(chunk)])
+        sums: dict[str, Column] = {"n": F.count("*").cast("double")}
+        results = []
+        for a, b in chunk:
+            if a in full and b in full:
+                sums.setdefault(f"{a}*{a}", F.sum(far[a] * far[a]))
+                sums.setdefault(f"{b}*{b}", F.sum(far[b] * far[b]))
+                sums[f"{a}*{b}"] = F.sum(far[a] * far[b])
+                results.append(_ratio(f"{a}*{b}", f"{a}*{a}", f"{b}*{b}", "n", noise[a], noise[b]))
+            else:
+                x, y = F.when(F.col(b).isNotNull(), far[a]), F.when(F.col(a).isNotNull(), far[b])
+                own = f"{a},{b}:"
+                sums |= {own + "n": F.count(x * y).cast("double"), own + "x": F.sum(x), own + "y": F.sum(y),
+                         own + "xx": F.sum(x * x), own + "yy": F.sum(y * y), own + "xy": F.sum(x * y)}
+                part = lambda p, q: F.col(f"`{own}{p}{q}`") - F.try_divide(F.col(f"`{own}{p}`") * F.col(f"`{own}{q}`"), F.col(f"`{own}n`"))
+                results.append(_ratio(part("x", "y"), part("x", "x"), part("y", "y"), own + "n", noise[a], noise[b]))
+        wide = df.agg(*[c.alias(name) for name, c in sums.items()])
         rows = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), F.col(f"_{i}").alias("correlation"))
-            for i, (a, b) in enumerate(chunk)
+            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), r.alias("correlation"))
+            for (a, b), r in zip(chunk, results)
         ])))
         out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
     return out
 
 
+def _ratio(xy: Column | str, xx: Column | str, yy: Column | str, n: str, noise_x: float, noise_y: float) -> Column:
+    xy, xx, yy = (F.col(f"`{c}`") if isinstance(c, str) else c for c in (xy, xx, yy))
+    varies = (xx > F.col(f"`{n}`") * noise_x) & (yy > F.col(f"`{n}`") * noise_y)
+    return F.when(varies, F.try_divide(xy, F.sqrt(F.greatest(xx, F.lit(0.0))) * F.sqrt(F.greatest(yy, F.lit(0.0)))))
+
+
 def target_corr(df: DataFrame, target: str, top: int = 10) -> DataFrame:
     """``feature, correlation``: absolute correlation with the target, strongest first."""
     columns = [c for c in numeric_columns(df) if c != target]

@@ -45,13 +45,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str] = (), how: str = "left") -> DataFrame:
     """Join per-key facts to rows.
 
-    Without keys ``facts`` is a single row, the only case where a broadcast is forced. With keys the side may have
-    any number of rows, so the strategy is left to the planner; null keys match each other.
+    Without keys ``facts`` is a single row and becomes a scalar subquery. With keys the side may have any number of rows, so the
+    strategy is left to the planner; null keys match each other.
     """
     if not keys:
-        return df.withColumn("_one", F.lit(1)).join(
-            F.broadcast(facts.limit(1).withColumn("_one", F.lit(1))), "_one", how
-        ).drop("_one")
+        packed = facts.select(F.struct(*facts.columns)).scalar().alias("_facts")
+        return df.select("*", packed).select("*", "_facts.*").drop("_facts")
     renamed = facts
     on: Column | None = None
     for i, k in enumerate(keys):

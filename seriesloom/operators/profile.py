@@ -164,7 +164,7 @@ def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
             "max": F.max(v) if c in numeric else null,
             "mean": F.avg(v) if c in numeric else null,
             "median": F.lit(quartiles[c][1]).cast("double") if c in numeric else null,
-            "std": F.stddev_pop(v) if c in numeric else null,
+            "std": F.sqrt(F.var_pop(v)) if c in numeric else null,
             "variance": F.var_pop(v) if c in numeric else null,
             "outlier_percent": stats.percent(F.count_if(outside), F.count(F.col(c))) if c in numeric else null,
             "words": F.avg(text.word_count(F.col(c))) if c in strings else null,
@@ -268,7 +268,7 @@ def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         low, high, iqr = fences.get(c, (None, None, 0.0))
         outside = (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high)) if iqr else F.lit(False)
         facts[c] = {
-            "mean": F.avg(c), "median": F.lit(quartiles[c][1]).cast("double"), "std": F.stddev_pop(c),
+            "mean": F.avg(c), "median": F.lit(quartiles[c][1]).cast("double"), "std": F.sqrt(F.var_pop(c)),
             "variance": F.var_pop(c), "min": F.min(F.col(c).cast("double")), "max": F.max(F.col(c).cast("double")),
             "skewness": stats.skewness_g1(F.col(c)), "kurtosis": stats.kurtosis_g2(F.col(c)),
             "outlier_percent": stats.percent(F.count_if(outside), F.count(c)),

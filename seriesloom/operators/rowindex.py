@@ -16,6 +16,8 @@ from seriesloom.operators.frames import attach
 from seriesloom.session import cut_lineage
 
 BLOCK_ROWS = 1 << 17
+# Offsets (one row per key and partition) are broadcast up to this many rows; beyond it the join shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -40,10 +42,11 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] =
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(same_key).alias("n"),
     )
-    if keys:
-        joined = attach(placed, offsets, [*keys, "_part"], "inner")
-    else:
-        joined = placed.join(F.broadcast(offsets), "_part")  # one row per partition
+    # Kept as well, so that every use of the result is a join without shuffle and nothing is counted twice.
+    offsets = cut_lineage(offsets)
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    joined = attach(placed, offsets, [*keys, "_part"], "inner")
     return joined.withColumn("idx", F.col("_seq") - F.col("_first") + F.col("_before")).drop(
         "_part", "_seq", "_first", "_before"
     )

@@ -108,3 +108,12 @@ def test_token_uses_equal_tokens(spark):
 def test_titles(spark):
     df = spark.createDataFrame([("o/gold-price_history-v2",), ("a--sales-data",), ("plain",), ("a__x-12345",)], "d string")
     assert [r[0] for r in df.select(text.title_from_id(F.col("d"))).collect()] == ["Gold Price History", "Sales", "Plain", "X"]
+
+
+def test_corr_matrix_with_gaps_and_constants(frame):
+    pdf, df = frame
+    wide = df.withColumns({"flat": F.lit(0.1), "twice": F.col("a") * 2 + 1e6, "none": F.lit(None).cast("double")})
+    got = {(r[0], r[1]): r[2] for r in associations.corr_matrix(wide).collect()}
+    assert len(got) == 15
+    assert got["a", "b"] == pytest.approx(pdf["a"].corr(pdf["b"])) and got["b", "k"] == pytest.approx(pdf["b"].corr(pdf["k"]))
+    assert got["a", "twice"] == pytest.approx(1) and got["a", "flat"] is None and got["a", "none"] is None and got["b", "flat"] is None
