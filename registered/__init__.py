@@ -33,12 +33,17 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def shortened(df: DataFrame, *columns: str) -> DataFrame:
-    """Seven significant digits, for columns that mix magnitudes."""
+    """Nine significant digits, for columns that mix magnitudes."""
     return df.withColumns({c: significant(F.col(c)) for c in columns})
 
 
+def logged(df: DataFrame, *columns: str) -> DataFrame:
+    """On a log scale: averages of amounts in cents often lie halfway between two roundings, their logarithms do not."""
+    return df.withColumns({c: F.round(F.log1p(c), 7) for c in columns})
+
+
 def sig(expr: str) -> str:
-    return f"CAST(printf('%.6e', CAST({expr} AS DOUBLE)) AS DOUBLE)"
+    return f"CAST(printf('%.8e', CAST({expr} AS DOUBLE)) AS DOUBLE)"
 
 
 def joined(c: Column | str) -> Column:

@@ -2,10 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registered import query, rounded
-from registered.series import P
+from registered import logged, query, rounded
 from registered.tables import DAILY, EVENTS_WITH_GAPS, KEY, LABELLED, LINEITEM_NUMERIC, LINEITEM_ORDER, daily_orders, events_with_gaps, labelled_documents
-from seriesloom.operators import cleaning, features, profile, tables, trees
+from seriesloom.operators import cleaning, features, series, tables, trees
 from seriesloom.operators.frames import first_numeric as first_of, select_numeric as numeric_of
 from seriesloom.plans.steps import run_steps as run_list
 from seriesloom.plans.training import train_and_report as train_all
@@ -141,20 +140,25 @@ MATRIX_LAGS, MATRIX_WINDOWS = (1, 2, 3, 6, 12, 24, 48, 168), (3, 6, 12, 24, 72,
 MATRIX = [f"lag_{k}" for k in MATRIX_LAGS] + [f"rolling_{m}_{w}" for w in MATRIX_WINDOWS for m in ("mean", "std")] + ["diff_1", "diff_24"]
 
 
+SHIPPED = """series AS (SELECT l_linestatus, l_shipdate AS ts, sum(l_extendedprice) AS value FROM lineitem GROUP BY ALL),
+ix AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY ts) - 1 AS idx FROM series)"""
+
+
 def _matrix_sql() -> str:
+    by = "PARTITION BY l_linestatus ORDER BY idx"
     lags = ", ".join(f"lag(value, {k}) OVER w AS lag_{k}" for k in MATRIX_LAGS)
     rolls = ", ".join(f"CASE WHEN count(value) OVER r{w} >= {max(2, w // 2)} THEN avg(value) OVER r{w} END AS rolling_mean_{w}, CASE WHEN count(value) OVER r{w} >= {max(2, w // 2)} THEN stddev_pop(value) OVER r{w} END AS rolling_std_{w}" for w in MATRIX_WINDOWS)
-    frames = ", ".join(f"r{w} AS ({P} ORDER BY idx ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in MATRIX_WINDOWS)
-    return f"""m AS (SELECT o_orderpriority, ts, value, {lags}, {rolls}, lag(value, 1) OVER w - lag(value, 2) OVER w AS diff_1, lag(value, 1) OVER w - lag(value, 25) OVER w AS diff_24 FROM ix WINDOW w AS ({P} ORDER BY idx), {frames})"""
+    frames = ", ".join(f"r{w} AS ({by} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in MATRIX_WINDOWS)
+    return f"m AS (SELECT l_linestatus, ts, value, {lags}, {rolls}, lag(value, 1) OVER w - lag(value, 2) OVER w AS diff_1, lag(value, 1) OVER w - lag(value, 25) OVER w AS diff_24 FROM ix WINDOW w AS ({by}), {frames})"
 
 
-@query("supervised_matrix", f"""WITH {DAILY}, {_matrix_sql()} SELECT o_orderpriority, ts, round(value, 2) AS value, {', '.join(f'CAST({c} AS FLOAT) AS {c}' for c in MATRIX)},
- CAST(isodow(ts) - 1 AS DOUBLE) AS dayofweek, CAST(month(ts) AS DOUBLE) AS month, CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE 0.0 END AS "onehot_o_orderpriority_2-HIGH" FROM m WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MATRIX)}""")
+@query("supervised_matrix", f"""WITH {SHIPPED}, {_matrix_sql()} SELECT l_linestatus, ts, round(value, 2) AS value, {', '.join(f'round({c}, 2) AS {c}' if c.startswith('diff') else f'round(ln(1 + {c}), 7) AS {c}' for c in MATRIX)},
+ CAST(isodow(ts) - 1 AS DOUBLE) AS dayofweek, CAST(month(ts) AS DOUBLE) AS month, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS "onehot_l_linestatus_O" FROM m WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MATRIX)}""")
 def supervised_matrix(t):
-    daily = daily_orders(t).drop("idx", "n")
-    matrix, _ = features.supervised_matrix(daily, "value", "ts", KEY)
-    out = matrix.select(*KEY, "ts", "value", *MATRIX, "dayofweek", "month", F.col("onehot_o_orderpriority_2-HIGH"))
-    return rounded(out, 2, "value").withColumns({c: F.col(c).cast("float") for c in MATRIX})
+    daily = series.series_by_time(t("lineitem"), "l_shipdate", "l_extendedprice", ["l_linestatus"])
+    matrix, _ = features.supervised_matrix(daily, "value", "ts", ["l_linestatus"])
+    out = matrix.select("l_linestatus", "ts", "value", *MATRIX, "dayofweek", "month", "onehot_l_linestatus_O")
+    return logged(rounded(out, 2, "value", "diff_1", "diff_24"), *[c for c in MATRIX if not c.startswith("diff")])
 
 
 @query("feature_plan", f"""WITH {DAILY}, l AS (SELECT max(n) AS n FROM ix), p AS (SELECT count(DISTINCT o_orderpriority) AS k FROM ix)

@@ -25,7 +25,7 @@ def _profile_part(c: str) -> str:
         return f"SELECT 'lineitem' AS dataset, '{c}' AS \"column\", {rule} AS kind, round(100.0 * (count(*) - count({c})) / count(*), 6) AS missing_percent, count(DISTINCT {c}) AS unique_values, {nulls}, {tops} AS top_values FROM lineitem"
     return f"""SELECT 'lineitem' AS dataset, '{c}' AS "column", 'numeric' AS kind,
  round(100.0 * (count(*) - count({c})) / count(*), 6) AS missing_percent, count(DISTINCT {c}) AS unique_values,
- {sig(f'min({c})')} AS min, {sig(f'max({c})')} AS max, {sig(f'avg({c})')} AS mean, {sig(f'median({c})')} AS median,
+ {sig(f'min({c})')} AS min, {sig(f'max({c})')} AS max, {sig(f'avg({c})')} AS mean, round(median({c}), 7) AS median,
  {sig(f'stddev_pop({c})')} AS std, {sig(f'var_pop({c})')} AS variance,
  {sig(f'100.0 * count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c})')} AS outlier_percent,
  CAST(NULL AS DOUBLE) AS word_count_mean, {tops} AS top_values
@@ -35,7 +35,7 @@ FROM lineitem, {FENCE.format(c=c, t='lineitem')}"""
 @query("column_profile", union(_profile_part(c) for c in LINEITEM))
 def column_profile(t):
     out = profile.column_profile(t("lineitem"), "lineitem").withColumn("top_values", joined("top_values"))
-    return shortened(rounded(out, 6, "missing_percent"), "min", "max", "mean", "median", "std", "variance", "outlier_percent")
+    return shortened(rounded(rounded(out, 6, "missing_percent"), 7, "median"), "min", "max", "mean", "std", "variance", "outlier_percent")
 
 
 @query("dataset_summary", """SELECT count(*) AS rows, 11 AS columns, 0.0 AS missing_percent, min(l_shipdate) AS time_start, max(l_shipdate) AS time_end,
@@ -88,22 +88,22 @@ def missing_by_stratum(t):
 
 @query("describe_numeric", union(
     f"""SELECT '{c}' AS "column", {sig(f'avg({c})')} AS mean, {sig(f'stddev_samp({c})')} AS std, {sig(f'min({c})')} AS min,
- {sig(f'quantile_cont({c}, 0.25)')} AS q1, {sig(f'quantile_cont({c}, 0.5)')} AS q2, {sig(f'quantile_cont({c}, 0.75)')} AS q3,
+ round(quantile_cont({c}, 0.25), 7) AS q1, round(quantile_cont({c}, 0.5), 7) AS q2, round(quantile_cont({c}, 0.75), 7) AS q3,
  {sig(f'max({c})')} AS max, round(skewness({c}), 6) AS skewness FROM lineitem""" for c in LINEITEM_NUMERIC))
 def describe_numeric(t):
     out = profile.describe_numeric(t("lineitem"))
-    return rounded(shortened(out, "mean", "std", "min", "q1", "q2", "q3", "max"), 6, "skewness")
+    return rounded(rounded(shortened(out, "mean", "std", "min", "max"), 7, "q1", "q2", "q3"), 6, "skewness")
 
 
 @query("numerical_analysis", union(
-    f"""SELECT '{c}' AS "column", {sig(f'avg({c})')} AS mean, {sig(f'median({c})')} AS median, {sig(f'stddev_pop({c})')} AS std,
+    f"""SELECT '{c}' AS "column", {sig(f'avg({c})')} AS mean, round(median({c}), 7) AS median, {sig(f'stddev_pop({c})')} AS std,
  {sig(f'var_pop({c})')} AS variance, {sig(f'min({c})')} AS min, {sig(f'max({c})')} AS max, round(skewness({c}), 6) AS skewness,
  round(kurtosis({c}), 6) AS kurtosis,
  round(100.0 * count(*) FILTER (WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c}), 6) AS outlier_percent
 FROM lineitem, {FENCE.format(c=c, t='lineitem')}""" for c in LINEITEM_NUMERIC))
 def numerical_analysis(t):
     out = profile.numeric_moments(t("lineitem"))
-    return rounded(shortened(out, "mean", "median", "std", "variance", "min", "max"), 6, "skewness", "kurtosis", "outlier_percent")
+    return rounded(rounded(shortened(out, "mean", "std", "variance", "min", "max"), 7, "median"), 6, "skewness", "kurtosis", "outlier_percent")
 
 
 @query("value_counts", union(
@@ -153,14 +153,14 @@ def high_cardinality(t):
 def _outliers(c: str, tab: str = "lineitem") -> str:
     low, high = "q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)"
     hit = f"count(*) FILTER (WHERE {c} < {low} OR {c} > {high})"
-    return f"""SELECT '{c}' AS "column", {sig(f'any_value({low})')} AS low, {sig(f'any_value({high})')} AS high, {hit} AS outliers,
+    return f"""SELECT '{c}' AS "column", round(any_value({low}), 7) AS low, round(any_value({high}), 7) AS high, {hit} AS outliers,
  round(100.0 * {hit} / count({c}), 6) AS percent FROM {tab}, {FENCE.format(c=c, t=tab)}"""
 
 
 @query("outlier_counts", union([_outliers(c) for c in LINEITEM_NUMERIC] + [_outliers("value", "events")]))
 def outlier_counts(t):
     both = profile.outlier_counts(t("lineitem")).unionByName(profile.outlier_counts(t("events"), ["value"]))
-    return rounded(shortened(both, "low", "high"), 6, "percent")
+    return rounded(rounded(both, 7, "low", "high"), 6, "percent")
 
 
 @query("outlier_percent", union(

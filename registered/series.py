@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registered import joined, query, rounded
+from registered import joined, logged, query, rounded
 from registered.tables import DAILY, EVENTS_WITH_GAPS, KEY, LINEITEM_ORDER, daily_orders, events_with_gaps
 from seriesloom.functions import names
 from seriesloom.operators import features, pairing, profile, rowindex, series, timeaxis, validation
@@ -81,15 +81,15 @@ def noise_ratio(t):
     return rounded(series.noise_ratio(daily_orders(t), KEY), 6, "noise_ratio")
 
 
-@query("rolling_mean", f"WITH {DAILY}, {ROLL} SELECT o_orderpriority, idx, round(rolling, 6) AS rolling FROM rm")
+@query("rolling_mean", f"WITH {DAILY}, {ROLL} SELECT o_orderpriority, idx, round(ln(1 + rolling), 7) AS rolling FROM rm")
 def rolling_mean(t):
-    return rounded(series.rolling_mean(daily_orders(t), KEY).select(*KEY, "idx", "rolling"), 6, "rolling")
+    return logged(series.rolling_mean(daily_orders(t), KEY).select(*KEY, "idx", "rolling"), "rolling")
 
 
-@query("regime_changes", f"""WITH {DAILY}, {ROLL}, hits AS (SELECT st.o_orderpriority, CAST(row_number() OVER (PARTITION BY st.o_orderpriority ORDER BY idx) AS INT) AS rank, idx, ts, round(step, 6) AS step
+@query("regime_changes", f"""WITH {DAILY}, {ROLL}, hits AS (SELECT st.o_orderpriority, CAST(row_number() OVER (PARTITION BY st.o_orderpriority ORDER BY idx) AS INT) AS rank, idx, ts, round(ln(1 + step), 7) AS step
  FROM st JOIN lim USING (o_orderpriority) WHERE rolled > 10 AND step > lim) SELECT * FROM hits WHERE rank <= 5""")
 def regime_changes(t):
-    return rounded(series.regime_changes(daily_orders(t), KEY), 6, "step")
+    return logged(series.regime_changes(daily_orders(t), KEY), "step")
 
 
 @query("drift_score", f"WITH {DAILY}, d AS (SELECT o_orderpriority, {DRIFT} AS drift FROM ix GROUP BY 1) SELECT o_orderpriority, round(drift, 6) AS drift, round(least(drift / 3, 1), 6) AS drift_score, CASE WHEN drift < 1.2 THEN 'stable' ELSE 'shifted' END AS behavior FROM d")
@@ -239,7 +239,7 @@ def lag_features(t):
 def _rolling(width: int, end: str) -> str:
     frame = f"{P} ORDER BY idx ROWS BETWEEN {width if end == '1' else width - 1} PRECEDING AND {'1 PRECEDING' if end == '1' else 'CURRENT ROW'}"
     enough = f"count(value) OVER ({frame}) >= {max(2, width // 2)}"
-    return f"CASE WHEN {enough} THEN CAST(avg(value) OVER ({frame}) AS FLOAT) END AS rolling_mean_{width}, CASE WHEN {enough} THEN round(stddev_pop(value) OVER ({frame}), 3) END AS rolling_std_{width}"
+    return f"CASE WHEN {enough} THEN round(ln(1 + avg(value) OVER ({frame})), 7) END AS rolling_mean_{width}, CASE WHEN {enough} THEN round(ln(1 + stddev_pop(value) OVER ({frame})), 7) END AS rolling_std_{width}"
 
 
 WINDOWS = (3, 6, 12, 24, 72, 168)
@@ -247,7 +247,7 @@ ROLLED = [f"rolling_{m}_{w}" for w in WINDOWS for m in ("mean", "std")]
 
 
 def _rounded_rolling(df):
-    return rounded(df, 3, *ROLLED[1::2]).withColumns({c: F.col(c).cast("float") for c in ROLLED[0::2]})
+    return logged(df, *ROLLED)
 
 
 @query("rolling_features", f"WITH {DAILY} SELECT o_orderpriority, idx, {', '.join(_rolling(w, '1') for w in WINDOWS)} FROM ix")

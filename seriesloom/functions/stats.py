@@ -55,6 +55,6 @@ def trend_label(first: Column, last: Column) -> Column:
     return F.when(last > first, "up").when(last < first, "down").otherwise("stable")
 
 
-def significant(c: Column, digits: int = 7) -> Column:
+def significant(c: Column, digits: int = 9) -> Column:
     """Round to significant digits; used where one output column mixes magnitudes."""
     return F.when(c.isNotNull(), F.format_string(f"%.{digits - 1}e", c.cast("double")).cast("double"))

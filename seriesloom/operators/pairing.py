@@ -33,17 +33,24 @@ def lookup_timestamp(points: DataFrame, source: DataFrame, keys: Sequence[str] =
     return attach(points, source.select(*keys, "idx", "ts"), [*keys, "idx"])
 
 
-def assign_fold(indexed: DataFrame, folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows with ``fold`` and ``part`` (train or test): one copy per fold the row takes part in.
+def with_folds(indexed: DataFrame, folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every row once per fold of its key, with the fold's bounds.
 
     There are at most five folds per key, so they are gathered into one array per key, attached, and unfolded on the row.
     """
-    packed = folds.groupBy(*keys).agg(F.collect_list(F.struct("fold", "train_end", "test_start", "test_end")).alias("_folds"))
+    bounds = ["fold", "train_end", "test_start", "test_end"]
+    packed = folds.groupBy(*keys).agg(F.collect_list(F.struct(*bounds)).alias("_folds"))
     rows = attach(indexed, packed, keys, "inner").withColumn("_f", F.explode("_folds"))
-    part = F.when(F.col("idx") < F.col("_f.train_end"), "train").when(
-        (F.col("idx") >= F.col("_f.test_start")) & (F.col("idx") < F.col("_f.test_end")), "test"
+    return rows.select(*indexed.columns, *[F.col(f"_f.{b}").alias(b) for b in bounds])
+
+
+def assign_fold(indexed: DataFrame, folds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows with ``fold`` and ``part`` (train or test): one copy per fold the row takes part in."""
+    part = F.when(F.col("idx") < F.col("train_end"), "train").when(
+        (F.col("idx") >= F.col("test_start")) & (F.col("idx") < F.col("test_end")), "test"
     )
-    return rows.withColumn("fold", F.col("_f.fold")).withColumn("part", part).where("part is not null").drop("_folds", "_f")
+    tagged = with_folds(indexed, folds, keys).withColumn("part", part).where("part is not null")
+    return tagged.drop("train_end", "test_start", "test_end")
 
 
 def zip_steps(left: DataFrame, right: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
