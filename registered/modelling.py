@@ -123,14 +123,14 @@ GAP_ORDER = "PARTITION BY kind ORDER BY ts, event_id"
 
 
 @query("prepare_frame", f"""WITH e AS (SELECT event_id, ts, kind, amount, score, spare, CASE WHEN spare IS NULL THEN 1.0 ELSE 0.0 END AS spare_was_missing FROM (
-  SELECT event_id, ts, event_type AS kind, value AS amount, CASE WHEN event_type <> 'click' OR user_id % 2 = 1 THEN user_id END AS score, CASE WHEN value < 30 THEN value * 2 END AS spare FROM events)),
+  SELECT event_id, ts, event_type AS kind, value AS amount, CASE WHEN event_type <> 'click' OR value > 60 THEN user_id END AS score, CASE WHEN value < 30 THEN value * 2 END AS spare FROM events)),
 f AS (SELECT event_id, ts, kind, amount, spare_was_missing,
  coalesce(last_value(score IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(score IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS score, coalesce(last_value(spare IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(spare IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS spare
  FROM e)
 SELECT event_id, ts, kind, amount, spare_was_missing, round({_clip('score', 'f')}, 6) AS score, round({_clip('spare', 'f')}, 6) AS spare FROM f""")
 def prepare_frame(t):
     frame = t("events").select(
-        "event_id", "ts", F.col("event_type").alias("kind"), F.col("value").alias("amount"), F.when((F.col("event_type") != "click") | (F.col("user_id") % 2 == 1), F.col("user_id")).alias("score"),
+        "event_id", "ts", F.col("event_type").alias("kind"), F.col("value").alias("amount"), F.when((F.col("event_type") != "click") | (F.col("value") > 60), F.col("user_id")).alias("score"),
         F.when(F.col("value") < 30, F.col("value") * 2).alias("spare"), F.lit("x").alias("constant"), F.col("value").alias("amount_forecast"))
     clean, _ = cleaning.prepare_frame(frame, "amount", "ts", ["kind"], ["event_id"])
     return rounded(clean, 6, "score", "spare")

@@ -51,6 +51,15 @@ def file_shapes(spark: SparkSession, folder: str, multi_line: bool = False, patt
     return counts.join(first, "path").select("path", names.alias("header"), F.size(names).alias("columns"), "rows")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A table kept in far fewer files than there are cores is dealt out to all cores, for heavy work per row.
+
+    Tables in many files are returned as they are; a shuffle would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * len(df.inputFiles()) < cores else df
+
+
 class FrameCache:
     """Tables loaded once per path and kept in memory and on disk until released."""
 
