@@ -26,10 +26,12 @@ class TrainingRun:
     steps: list[str] = field(default_factory=list)
     features: list[str] = field(default_factory=list)
     trees: TreeResult | None = None
+    keys: list[str] = field(default_factory=list)
 
     def report(self) -> DataFrame:
-        """``model, target, candidate, rows, mae, rmse, mape, r2, mase``: chosen model next to the last-value baseline."""
-        head = [F.lit(self.model).alias("model"), F.lit(self.target).alias("target")]
+        """``model, target, candidate, rows, mae, rmse, mape, r2, mase``: chosen model next to the last-value baseline, per key for
+        autoregression."""
+        head = [*self.keys, F.lit(self.model).alias("model"), F.lit(self.target).alias("target")]
         numbers = ["rows", "mae", "rmse", "mape", "r2", "mase"]
         return self.metrics.select(*head, F.lit("model").alias("candidate"), *numbers).unionByName(
             self.baseline.select(*head, F.lit("last_value").alias("candidate"), *numbers))
@@ -62,7 +64,7 @@ def train_and_report(
     if chosen == "ARIMA":
         scored = autoregression.train_ar(indexed_series(df, time_column, target, entities), entities)
         best = scored.where("best")
-        return TrainingRun(chosen, target, time_column, best, scored.where("candidate = 'last_value'"), ["autoregression on differences"])
+        return TrainingRun(chosen, target, time_column, best, scored.where("candidate = 'last_value'"), ["autoregression on differences"], keys=list(entities))
     clean, report = cleaning.prepare_frame(df, target, time_column, entities, order_by)
     matrix, plan = features.supervised_matrix(clean, target, time_column, entities, order_by)
     order = [*([time_column] if time_column else []), *order_by]
