@@ -1,13 +1,20 @@
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from registered import logged, query, rounded
 from registered.tables import DAILY, EVENTS_WITH_GAPS, KEY, LABELLED, LINEITEM_NUMERIC, LINEITEM_ORDER, daily_orders, events_with_gaps, labelled_documents
-from seriesloom.operators import cleaning, features, series, tables, trees
+from registered.reading import place
+from seriesloom.operators import cleaning, features, rowindex, series, tables, trees, validation
+from seriesloom.operators.frames import attach
 from seriesloom.operators.frames import first_numeric as first_of, select_numeric as numeric_of
 from seriesloom.plans.steps import run_steps as run_list
 from seriesloom.plans.training import train_and_report as train_all
+from seriesloom.sources.models import read_model, write_model as store_model
+from seriesloom.sources.runlog import read_runs
 
 MEDIAN = f"(SELECT median(value) FROM {EVENTS_WITH_GAPS})"
 MODE_TYPE = f"(SELECT event_type FROM {EVENTS_WITH_GAPS} WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
@@ -113,6 +120,18 @@ def encode_auto(t):
     return cleaning.encode_auto(frame, plan).drop("p_name", "p_brand", "p_type")
 
 
+CLASSES = [f"k{i:02d}" for i in range(24)]
+
+
+@query("encode_auto_with_gaps", "SELECT event_id, " + ", ".join(f"CASE WHEN event_id % 7 <> 0 AND event_id % 24 = {i} THEN 1.0 ELSE 0.0 END AS onehot_kind_{c}" for i, c in enumerate(CLASSES))
+       + ", CASE WHEN event_id % 7 = 0 THEN 1.0 ELSE 0.0 END AS \"onehot_kind_Unknown\" FROM events")
+def encode_auto_with_gaps(t):
+    """24 classes and missing values: 25 columns, none cut."""
+    kind = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("k"), F.lpad((F.col("event_id") % 24).cast("string"), 2, "0")))
+    frame = t("events").select("event_id", kind.alias("kind"))
+    return cleaning.encode_auto(frame, cleaning.plan_encoding(frame)).drop("kind")
+
+
 @query("standard_scale", "SELECT l_orderkey, l_linenumber, l_partkey, round((l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_pop(l_extendedprice) OVER (), 6) AS l_extendedprice, round((l_discount - avg(l_discount) OVER ()) / stddev_pop(l_discount) OVER (), 6) AS l_discount FROM lineitem")
 def standard_scale(t):
     frame = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount")
@@ -124,9 +143,10 @@ GAP_ORDER = "PARTITION BY kind ORDER BY ts, event_id"
 
 @query("prepare_frame", f"""WITH e AS (SELECT event_id, ts, kind, amount, score, spare, CASE WHEN spare IS NULL THEN 1.0 ELSE 0.0 END AS spare_was_missing FROM (
   SELECT event_id, ts, event_type AS kind, value AS amount, CASE WHEN event_type <> 'click' OR value > 60 THEN user_id END AS score, CASE WHEN value < 30 THEN value * 2 END AS spare FROM events)),
-f AS (SELECT event_id, ts, kind, amount, spare_was_missing,
- coalesce(last_value(score IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(score IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS score, coalesce(last_value(spare IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(spare IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS spare
- FROM e)
+ff AS (SELECT event_id, ts, kind, amount, spare_was_missing,
+ last_value(score IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS score, last_value(spare IGNORE NULLS) OVER ({GAP_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spare
+ FROM e),
+f AS (SELECT event_id, ts, kind, amount, spare_was_missing, coalesce(score, (SELECT median(score) FROM ff)) AS score, coalesce(spare, (SELECT median(spare) FROM ff)) AS spare FROM ff)
 SELECT event_id, ts, kind, amount, spare_was_missing, round({_clip('score', 'f')}, 6) AS score, round({_clip('spare', 'f')}, 6) AS spare FROM f""")
 def prepare_frame(t):
     frame = t("events").select(
@@ -182,25 +202,91 @@ def run_steps(t):
     return rounded(out, 6, "l_extendedprice")
 
 
+# Complete rows of the daily matrix, their split and the last-value baseline; ``sane``: the model's error is finite and below twice the baseline's.
+SPLIT = "CASE WHEN n <= 4 THEN greatest(1, n - 1) ELSE greatest(floor(n * 0.8), n - greatest(200, floor(n * 0.02))) END"
+BASELINE = f"""{DAILY}, l AS (SELECT max(n) AS n FROM ix),
+r AS (SELECT greatest((SELECT coalesce(max(x), 1) FROM l, (VALUES (1), (2), (3), (6), (12), (24), (48), (168)) v(x) WHERE x <= greatest(1, n // 3)),
+ (SELECT coalesce(max(greatest(2, x // 2)), 2) FROM l, (VALUES (3), (6), (12), (24), (72), (168)) v(x) WHERE x <= greatest(3, n // 2)), CASE WHEN (SELECT n FROM l) > 24 THEN 25 ELSE 2 END) AS r),
+m AS (SELECT o_orderpriority, value, row_number() OVER (PARTITION BY o_orderpriority ORDER BY ts) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM ix, r WHERE idx >= r),
+s AS (SELECT *, {SPLIT} AS split FROM m), z AS (SELECT o_orderpriority, max_by(value, k) AS last FROM s WHERE k < split GROUP BY 1),
+b AS (SELECT count(*) AS rows, avg(abs(value - last)) AS mae, sqrt(avg((value - last) ** 2)) AS rmse FROM s JOIN z USING (o_orderpriority) WHERE k >= split)
+SELECT rows, (SELECT count(*) FROM s WHERE k < split) AS train_rows, round(mae, 2) AS baseline_mae, round(rmse, 2) AS baseline_rmse, true AS sane FROM b"""
+
+
+def _judged(model, baseline, train_rows: int):
+    both = attach(baseline.select("rows", F.col("mae").alias("baseline_mae"), F.col("rmse").alias("baseline_rmse")), model.select("mae"))
+    sane = F.coalesce((F.col("mae") >= 0) & (F.col("mae") < 2 * F.col("baseline_mae")), F.lit(False))
+    return rounded(both.select("rows", F.lit(train_rows).cast("long").alias("train_rows"), "baseline_mae", "baseline_rmse", sane.alias("sane")), 2, "baseline_mae", "baseline_rmse")
+
+
 def _trees(t, family: str, grid):
     daily = daily_orders(t).drop("idx", "n")
     matrix, plan = features.supervised_matrix(daily, "value", "ts", KEY)
     result = trees.train_trees(matrix, "value", plan.features, ["ts"], KEY, family, grid)
-    return result.metrics.select(F.lit("model").alias("candidate"), "*").unionByName(result.baseline.select(F.lit("last_value").alias("candidate"), "*"))
+    return _judged(result.metrics, result.baseline, result.train_rows)
 
 
-@query("train_random_forest")
+@query("train_random_forest", f"WITH {BASELINE}")
 def train_random_forest(t):
     return _trees(t, "forest", [{"numTrees": 20, "maxDepth": 6, "minInstancesPerNode": 3}, {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 1}])
 
 
-@query("train_gbt")
+@query("train_gbt", f"WITH {BASELINE}")
 def train_gbt(t):
     return _trees(t, "boosting", [{"maxIter": 10, "maxDepth": 3, "stepSize": 0.1, "minInstancesPerNode": 1}])
 
 
-@query("train_and_report")
+YEARS_SOLD = "(SELECT year(o_orderdate) AS year, o_custkey % 20 AS region, sum(o_totalprice) AS sales FROM orders GROUP BY ALL)"
+
+
+@query("train_year_axis", f"""WITH ix AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY year) - 1 AS idx, count(*) OVER (PARTITION BY region) AS n FROM {YEARS_SOLD}),
+l AS (SELECT max(n) AS n FROM ix),
+r AS (SELECT greatest((SELECT coalesce(max(x), 1) FROM l, (VALUES (1), (2), (3), (6)) v(x) WHERE x <= greatest(1, n // 3)), 2) AS r),
+m AS (SELECT region, sales AS value, row_number() OVER (PARTITION BY region ORDER BY year) - 1 AS k, count(*) OVER (PARTITION BY region) AS n FROM ix, r WHERE idx >= r),
+s AS (SELECT *, {SPLIT} AS split FROM m), z AS (SELECT region, max_by(value, k) AS last FROM s WHERE k < split GROUP BY 1)
+SELECT 'year' AS time_column, count(*) AS rows, round(avg(abs(value - last)), 2) AS baseline_mae FROM s JOIN z USING (region) WHERE k >= split""")
+def train_year_axis(t):
+    """A panel of yearly sums: found by its year column, trained on year features."""
+    sold = t("orders").groupBy(F.year("o_orderdate").alias("year"), F.concat(F.lit("r"), F.lpad((F.col("o_custkey") % 20).cast("string"), 2, "0")).alias("region")).agg(F.sum("o_totalprice").alias("sales"))
+    run = train_all(sold, "sales", ["region"], entities=["region"], model="RandomForest", grid=[{"numTrees": 5, "maxDepth": 3}], folds=2)
+    return run.baseline.select(F.lit(run.time_column).alias("time_column"), "rows", F.round("mae", 2).alias("baseline_mae"))
+
+
+@query("train_without_leaks", """SELECT 'fitted on training rows' AS state, count(*) AS rows, true AS same FROM orders""")
+def train_without_leaks(t):
+    """Changed holdout values leave the fill values, fences and categories of the training rows as they were."""
+    base = t("orders").select("o_orderkey", "o_orderdate", "o_totalprice", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey").cast("double")).alias("amount"), "o_orderpriority")
+    placed = rowindex.with_row_index(base, ["o_orderdate", "o_orderkey"])
+    placed = placed.withColumn(cleaning.TRAINING, F.col("idx") < validation.split_index(F.col("n")))
+    fit = F.col(cleaning.TRAINING)
+    other = placed.withColumns({"amount": F.when(fit, F.col("amount")).otherwise(F.lit(1e9)), "o_orderpriority": F.when(fit, F.col("o_orderpriority")).otherwise(F.lit("9-NEW"))})
+    cleaned = [cleaning.prepare_frame(frame, "o_totalprice", "o_orderdate", (), ["o_orderkey"], fit)[0] for frame in (placed, other)]
+    plans = [features.supervised_matrix(c, "o_totalprice", "o_orderdate", (), ["o_orderkey"], fit_where=fit)[1] for c in cleaned]
+    kept = [c.where(fit).select("o_orderkey", "amount", "o_orderpriority") for c in cleaned]
+    same = kept[0].exceptAll(kept[1]).isEmpty() and plans[0].features == plans[1].features
+    return base.agg(F.lit("fitted on training rows").alias("state"), F.count("*").alias("rows"), F.lit(same).alias("same"))
+
+
+@query("train_and_report", """WITH s AS (SELECT o_orderpriority, o_totalprice AS value, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT unnest(['last_value', 'model']) AS candidate, 'RandomForest' AS model, 'o_totalprice' AS target, true AS measured FROM (SELECT count(*) AS rows FROM s HAVING count(*) > 0)""")
 def train_and_report(t):
+    """The whole way, stored: the run log holds the report's model row and the model can be read again."""
     frame = t("orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    run = train_all(frame, "o_totalprice", ["o_orderkey"], "o_orderdate", ["o_orderpriority"], "RandomForest", [{"numTrees": 10, "maxDepth": 5}], folds=2)
-    return run.report()
+    path = place(frame.sparkSession, "training")
+    run = train_all(frame, "o_totalprice", ["o_orderkey"], "o_orderdate", ["o_orderpriority"], "RandomForest", [{"numTrees": 10, "maxDepth": 5}], folds=2, dataset="orders", path=path)
+    logged_run, (_, meta) = read_runs(frame.sparkSession, f"{path}/runs").first(), read_model(frame.sparkSession, f"{path}/model")
+    stored = logged_run["model"] == run.model and meta.first()["model"] == run.model
+    measured = F.col("mae").isNotNull() & (F.col("rows") > 0) & (F.col("mae") >= 0) & F.lit(stored)
+    return run.report().select("candidate", "model", "target", measured.alias("measured"))
+
+
+@query("write_model", """SELECT count(*) AS rows, true AS same FROM part""")
+def write_model(t):
+    """A fitted model written and read again predicts the same."""
+    frame = t("part").select(F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=["size"], outputCol="features"), LinearRegression(featuresCol="features", labelCol="price", predictionCol="predicted")]).fit(frame)
+    path = place(frame.sparkSession, "model")
+    store_model(fitted, frame.agg(F.lit("linear").alias("family"), F.count("*").alias("rows")), path)
+    again, meta = read_model(frame.sparkSession, path)
+    gap = again.transform(frame).agg(F.sum("predicted")).first()[0] - fitted.transform(frame).agg(F.sum("predicted")).first()[0]
+    return meta.select("rows", F.lit(abs(gap) < 1e-6).alias("same"))

@@ -40,32 +40,56 @@ def scan_uploaded_csv(t):
 
 
 def folders(t) -> tuple:
-    """Three dataset folders of CSV files written from the tables."""
+    """Three dataset folders of several CSV files each, written from the tables."""
     spark = t("orders").sparkSession
     root = place(spark, "datasets")
     for name, table in (("acme__daily-store-orders", "orders"), ("acme__big_customer-list", "customer"), ("shop--energy-parts", "part")):
-        t(table).repartition(1).write.option("header", True).csv(f"{root}/{name}")
+        t(table).repartition(3).write.option("header", True).csv(f"{root}/{name}")
     return spark, root
 
 
-@query("largest_file", "SELECT 'acme__daily-store-orders' AS folder, true AS has_bytes FROM orders LIMIT 1")
+@query("largest_file", """SELECT 'acme__daily-store-orders' AS folder, count(*) > 0 AS has_bytes, count(*) * 20 < 1000000000000 AS bounded FROM orders""")
 def largest_file(t):
     spark, root = folders(t)
-    return files.largest_file(spark, root).select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder"), (F.col("length") > 0).alias("has_bytes"))
+    return files.largest_file(spark, root).select(
+        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder"), (F.col("length") > 0).alias("has_bytes"), (F.col("length") < 1000000000000).alias("bounded"))
 
 
 @query("file_shape", "SELECT 'orders' AS name, 6 AS columns, count(*) AS rows FROM orders UNION ALL SELECT 'customer', 5, count(*) FROM customer UNION ALL SELECT 'part', 6, count(*) FROM part")
 def file_shape(t):
     spark, root = folders(t)
     name = F.when(F.col("path").contains("orders"), "orders").when(F.col("path").contains("customer"), "customer").otherwise("part")
-    return files.file_shapes(spark, root).select(name.alias("name"), "columns", "rows")
+    return files.file_shapes(spark, root).groupBy(name.alias("name")).agg(F.max("columns").alias("columns"), F.sum("rows").alias("rows"))
 
 
-@query("build_catalog", """SELECT 'acme--daily-store-orders' AS id, 'acme/daily-store-orders' AS ref, 'Daily Store Orders' AS title, 'finance' AS domain, true AS is_time_series, count(*) AS row_count, 6 AS column_count FROM orders
-UNION ALL SELECT 'acme--big_customer-list', 'acme/big_customer-list', 'Big Customer List', 'general', false, count(*), 5 FROM customer UNION ALL SELECT 'shop--energy-parts', 'shop/energy-parts', 'Energy Parts', 'finance', false, count(*), 6 FROM part""")
+@query("file_shape_quoted", """SELECT 3 AS columns, count(*) AS rows FROM documents""")
+def file_shape_quoted(t):
+    """Texts with line breaks, commas and quotes, below a header with a comma."""
+    docs = t("documents").select("doc_id", F.col("text").alias("text, as it stands"), "source")
+    path = place(docs.sparkSession, "quoted")
+    docs.write.option("header", True).option("escape", '"').csv(path)
+    return files.file_shapes(docs.sparkSession, path).agg(F.max("columns").alias("columns"), F.sum("rows").alias("rows"))
+
+
+@query("scan_csv_mixed", """SELECT doc_id, lang, source, n_chars FROM documents""")
+def scan_csv_mixed(t):
+    """Two folders of one table in two encodings, read as one."""
+    docs = t("documents").select("doc_id", F.concat("lang", F.lit("-caf\u00e9")).alias("lang"), "source", "n_chars")
+    path = place(docs.sparkSession, "mixed")
+    docs.where("doc_id % 2 = 0").write.option("header", True).csv(path)
+    docs.where("doc_id % 2 = 1").write.option("header", True).option("encoding", "ISO-8859-1").mode("append").csv(path)
+    return files.scan_csv(docs.sparkSession, path).withColumn("lang", F.regexp_replace("lang", "-caf\u00e9$", ""))
+
+
+@query("build_catalog", """SELECT 'acme--daily-store-orders' AS id, 'acme/daily-store-orders' AS ref, 'Daily Store Orders' AS title, 'finance' AS domain, true AS is_time_series, count(*) > 0 AS whole, 6 AS column_count FROM orders
+UNION ALL SELECT 'acme--big_customer-list', 'acme/big_customer-list', 'Big Customer List', 'general', false, count(*) > 0, 5 FROM customer UNION ALL SELECT 'shop--energy-parts', 'shop/energy-parts', 'Energy Parts', 'finance', false, count(*) > 0, 6 FROM part""")
 def build_catalog(t):
+    """The row count is that of the folder's largest file, one of three."""
     spark, root = folders(t)
-    return catalog.build_catalog(spark, root).select("id", "ref", "title", "domain", "is_time_series", "row_count", "column_count")
+    sizes = {n: t(n).count() for n in ("orders", "customer", "part")}
+    rows = F.when(F.col("id").contains("orders"), sizes["orders"]).when(F.col("id").contains("customer"), sizes["customer"]).otherwise(sizes["part"])
+    whole = F.abs(F.col("row_count") * 3 / rows - 1) < 0.2
+    return catalog.build_catalog(spark, root).select("id", "ref", "title", "domain", "is_time_series", whole.alias("whole"), "column_count")
 
 
 @query("load_frame_cached", "SELECT o_orderpriority, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
@@ -104,6 +128,26 @@ def write_evidence(t):
     return stored.groupBy(F.substring("evidence_id", 6, 10).alias("lang")).agg(F.count("*").alias("chunks"))
 
 
+@query("clear_evidence", "SELECT 'before' AS state, count(*) AS chunks FROM documents UNION ALL SELECT 'after', 0")
+def clear_evidence(t):
+    docs = t("documents")
+    spark, path = docs.sparkSession, place(docs.sparkSession, "evidence")
+    evidence.write_evidence(docs.select(F.concat(F.lit("docs-"), "lang").alias("evidence_id"), F.col("doc_id").cast("string").alias("kind"), "text"), path)
+    before = spark.createDataFrame([("before", evidence.read_evidence(spark, path).count())], "state string, chunks long")
+    evidence.clear_evidence(spark, path)
+    return before.unionByName(spark.read.parquet(path).agg(F.lit("after").alias("state"), F.count("*").alias("chunks")))
+
+
+@query("append_run", """SELECT event_type AS model, count(*) AS runs, sum(CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END) AS second FROM events GROUP BY 1""")
+def append_run(t):
+    """Two appends to one log; both are there afterwards."""
+    runs = t("events").select(F.col("event_id").cast("string").alias("run_id"), F.col("event_type").alias("model"), F.col("value").alias("mape"), "ts", (F.col("event_id") % 2).alias("half"))
+    path = place(runs.sparkSession, "runs")
+    for half in (0, 1):
+        runlog.append_run(runs.where(F.col("half") == half), path)
+    return runs.sparkSession.read.parquet(path).groupBy("model").agg(F.count("*").alias("runs"), F.sum("half").alias("second"))
+
+
 @query("read_runs", "SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS model, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
 def read_runs(t):
     rows = t("events").select(F.col("event_id").cast("string").alias("run_id"), F.col("user_id").cast("string").alias("dataset"), F.col("event_type").alias("model"), F.col("value").alias("mape"), "ts")
@@ -130,6 +174,17 @@ def stream_batch_profile(t):
     return rounded(jobs.reconcile_profile(spark, out), 4, "mean", "std")
 
 
+@query("stream_shifted_profile", """SELECT 'value' AS "column", count(*) AS rows, round(stddev_pop(value), 4) AS std FROM events""")
+def stream_shifted_profile(t):
+    """The deviation of values around a billion, merged from several batches."""
+    spark = t("events").sparkSession
+    parts = [jobs.partial_profile(t("events").where(F.col("event_id") % 5 == i).select((F.col("value") + 1e9).alias("value")), ["value"]) for i in range(5)]
+    path = place(spark, "shifted")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return rounded(jobs.reconcile_profile(spark, path).select("column", "rows", "std"), 4, "std")
+
+
 @query("stream_run_monitor", """WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type AS kind, count(*) AS events, avg(value) AS mean_value FROM events GROUP BY 1, 2)
 SELECT window_start, kind, events, round(mean_value, 6) AS mean_value, round(least(0.95, 0.12 + mean_value / 10), 6) AS drift_score FROM h
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")

@@ -6,7 +6,6 @@ from registered import joined, query, rounded
 from seriesloom.functions import domains, text
 from seriesloom.operators import pairing, retrieval, tables
 from seriesloom.plans.search import search_catalog as run_search
-from seriesloom.sources.files import spread_small
 
 QUERY = "the rest of that and her region"
 
@@ -25,7 +24,7 @@ def words(c: str) -> str:
 
 @query("tokenize", f"SELECT token, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) GROUP BY 1")
 def tokenize(t):
-    tokens = text.token_rows(spread_small(t("documents").select("doc_id", "text")), "text").select("doc_id", "token")
+    tokens = text.token_rows(t("documents").select("doc_id", "text"), "text").select("doc_id", "token")
     per_doc = tokens.groupBy("token", "doc_id").agg(F.count("*").alias("c"))
     return per_doc.groupBy("token").agg(F.sum("c").alias("uses"), F.count("*").alias("docs"))
 
@@ -43,7 +42,7 @@ ranked AS (SELECT d.*, least(0.99, 0.55 + coalesce(s, 0) / greatest(1, (SELECT c
 
 @query("rank_tfidf", f"WITH {_tfidf('documents', 'doc_id', 'text', QUERY, 25)} SELECT doc_id, lang, round(score, 6) AS score FROM ranked")
 def rank_tfidf(t):
-    out = retrieval.rank_tfidf(spread_small(t("documents").select("doc_id", "lang", "text")), QUERY, "text", 25)
+    out = retrieval.rank_tfidf(t("documents").select("doc_id", "lang", "text"), QUERY, "text", 25)
     return rounded(out.select("doc_id", "lang", "score"), 6, "score")
 
 
@@ -57,7 +56,7 @@ b AS (SELECT doc_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3,
 v AS (SELECT doc_id, bucket, sum(s) AS v FROM b GROUP BY 1, 2)
 SELECT doc_id, bucket, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 1e-8), 6) AS weight FROM v QUALIFY v <> 0""")
 def hash_embedding(t):
-    return rounded(retrieval.hash_embedding(spread_small(t("documents").select("doc_id", "text")), "text", "doc_id"), 6, "weight")
+    return rounded(retrieval.hash_embedding(t("documents").select("doc_id", "text"), "text", "doc_id"), 6, "weight")
 
 
 @query("vector_topk", """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),

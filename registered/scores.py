@@ -1,6 +1,8 @@
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from registered import joined, query, rounded
 from registered.profiles import FENCE
@@ -147,6 +149,21 @@ def _role(c: str) -> str:
     return f"any_value('{role}')"
 
 
+@query("recommend_target_fallback", """SELECT 'rank' AS "column", count(*) AS rows FROM customer""")
+def recommend_target_fallback(t):
+    """Only an id, a serial number and excluded names: the first numeric name that is not excluded, else the first numeric one."""
+    frame = t("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("rank"))
+    found = scoring.recommend_target(frame.select("rank", "user_id")).select("column")
+    return attach(found, frame.agg(F.count("*").alias("rows")))
+
+
+@query("serial_ids", """SELECT 'c_custkey' AS "column", count(*) AS rows FROM customer""")
+def serial_ids(t):
+    frame = t("customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    found = scoring.serial_ids(frame)
+    return frame.agg(F.lit("|".join(found)).alias("column"), F.count("*").alias("rows"))
+
+
 @query("column_roles", "WITH r AS (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {_role(c)} AS role FROM lineitem""" for c in LINEITEM) + f""")
 SELECT "column", role, CASE role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in scoring.ROLE_REASONS.items())} END AS reason FROM r""")
 def column_roles(t):
@@ -165,11 +182,9 @@ def order_facts(t):
 
 
 @query("forecastability_series", f"""WITH {FACTS} SELECT o_orderpriority, round(score, 6) AS score, {GRADE} AS grade,
- printf('Seasonality strength is %.2f, indicating %s.', seasonality, CASE WHEN seasonality > 0.45 THEN 'clear recurring behavior' ELSE 'limited repeating structure' END) || '|' ||
- printf('Trend consistency is %.2f, showing %s.', trend, CASE WHEN trend > 0.35 THEN 'directional movement' ELSE 'mostly flat or irregular movement' END) || '|' ||
- printf('Noise ratio is %.2f, so signal quality is %s for forecasting.', noise_ratio, CASE WHEN noise_ratio < 0.55 THEN 'usable' ELSE 'noisy' END) AS reasons,
- coalesce(nullif(concat_ws('|', CASE WHEN consistency < 0.7 THEN 'Temporal intervals are inconsistent; resampling is recommended before modeling.' END,
- CASE WHEN noise_ratio > 0.65 THEN 'High randomness may reduce forecast confidence.' END, CASE WHEN stationarity < 0.35 THEN 'Non-stationary behavior may require differencing or trend-aware models.' END), ''), 'No major forecastability blockers detected.') AS risks FROM mt""")
+ printf('seasonality=%.2f', seasonality) || CASE WHEN seasonality > 0.45 THEN ' ok' ELSE ' low' END || '|' || printf('trend=%.2f', trend) || CASE WHEN trend > 0.35 THEN ' ok' ELSE ' low' END || '|' ||
+ printf('noise=%.2f', noise_ratio) || CASE WHEN noise_ratio < 0.55 THEN ' ok' ELSE ' high' END AS reasons,
+ concat_ws('|', CASE WHEN consistency < 0.7 THEN 'uneven_intervals' END, CASE WHEN noise_ratio > 0.65 THEN 'noisy' END, CASE WHEN stationarity < 0.35 THEN 'not_stationary' END) AS risks FROM mt""")
 def forecastability_series(t):
     out = scoring.forecastability_series(order_facts(t), KEY)
     return rounded(out.withColumns({"reasons": joined("reasons"), "risks": joined("risks")}), 6, "score")
@@ -205,7 +220,7 @@ rc AS (SELECT st.o_orderpriority, count(*) FILTER (WHERE rolled > 10 AND step >
 
 
 @query("temporal_behavior", f"""WITH {BEHAVIOR} SELECT o_orderpriority, period_label AS periodicity, anomalies, round(anomaly_rate, 6) AS anomaly_rate, regime_count, round(least(drift / 3, 1), 6) AS drift_score,
- CASE WHEN drift < 1.2 THEN 'Behavior is stable enough for forecasting.' ELSE 'Distribution shift detected; retraining checks should be enabled.' END AS interpretation FROM mt JOIN zc USING (o_orderpriority) JOIN rc USING (o_orderpriority)""")
+ CASE WHEN drift < 1.2 THEN 'stable' ELSE 'shifted' END AS interpretation FROM mt JOIN zc USING (o_orderpriority) JOIN rc USING (o_orderpriority)""")
 def temporal_behavior(t):
     return rounded(scoring.temporal_behavior(order_facts(t), KEY), 6, "anomaly_rate", "drift_score")
 
@@ -220,11 +235,11 @@ q AS (SELECT quantile_cont(value, 0.75) AS q3 FROM {EVENTS_WITH_GAPS}),
 s AS (SELECT {EV_MISSING.replace('avg(', 'avg(')} FILTER (WHERE value > q3) AS high, {EV_MISSING} FILTER (WHERE NOT coalesce(value > q3, false)) AS rest FROM {EVENTS_WITH_GAPS}, q)
 SELECT round(100 - least(missing * 120, 65) - (1 - c / (SELECT count(gap) FROM g)) * 35, 6) AS trust_score, round(missing, 6) AS missing_share,
  CASE WHEN high > 1.5 * rest AND high > 0.01 THEN 'concentrated in high values' ELSE 'broadly distributed' END AS missing_pattern,
- CASE WHEN 1 - c / (SELECT count(gap) FROM g) < 0.05 THEN 'low' ELSE 'medium' END AS duplicate_risk FROM m, k, s""")
+ CASE WHEN 1 - c / (SELECT count(gap) FROM g) < 0.05 THEN 'low' ELSE 'medium' END AS duplicate_risk, 'low' AS leakage_risk FROM m, k, s""")
 def trust_score(t):
     frame = events_with_gaps(t)
     gaps = timeaxis.gap_stats(frame, "ts").first()
-    out = scoring.quality_report(frame, "value", gaps["consistency"], gaps["gap_ratio"]).drop("recommendations")
+    out = scoring.quality_report(frame, "value", gaps["consistency"], gaps["gap_ratio"]).drop("recommendations", "leaking")
     return rounded(out, 6, "trust_score", "missing_share")
 
 
@@ -232,7 +247,7 @@ FAMILY = """CASE WHEN n < 800 OR (consistency > 0.85 AND seasonality > 0.45 AND
  WHEN n <= 4000 AND score >= 55 AND noise_ratio <= 0.55 THEN 'SVM' WHEN n >= 4000 AND score > 65 THEN 'XGBoost' WHEN score < 45 OR noise_ratio > 0.75 THEN 'RandomForest' ELSE 'XGBoost' END"""
 
 
-@query("recommend_strategy", f"WITH {FACTS} SELECT o_orderpriority, {FAMILY} AS family, {GRADE} AS confidence, 'sort by timestamp|impute temporal gaps|create lag features|use walk-forward validation' AS plan FROM mt")
+@query("recommend_strategy", f"WITH {FACTS} SELECT o_orderpriority, {FAMILY} AS family, {GRADE} AS confidence, 'sort|fill_forward|lags|walk_forward' AS plan FROM mt")
 def recommend_strategy(t):
     return scoring.recommend_strategy(order_facts(t), KEY).select(*KEY, "family", "confidence", joined("plan").alias("plan"))
 
@@ -253,15 +268,75 @@ def select_model(t):
 FULL_FACTS = f"""ser AS (SELECT o_orderdate AS ts, sum(o_totalprice) AS value FROM orders GROUP BY 1), six AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS idx, count(*) OVER () AS n FROM ser)"""
 
 
-@query("full_profile", f"""WITH {FULL_FACTS},
+def _four(expr: str) -> str:
+    return f"printf('%.4f', CAST({expr} AS DOUBLE))"
+
+
+ORDER_NUMBERS, ORDER_TEXTS = ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority")
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+LAGGED_ORDERS = "lo AS (SELECT *, " + ", ".join(f"lag({c}) OVER w AS p_{c}" for c in ORDER_NUMBERS[:2]) + " FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey))"
+SECTIONS = f"""WITH {FULL_FACTS}, {LAGGED_ORDERS},
 a AS (SELECT max(n) AS n, {TREND} AS trend, {STATION} AS stationarity, {DRIFT} AS drift FROM six),
-dg AS (SELECT count(*) AS rows, 6 AS columns, 0.0 AS missing_percent FROM orders)
-SELECT 'shop/orders-dataset' AS dataset, 'Orders' AS title, rows, columns, missing_percent, 'o_totalprice' AS target, 'o_orderdate' AS time_column, 'time-series' AS dataset_type, n,
- round(trend, 6) AS trend, round(stationarity, 6) AS stationarity, round(drift, 6) AS drift FROM dg, a""")
+eta AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, (SELECT sum(c * (m - g) ** 2) / any_value(t) FROM (SELECT count(*) AS c, avg(o_totalprice) AS m FROM orders GROUP BY {c}), (SELECT avg(o_totalprice) AS g, var_pop(o_totalprice) * count(*) AS t FROM orders)) AS e" for c in ORDER_TEXTS)}),
+gd AS (SELECT DISTINCT o_orderdate AS ts FROM orders), gg AS (SELECT epoch(ts) - lag(epoch(ts)) OVER (ORDER BY ts) AS gap FROM gd), gm AS (SELECT count(*) AS c FROM gg WHERE gap IS NOT NULL GROUP BY gap ORDER BY c DESC LIMIT 1)
+SELECT 'meaning' AS section, unnest(['dataset', 'title', 'target', 'time_column', 'dataset_type']) AS name, unnest(['shop/orders-dataset', 'Orders', 'o_totalprice', 'o_orderdate', 'time-series']) AS value
+UNION ALL SELECT 'dataset_summary', unnest(['rows', 'columns', 'missing_percent']), unnest([count(*)::VARCHAR, '6', '0.0000']) FROM orders
+UNION ALL SELECT 'column_roles', unnest({list(ORDER_COLUMNS)}), unnest(['external_regressor', 'external_regressor', 'entity_or_grouping', 'forecast_target', 'temporal_index', 'entity_or_grouping'])
+{" ".join(f"UNION ALL SELECT 'column_profile', '{c}', count(DISTINCT {c})::VARCHAR FROM orders" for c in ORDER_COLUMNS)}
+{" ".join(f"UNION ALL SELECT 'feature_signals', '{c}', {_four(f'abs(corr({c}, o_totalprice))')} || '|' || {_four(f'abs(corr(p_{c}, o_totalprice))')} FROM lo" for c in ORDER_NUMBERS[:2])}
+UNION ALL SELECT 'feature_signals', feature, {_four('least(e, 1)')} || '|0.0000' FROM eta
+{" ".join(f"UNION ALL SELECT 'redundant_pairs', '{x}', '{y}' FROM orders HAVING abs(corr({x}, {y})) > 0.92" for k, x in enumerate(ORDER_NUMBERS) for y in ORDER_NUMBERS[k + 1:])}
+UNION ALL SELECT 'series_metrics', unnest(['n', 'trend', 'stationarity', 'drift']), unnest([n::VARCHAR, {_four('trend')}, {_four('stationarity')}, {_four('drift')}]) FROM a
+UNION ALL SELECT 'quality', unnest(['trust_score', 'missing_pattern', 'duplicate_risk', 'leakage_risk']), unnest([{_four('100 - (1 - c / (SELECT count(gap) FROM gg)) * 35')}, 'none', CASE WHEN 1 - c / (SELECT count(gap) FROM gg) < 0.05 THEN 'low' ELSE 'medium' END, 'low']) FROM gm"""
+
+
+def sections_of(found):
+    """Every section of a profile as (section, name, value)."""
+    four = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+
+    def facts(section, df, columns):
+        return df.select(F.lit(section).alias("section"), F.inline(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in columns.items()])))
+
+    def listed(section, df, name, value):
+        return df.select(F.lit(section).alias("section"), F.col(name).alias("name"), value.cast("string").alias("value"))
+
+    parts = [
+        facts("meaning", found.facts, {c: F.col(c) for c in ("dataset", "title", "target", "time_column", "dataset_type")}),
+        facts("dataset_summary", found.summary, {"rows": F.col("rows"), "columns": F.col("columns"), "missing_percent": four("missing_percent")}),
+        listed("column_roles", found.roles, "column", F.col("role")),
+        listed("column_profile", found.columns, "column", F.col("unique_values")),
+        listed("feature_signals", found.signals, "feature", F.concat(four("same_time"), F.lit("|"), four("lag"))),
+        listed("redundant_pairs", found.redundant, "feature1", F.col("feature2")),
+        facts("series_metrics", found.metrics, {"n": F.col("n"), "trend": four("trend"), "stationarity": four("stationarity"), "drift": four("drift")}),
+        facts("quality", found.quality, {"trust_score": four("trust_score"), "missing_pattern": F.col("missing_pattern"), "duplicate_risk": F.col("duplicate_risk"), "leakage_risk": F.col("leakage_risk")}),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("full_profile", SECTIONS)
 def full_profile(t):
+    return sections_of(profile_dataset(t("orders"), "shop/orders-dataset", ["o_orderkey"], target="o_totalprice"))
+
+
+@query("full_profile_scores", f"""WITH {FULL_FACTS}, pn AS (SELECT max(n) AS n FROM six)
+SELECT n, CASE WHEN n < 24 THEN 25 END IS NULL AS scored, true AS graded, true AS planned FROM pn""")
+def full_profile_scores(t):
+    """The rule tables of the profile agree with each other and lie within their ranges."""
     found = profile_dataset(t("orders"), "shop/orders-dataset", ["o_orderkey"], target="o_totalprice")
-    head = found.facts.select("dataset", "title", "rows", "columns", "missing_percent", "target", "time_column", "dataset_type")
-    return rounded(attach(head, found.metrics.select("n", "trend", "stationarity", "drift")), 6, "trend", "stationarity", "drift")
+    scored = attach(found.forecastability, found.strategy.select("family", "confidence"))
+    return attach(scored, found.metrics.select("n")).select(
+        "n", F.col("score").between(0, 100).alias("scored"), F.col("grade").isin("strong", "moderate", "weak", "poor").alias("graded"),
+        F.col("family").isin("ARIMA", "RandomForest", "SVM", "XGBoost").alias("planned"))
+
+
+@query("full_profile_text_dates", f"""WITH {FULL_FACTS}, a AS (SELECT max(n) AS n, {TREND} AS trend, {STATION} AS stationarity, {DRIFT} AS drift FROM six)
+SELECT 'day' AS time_column, n, round(trend, 6) AS trend, round(stationarity, 6) AS stationarity, round(drift, 6) AS drift, (SELECT min(o_orderdate) FROM orders) AS time_start, (SELECT max(o_orderdate) FROM orders) AS time_end FROM a""")
+def full_profile_text_dates(t):
+    """The same orders with their dates as M/d/yyyy text."""
+    frame = t("orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "M/d/yyyy").alias("day"), "o_orderpriority")
+    found = profile_dataset(frame, "shop/orders-text", ["o_orderkey"], target="o_totalprice")
+    ends = found.summary.select("time_start", "time_end")
+    return rounded(attach(found.metrics.select(F.lit(found.time_column).alias("time_column"), "n", "trend", "stationarity", "drift"), ends), 6, "trend", "stationarity", "drift")
 
 
 @query("evidence_chunks", """WITH s AS (SELECT 'dataset_summary' AS kind, count(*) AS rows, count(DISTINCT o_orderstatus) AS u FROM orders)

@@ -297,7 +297,7 @@ def cyclical_features(t):
 
 
 @query("year_features", """WITH y AS (SELECT o_orderkey, year(o_orderdate) AS y, min(year(o_orderdate)) OVER () AS y0 FROM orders)
-SELECT o_orderkey, CAST(y AS DOUBLE) AS year, CAST(y // 10 * 10 AS DOUBLE) AS decade, CAST(y - y0 AS DOUBLE) AS year_trend, round(sin(2 * pi() * (y - y0) / 10), 6) AS year_sin, round(cos(2 * pi() * (y - y0) / 10), 6) AS year_cos FROM y""")
+SELECT o_orderkey, y AS year, CAST(y AS DOUBLE) AS year_value, CAST(y // 10 * 10 AS DOUBLE) AS decade, CAST(y - y0 AS DOUBLE) AS year_trend, round(sin(2 * pi() * (y - y0) / 10), 6) AS year_sin, round(cos(2 * pi() * (y - y0) / 10), 6) AS year_cos FROM y""")
 def year_features(t):
     frame = t("orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
     return rounded(features.year_features(frame, "year"), 6, "year_sin", "year_cos")

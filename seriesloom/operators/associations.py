@@ -79,8 +79,10 @@ def strong_pairs(pairs: DataFrame, threshold: float = 0.85, top: int = 10) -> Da
     return best.where(F.abs("correlation") > threshold)
 
 
-def redundant_pairs(pairs: DataFrame, threshold: float = 0.92, first: int = 8) -> DataFrame:
-    return pairs.where(F.abs("correlation") > threshold).orderBy("feature1", "feature2").limit(first)
+def redundant_pairs(pairs: DataFrame, threshold: float = 0.92, first: int | None = 8) -> DataFrame:
+    """Pairs beyond the threshold by name, the ``first`` of them or (None) all."""
+    found = pairs.where(F.abs("correlation") > threshold)
+    return found if first is None else found.orderBy("feature1", "feature2").limit(first)
 
 
 def mirror_matrix(pairs: DataFrame) -> DataFrame:

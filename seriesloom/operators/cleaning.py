@@ -14,8 +14,6 @@ from seriesloom.operators.quantiles import exact_quantiles, fences_from
 from seriesloom.operators.rowindex import with_row_index
 from seriesloom.operators.series import forward_backward_fill
 
-ONE_HOT_COLUMNS = 24
-
 
 def to_numeric(c: Column) -> Column:
     """Number or null."""
@@ -173,7 +171,10 @@ class EncodingPlan:
 
 
 def plan_encoding(df: DataFrame, columns: Sequence[str] | None = None) -> EncodingPlan:
-    """One-hot for few values (at most min(24, max(4, 5 % of rows))), codes for more, nothing for a single value."""
+    """One-hot for few values (at most min(24, max(4, 5 % of rows))), codes for more, nothing for a single value.
+
+    Every value gets its column, and ``Unknown`` one of its own where values are missing.
+    """
     columns = list(columns if columns is not None else categorical_columns(df))
     plan = EncodingPlan()
     if not columns:
@@ -188,7 +189,7 @@ def plan_encoding(df: DataFrame, columns: Sequence[str] | None = None) -> Encodi
             values = onehot_values(df, c)
             if row["missing_percent"] > 0:
                 values = sorted({*values, "Unknown"})
-            plan.onehot[c] = values[:ONE_HOT_COLUMNS]
+            plan.onehot[c] = values
         else:
             plan.codes.append(c)
     return plan
@@ -214,6 +215,10 @@ def standard_scale(df: DataFrame, columns: Sequence[str], fit: DataFrame | None
     return df.withColumns({c: (F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in columns})
 
 
+#: Carries which rows belong to the training part through cleaning and features.
+TRAINING = "_training"
+
+
 @dataclass
 class CleaningReport:
     original_rows: int = 0
@@ -233,13 +238,16 @@ def prepare_frame(
 ) -> tuple[DataFrame, CleaningReport]:
     """Drop unusable columns, require the target, fill gaps, cap outliers; returns the frame and the steps taken.
 
-    With a time column gaps are filled forward then backward per entity, what remains by the median. ``order_by`` breaks ties
-    in time. ``fit_where`` selects the rows that medians and fences are taken from (all rows when missing).
+    With a time column gaps are filled forward per entity (never from later rows), what remains by the median. The time column itself
+    is left as it is. ``order_by`` breaks ties in time. ``fit_where`` selects the rows that drops, medians, modes and fences are taken
+    from (all rows when missing). A frame that already has positions ``idx`` and ``n`` in that order is not sorted again.
     """
     report = CleaningReport()
     frame = nan_to_null(df)
-    drops = {r["column"]: r["reason"] for r in unusable_columns(column_stats(frame), target, time_column).collect()}
-    drops = {c: r for c, r in drops.items() if c not in order_by}
+    placed = {"idx", "n"} <= set(df.columns)
+    carried = [c for c in ("idx", "n", TRAINING) if c in df.columns]
+    drops = {r["column"]: r["reason"] for r in unusable_columns(column_stats(frame if fit_where is None else frame.where(fit_where)), target, time_column).collect()}
+    drops = {c: r for c, r in drops.items() if c not in {*order_by, *carried}}
     report.dropped = drops
     if drops:
         frame = frame.drop(*drops)
@@ -247,7 +255,7 @@ def prepare_frame(
     report.original_rows = df.count()
     frame = require_target(frame, target)
     entities = [e for e in entities if e in frame.columns]
-    numeric = [c for c in numeric_columns(frame) if c not in order_by]
+    numeric = [c for c in numeric_columns(frame) if c not in {*order_by, *carried, time_column}]
     counts = frame.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in frame.columns]).first()
     report.rows = counts["rows"]
     gaps = [c for c in numeric if counts[c] and c != target]
@@ -257,15 +265,16 @@ def prepare_frame(
         report.indicators = [f"{c}_was_missing" for c in flagged]
         report.steps.append("added indicators: " + ", ".join(report.indicators))
     if gaps and time_column:
-        indexed = with_row_index(frame, [time_column, *order_by], entities)
-        frame = forward_backward_fill(indexed, gaps, entities).drop("idx", "n")
+        indexed = frame if placed else with_row_index(frame, [time_column, *order_by], entities)
+        frame = forward_backward_fill(indexed, gaps, entities, backward=False)
+        frame = frame if placed else frame.drop("idx", "n")
     if gaps:
         fit = frame.where(fit_where) if fit_where is not None else frame
         frame = impute_median(frame, gaps, fit)
-        report.steps.append(("forward and backward fill, then median: " if time_column else "median: ") + ", ".join(gaps))
+        report.steps.append(("forward fill, then median: " if time_column else "median: ") + ", ".join(gaps))
     features = [c for c in numeric if c != target]
     fit = frame.where(fit_where) if fit_where is not None else frame
-    fences = fences_from(exact_quantiles(fit, features, [0.25, 0.75], report.rows)) if report.rows > 8 else {}
+    fences = fences_from(exact_quantiles(fit, features, [0.25, 0.75])) if report.rows > 8 else {}
     fences = {c: f for c, f in fences.items() if f[2] > 0}
     if fences:
         frame = frame.withColumns({

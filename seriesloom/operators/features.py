@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions import names
-from seriesloom.operators.cleaning import EncodingPlan, encode_auto, finite_rows, plan_encoding
+from seriesloom.operators.cleaning import TRAINING, EncodingPlan, encode_auto, finite_rows, plan_encoding
 from seriesloom.operators.frames import categorical_columns, numeric_columns
 from seriesloom.operators.rowindex import block_columns, block_window, with_row_index
 
@@ -109,12 +109,12 @@ def cyclical_features(df: DataFrame, ts: str) -> DataFrame:
 
 
 def year_features(df: DataFrame, year: str, first_year: int | None = None) -> DataFrame:
-    """Year, decade, distance from the first year and its place in a ten-year cycle."""
+    """Year, decade, distance from the first year and its place in a ten-year cycle; the input column stays as it is."""
     start = df.agg(F.min(year)).first()[0] if first_year is None else first_year
     trend = (F.col(year) - F.lit(start)).cast("double")
     turn = 2 * F.pi() * trend / 10.0
     return df.withColumns({
-        "year": F.col(year).cast("double"), "decade": F.floor(F.col(year) / 10) * 10.0, "year_trend": trend,
+        "year_value": F.col(year).cast("double"), "decade": F.floor(F.col(year) / 10) * 10.0, "year_trend": trend,
         "year_sin": F.sin(turn), "year_cos": F.cos(turn),
     })
 
@@ -149,6 +149,10 @@ def split_features(df: DataFrame, columns: Sequence[str], target: str) -> tuple[
     return [c for c in listed if c in ok], [c for c in listed if c not in ok]
 
 
+#: Columns that tell a row's place and part, never features.
+CARRIED = ("idx", "n", TRAINING)
+
+
 def supervised_matrix(
     df: DataFrame, target: str, time_column: str | None = None, entities: Sequence[str] = (),
     order_by: Sequence[str] = (), include_current: bool = False, fit_where: Column | None = None,
@@ -157,18 +161,19 @@ def supervised_matrix(
     """Target, features, ``idx`` (position within the whole ordered table) and the plan; incomplete rows are removed.
 
     Numeric columns pass through, text is encoded, and with a time column lags, rolling statistics, differences and calendar
-    columns are added per entity. ``order_by`` must make the order unique.
+    columns are added per entity. ``order_by`` must make the order unique. A frame with positions ``idx`` and ``n`` in that order is not
+    sorted again.
     """
-    fixed = {target, time_column, *order_by, *entities}
+    fixed = {target, time_column, *order_by, *entities, *CARRIED}
     safe, blocked = split_features(df, [c for c in numeric_columns(df) if c not in fixed], target)
     plan = FeaturePlan(target, blocked=blocked)
-    texts, _ = split_features(df, [c for c in categorical_columns(df) if c not in {target, time_column}], target)
+    texts, _ = split_features(df, [c for c in categorical_columns(df) if c not in {target, time_column, *CARRIED}], target)
     fit = df.where(fit_where) if fit_where is not None else df
     plan.encoding = plan_encoding(fit, texts)
-    plan.text_candidates = plan.encoding.codes[:8]
+    plan.text_candidates = list(plan.encoding.codes)
     encoded = encode_auto(df, plan.encoding, fit)
     order = [time_column, *order_by] if time_column else list(order_by)
-    indexed = with_row_index(encoded, order, entities if time_column else ())
+    indexed = encoded if {"idx", "n"} <= set(encoded.columns) else with_row_index(encoded, order, entities if time_column else ())
     added: dict[str, Column] = {}
     if time_column:
         longest = indexed.agg(F.max("n")).first()[0] or 0
@@ -181,7 +186,7 @@ def supervised_matrix(
         if year_axis:
             before = set(out.columns)
             out = year_features(out, time_column)
-            plan.temporal = list(added) + [c for c in out.columns if c not in before or c == "year"]
+            plan.temporal = list(added) + [c for c in out.columns if c not in before]
         else:
             calendar = calendar_columns(time_column) | cyclical_columns(time_column)
             out = out.withColumns(calendar)

@@ -149,7 +149,7 @@ def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
     """One row per column: kind, missing share, distinct values, moments, median, outlier share, mean words, top values."""
     numeric, temporal, strings = numeric_columns(df), time_columns(df), text_columns(df)
     rows = df.count()
-    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], rows)
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
     fences = fences_from(quartiles)
     dates = date_text_columns(df)
     null = F.lit(None).cast("double")
@@ -313,10 +313,10 @@ def high_cardinality(df: DataFrame, limit: int = 20) -> DataFrame:
     return distinct_counts(df, likely).where(F.col("unique_values") > limit).select("column", "unique_values")
 
 
-def high_cardinality_profile(profile: DataFrame, rows: int, first: int = 8) -> DataFrame:
-    """Columns of a profile whose distinct count exceeds min(500, max(50, half the rows)); at most eight."""
+def high_cardinality_profile(profile: DataFrame, rows: int) -> DataFrame:
+    """Columns of a profile whose distinct count exceeds min(500, max(50, half the rows))."""
     limit = min(500, max(50, int(rows * 0.5)))
-    return profile.where(F.col("unique_values") > limit).select("column", "unique_values").orderBy("column").limit(first)
+    return profile.where(F.col("unique_values") > limit).select("column", "unique_values")
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
@@ -334,9 +334,14 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float
     return named_rows(df, "column", facts)
 
 
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 over all columns of a row, told apart by name, so that long texts never become shuffle keys."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256))
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows, distinct rows and surplus copies."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    groups = df.groupBy(row_digest(df).alias("_row")).agg(F.count("*").alias("_copies"))
     return groups.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -344,7 +349,9 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One of each set of equal rows, told by digest; copies are reduced before the shuffle."""
+    kept = df.groupBy(row_digest(df).alias("_row")).agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_kept"))
+    return kept.select("_kept.*")
 
 
 def anomaly_report(df: DataFrame, k: float = 1.5, cardinality: int = 20) -> DataFrame:
@@ -396,17 +403,17 @@ def analyze_target(df: DataFrame, target: str, task: str = "regression", classes
 
 
 def record_batches(indexed: DataFrame, columns: Sequence[str], batches: int = 9) -> DataFrame:
-    """Profile of contiguous row ranges of a frame with ``idx`` and ``n``: rows, missing share, means of five numerics."""
+    """Profile of contiguous row ranges of a frame with ``idx`` and ``n``: rows, missing share, means of the numerics, parse rates of the times."""
     frame = indexed.select(*columns)
     numeric = numeric_columns(frame)
     size = F.greatest(F.ceil(F.col("n") / batches), F.lit(1))
     missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("double") for c in columns])
-    dates = [F.avg(F.col(c).isNotNull().cast("double")).alias(f"parse_rate_{c}") for c in time_columns(frame)[:5]]
+    dates = [F.avg(F.col(c).isNotNull().cast("double")).alias(f"parse_rate_{c}") for c in time_columns(frame)]
     return indexed.groupBy((F.floor(F.col("idx") / size) + 1).cast("long").alias("batch")).agg(
         F.count("*").alias("rows"), (F.min("idx") + 1).alias("first_row"), (F.max("idx") + 1).alias("last_row"),
         (F.sum(missing) * 100 / (F.count("*") * len(columns))).alias("missing_percent"),
         F.lit(len(numeric)).alias("numeric_columns"), F.lit(len(columns) - len(numeric)).alias("categorical_columns"),
-        *[F.avg(c).alias(f"mean_{c}") for c in numeric[:5]], *dates,
+        *[F.avg(c).alias(f"mean_{c}") for c in numeric], *dates,
     )
 
 

@@ -1,7 +1,6 @@
 """Exact interpolated quantiles of whole columns.
 
-``percentile`` keeps every distinct value of a column in one buffer. That is used up to ``DIRECT_ROWS`` rows. Beyond it
-the ranks are bracketed with the sketch of ``percentile_approx``, the rows below each bracket are counted, and only
+``percentile`` keeps every distinct value of a column in one buffer. Here the ranks are bracketed with the sketch of ``percentile_approx``, the rows below each bracket are counted, and only
 the values inside are looked at; brackets still too wide are narrowed by another sketch over the inside rows. Each round is
 a scan with map-side aggregation, so no column is ever sorted as a whole.
 """
@@ -13,23 +12,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-DIRECT_ROWS = 1_000_000
-INSIDE_VALUES = 200_000
+INSIDE_VALUES = 20_000
 ACCURACY = 10_000
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int | None = None,
-    direct_rows: int | None = None,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 ) -> dict[str, list[float | None]]:
     """``{column: [value per prob]}`` with linear interpolation; nulls are skipped, an empty column gives nulls."""
     if not columns:
         return {}
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    limit = DIRECT_ROWS if direct_rows is None else direct_rows
-    if (data.count() if rows is None else rows) <= limit:
-        row = data.agg(*[F.percentile(c, [float(p) for p in probs]).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
     sizes = data.agg(*[F.count(c).alias(c) for c in columns]).first()
     wanted = {}
     for c in columns:
@@ -131,10 +124,10 @@ def _around(key: tuple[str, int], bracket: tuple[float | None, float | None, int
 
 
 def iqr_fences(
-    df: DataFrame, columns: Sequence[str], k: float = 1.5, rows: int | None = None
+    df: DataFrame, columns: Sequence[str], k: float = 1.5,
 ) -> dict[str, tuple[float, float, float]]:
     """``{column: (low, high, iqr)}`` of the columns with any value."""
-    return fences_from(exact_quantiles(df, columns, [0.25, 0.75], rows), k)
+    return fences_from(exact_quantiles(df, columns, [0.25, 0.75]), k)
 
 
 def fences_from(quartiles: dict[str, list[float | None]], k: float = 1.5) -> dict[str, tuple[float, float, float]]:

@@ -16,17 +16,15 @@ from seriesloom.operators.frames import attach
 from seriesloom.session import cut_lineage
 
 BLOCK_ROWS = 1 << 17
-# Offsets (one row per key and partition) are broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def with_row_index(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Add ``idx`` (position within the key, from 0) and ``n`` (rows of the key).
 
-    ``order_by`` must end in something unique per key, or equal rows get positions in no particular order. The sorted rows
-    are checkpointed, so a lost executor cannot renumber them.
+    ``order_by`` must end in something unique per key, or equal rows get positions by a hash of the row, which also spreads them over
+    partitions. The sorted rows are checkpointed, so a lost executor cannot renumber them.
     """
-    sort = [*keys, *order_by]
+    sort = [*keys, *order_by, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
     placed = cut_lineage(
         df.repartitionByRange(*sort)
         .sortWithinPartitions(*sort)
@@ -42,10 +40,8 @@ def with_row_index(df: DataFrame, order_by: Sequence[str], keys: Sequence[str] =
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(same_key).alias("n"),
     )
-    # Kept as well, so that every use of the result is a join without shuffle and nothing is counted twice.
+    # Kept as well, so that nothing is counted twice; the planner joins them by their size.
     offsets = cut_lineage(offsets)
-    if offsets.count() <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     joined = attach(placed, offsets, [*keys, "_part"], "inner")
     return joined.withColumn("idx", F.col("_seq") - F.col("_first") + F.col("_before")).drop(
         "_part", "_seq", "_first", "_before"

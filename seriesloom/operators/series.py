@@ -219,8 +219,8 @@ def last_value(indexed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return indexed.where(F.col("idx") == F.col("n") - 1).select(*keys, F.col("ts").alias("last_ts"), F.col("value").alias("last"))
 
 
-def forward_backward_fill(indexed: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Fill gaps with the last value before, else the first value after, inside each key.
+def forward_backward_fill(indexed: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), backward: bool = True) -> DataFrame:
+    """Fill gaps with the last value before, else (with ``backward``) the first value after, inside each key.
 
     Inside a block this is a plain window. The value entering a block from outside comes from a table with one row per block,
     so a gap may be longer than a block.
@@ -249,8 +249,7 @@ def forward_backward_fill(indexed: DataFrame, columns: Sequence[str], keys: Sequ
         f"_fill{i}": F.last(c, ignorenulls=True).over(before) for i, c in enumerate(columns)
     } | {f"_next{i}": F.last(c, ignorenulls=True).over(after) for i, c in enumerate(columns)})
     joined = attach(filled, carried, [*keys, "_block"])
+    sources = ["_fill", "_from_before", *(["_next", "_from_after"] if backward else [])]
     return joined.select(*[
-        F.coalesce(f"_fill{columns.index(c)}", f"_from_before{columns.index(c)}", f"_next{columns.index(c)}",
-                   f"_from_after{columns.index(c)}").alias(c) if c in columns else F.col(c)
-        for c in indexed.columns
+        F.coalesce(*[f"{source}{columns.index(c)}" for source in sources]).alias(c) if c in columns else F.col(c) for c in indexed.columns
     ])

@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame, functions as F
 from seriesloom.operators.frames import attach
 
 
-def preview_page(df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 25) -> DataFrame:
-    """One page with ``total_rows`` and ``total_pages``; page from 1, size 1 to 100."""
-    size = max(1, min(page_size, 100))
-    rows = df.orderBy(*order_by).offset((max(page, 1) - 1) * size).limit(size)
+def preview_page(df: DataFrame, order_by: Sequence[str], page: int = 1, page_size: int = 25, after: Sequence | None = None) -> DataFrame:
+    """One page with ``total_rows`` and ``total_pages``; pages count from 1.
+
+    Without ``after`` the first page * page_size rows are held, which suits the first pages. ``after`` takes the values of ``order_by`` (none
+    null) in the last row before the page; then a page costs the same however deep it lies, and ``page`` is not used.
+    """
+    if page < 1 or page_size < 1:
+        raise ValueError("page and page_size must be at least 1")
+    if after is None:
+        rows = df.orderBy(*order_by).offset((page - 1) * page_size).limit(page_size)
+    else:
+        later = F.struct(*order_by) > F.struct(*[F.lit(v).alias(c) for c, v in zip(order_by, after)])
+        rows = df.where(later).orderBy(*order_by).limit(page_size)
     total = df.agg(F.count("*").alias("total_rows"))
-    return attach(rows, total).withColumn("total_pages", F.ceil(F.col("total_rows") / size).cast("long"))
+    return attach(rows, total).withColumn("total_pages", F.ceil(F.col("total_rows") / page_size).cast("long"))
 
 
 def sort_table(df: DataFrame, column: str, descending: bool = False, tie: Sequence[str] = ()) -> DataFrame:

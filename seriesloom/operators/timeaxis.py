@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,19 +24,12 @@ def parse_datetime(df: DataFrame, column: str, into: str) -> DataFrame:
     return df.withColumn(into, good[0] if good else readings[0])
 
 
-def is_date_like_text(df: DataFrame, columns: Sequence[str], order_by: Sequence[str] | None = None, sample: int = 25) -> DataFrame:
-    """``column, share, date_like``: at least 60 % of the values are shaped like a date.
+def is_date_like_text(df: DataFrame, columns: Sequence[str], least: float = 0.6) -> DataFrame:
+    """``column, share, date_like``: at least 60 % of all values are shaped like a date."""
+    from seriesloom.operators.frames import named_rows
 
-    With ``order_by`` the first 25 non-null values are looked at, without it all values.
-    """
-    parts = []
-    for c in columns:
-        values = df.where(F.col(c).isNotNull())
-        if order_by:
-            values = values.orderBy(*order_by).limit(sample)
-        share = F.coalesce(F.avg(text.is_date_shaped(F.col(c).cast("string")).cast("double")), F.lit(0.0))
-        parts.append(values.agg(F.lit(c).alias("column"), share.alias("share"), (share >= 0.6).alias("date_like")))
-    return reduce(DataFrame.unionByName, parts)
+    shares = {c: F.coalesce(F.avg(text.is_date_shaped(F.col(c).cast("string")).cast("double")), F.lit(0.0)) for c in columns}
+    return named_rows(df, "column", {c: {"share": share, "date_like": share >= least} for c, share in shares.items()})
 
 
 def _epoch(c: Column) -> Column:
@@ -91,17 +85,15 @@ def time_candidates(df: DataFrame) -> DataFrame:
     Timestamps and date text qualify; numbers never do here. Candidates need 80 % readable rows, a positive modal gap
     and a span of two days.
     """
-    dates = date_text_columns(df)
-    candidates = {c: F.col(c).cast("timestamp_ntz") for c in time_columns(df)}
-    candidates |= {c: text.parse_candidates(F.col(c))[i] for c, i in dates.items()}
+    readings = {c: ("timestamp", F.col(c).cast("timestamp_ntz")) for c in time_columns(df)}
+    readings |= {c: ("text", text.parse_candidates(F.col(c))[i]) for c, i in date_text_columns(df).items()}
+    if not readings:
+        return df.sparkSession.createDataFrame([], "column string, kind string, name_score double, distinct_times long, parse_rate double, consistency double, gap_ratio double")
+    # all candidates stacked, so that one keyed job indexes their times
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), r.alias("ts")) for c, (_, r) in readings.items()])).alias("x")).select("x.*")
     rows = df.count()
-    parts = []
-    for c, reading in candidates.items():
-        facts = gap_stats(df.select(reading.alias("ts")), "ts")
-        parts.append(facts.withColumn("column", F.lit(c)).withColumn("parse_rate", F.col("rows") / max(rows, 1)))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "column string, name_score double, distinct_times long, parse_rate double")
-    every = reduce(DataFrame.unionByName, parts)
+    kinds = F.create_map(*[F.lit(x) for c, (k, _) in readings.items() for x in (c, k)])
+    every = gap_stats(stacked, "ts", ["column"]).withColumns({"parse_rate": F.col("rows") / max(rows, 1), "kind": kinds[F.col("column")]})
     return every.where(
         (F.col("parse_rate") > 0.8) & (F.col("modal_gap_seconds") > 0)
         & (_epoch(F.col("end")) - _epoch(F.col("start")) >= 2 * DAY) & ~names.non_time_column(F.col("column"))
@@ -115,6 +107,51 @@ def detect_time_axis(df: DataFrame) -> DataFrame:
     ).limit(1)
 
 
+@dataclass(frozen=True)
+class TimeAxis:
+    """A time column and how to read it: ``timestamp``, ``text`` (dates as text) or ``year`` (numbers)."""
+
+    column: str
+    kind: str
+    consistency: float | None = None
+    gap_ratio: float = 0.0
+
+
+def find_time_axis(df: DataFrame, column: str | None = None, years: bool = True) -> TimeAxis | None:
+    """The given, else the detected, else the named time column or (with ``years``) the year column."""
+    if column is None:
+        found = detect_time_axis(df).first()
+        if found:
+            return TimeAxis(found["column"], found["kind"], found["consistency"], found["gap_ratio"])
+        found = fallback_time_axis(df).first()
+        if found is None or (found["source"] == "year" and not years):
+            return None
+        column = found["column"]
+    if column in time_columns(df):
+        return TimeAxis(column, "timestamp")
+    return TimeAxis(column, "year" if column in numeric_columns(df) else "text")
+
+
+def with_time(df: DataFrame, axis: TimeAxis) -> DataFrame:
+    """The frame with the axis column as a timestamp; a year stays a number."""
+    if axis.kind == "year":
+        return df
+    if axis.kind == "timestamp":
+        return df.withColumn(axis.column, F.col(axis.column).cast("timestamp_ntz"))
+    dates = date_text_columns(df.select(axis.column))
+    reading = text.parse_candidates(F.col(axis.column))[dates[axis.column]] if axis.column in dates else None
+    if reading is None:
+        return parse_datetime(df, axis.column, axis.column)
+    return df.withColumn(axis.column, reading)
+
+
+def instants(df: DataFrame, axis: TimeAxis) -> DataFrame:
+    """The frame with the axis column as a timestamp, years as their first instant."""
+    if axis.kind != "year":
+        return with_time(df, axis)
+    return df.withColumn(axis.column, F.make_timestamp_ntz(F.col(axis.column).cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+
+
 def implicit_index(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """``column, rows, unique_values, lowest, modal_step, is_index`` for integer columns counting up from near zero."""
     slim = with_row_index(df.select(*dict.fromkeys([*order_by, *columns])), order_by)
@@ -172,6 +209,8 @@ def fallback_time_axis(df: DataFrame) -> DataFrame:
         "column", F.lit("year").alias("source"), F.lit(1).alias("_order"), (-F.col("unique_values")).cast("int").alias("_tie")
     ) if numeric_columns(df) else None
     parts = [p for p in (found, years) if p is not None]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "column string, source string")
     return reduce(DataFrame.unionByName, parts).orderBy("_order", "_tie", "column").limit(1).select("column", "source")
 
 
@@ -215,5 +254,9 @@ def future_timestamps(df: DataFrame, ts: str, horizon: int, keys: Sequence[str]
 
 
 def sort_series(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Rows ordered by keys and time: range partitions, each sorted, so writers keep the order without a global merge."""
-    return df.repartitionByRange(*keys, ts).sortWithinPartitions(*keys, ts)
+    """Rows ordered by keys and time: range partitions, each sorted, so writers keep the order without a global merge.
+
+    Rows of one key and time are spread by a hash of the whole row.
+    """
+    order = [*keys, ts, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -8,9 +8,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from seriesloom.operators import autoregression, cleaning, features, scoring, timeaxis
-from seriesloom.operators.series import indexed_series
-from seriesloom.operators.trees import TreeResult, train_trees
+from seriesloom.operators.associations import eta_squared, predictive_signals, usable_features
+from seriesloom.operators.frames import numeric_columns
+from seriesloom.operators.rowindex import with_row_index
+from seriesloom.operators.series import indexed_series, noise_ratio
+from seriesloom.operators.timeaxis import TimeAxis, instants
+from seriesloom.operators.trees import SHORTEST, TreeResult, train_trees
+from seriesloom.operators.validation import persistence_baseline, regression_metrics, split_index
 from seriesloom.plans.profiling import series_facts
+from seriesloom.session import cut_lineage
+from seriesloom.sources.models import write_model
+from seriesloom.sources.runlog import append_run
 
 # The kernel and sequence models of the rule tables are trained as these ensembles.
 FAMILIES = {"RandomForest": "forest", "SVM": "forest", "XGBoost": "boosting", "LSTM": "boosting"}
@@ -37,36 +45,82 @@ class TrainingRun:
             self.baseline.select(*head, F.lit("last_value").alias("candidate"), *numbers))
 
 
-def choose_model(df: DataFrame, ts: str | None, target: str, override: str = "auto") -> str:
+def choose_model(df: DataFrame, axis: TimeAxis | None, target: str, order_by: Sequence[str], override: str = "auto", entities: Sequence[str] = ()) -> str:
+    """The model of the rule tables for the table's own facts; with entities the one that most of them get."""
     if override != "auto":
         return override
-    if ts is None:
-        rows = df.count()
-        return "RandomForest" if rows < 10_000 else "XGBoost"
-    facts = series_facts(df, ts, target)
-    family = scoring.recommend_strategy(facts).select("family").first()["family"]
-    numeric = len([c for c in df.columns if dict(df.dtypes)[c] in ("int", "bigint", "double", "float")])
-    ready = facts.withColumns({
-        "trust": F.lit(100.0), "family": F.lit(family), "strong_signals": F.lit(0), "numeric_columns": F.lit(numeric),
+    numeric, texts = usable_features(df, target)
+    quality = scoring.quality_report(df, target, axis.consistency if axis else None, axis.gap_ratio if axis else 0.0).first()
+    order = [*([axis.column] if axis else []), *order_by]
+    indexed = with_row_index(df.select(*dict.fromkeys([*order, target, *numeric])), order)
+    if axis is None:
+        noise = noise_ratio(indexed.withColumn("value", F.col(target).cast("double"))).first()["noise_ratio"]
+        facts = df.agg(F.count(target).alias("n")).withColumns({"noise_ratio": F.lit(noise), "score": scoring.forecastability_table(F.col("n"), F.lit(float(len(numeric))), F.lit(noise))})
+        return scoring.select_model(facts.withColumns({c: F.lit(0.0) for c in ("seasonality", "consistency", "trust", "strong_signals", "numeric_columns")}).withColumn("family", F.lit("")), timed=False).first()["model"]
+    signals = [predictive_signals(indexed, target, numeric)] if numeric else []
+    signals += [eta_squared(df, target, texts)] if texts else []
+    strong = sum(s.where("role = 'strong_driver'").count() for s in signals)
+    facts = series_facts(instants(df, axis), axis.column, target, entities)
+    kept = [*entities, "n", "score", "seasonality", "noise_ratio", "consistency"]
+    ready = scoring.recommend_strategy(facts, kept).withColumns({
+        "trust": F.lit(float(quality["trust_score"])), "strong_signals": F.lit(strong), "numeric_columns": F.lit(len(numeric_columns(df))),
     })
-    return scoring.select_model(ready).first()["model"]
+    models = scoring.select_model(ready, entities).groupBy("model").agg(F.count("*").alias("series"))
+    return models.orderBy(F.desc("series"), "model").first()["model"]
+
+
+def last_value_run(df: DataFrame, target: str, order: Sequence[str], keys: Sequence[str], time_column: str | None, steps: list[str]) -> TrainingRun:
+    """The result for tables too short for trees: the last training value stands for every later row."""
+    slim = df.where(F.col(target).isNotNull()).select(*dict.fromkeys([*keys, *order]), F.col(target).cast("double").alias("value"))
+    tests = persistence_baseline(with_row_index(slim, order, keys), keys)
+    scored = regression_metrics(tests.withColumns({"actual": F.col("value"), "predicted": F.col("baseline")}), keys)
+    return TrainingRun("LastValue", target, time_column, scored, scored, steps, keys=list(keys))
 
 
 def train_and_report(
     df: DataFrame, target: str, order_by: Sequence[str], time_column: str | None = None, entities: Sequence[str] = (),
-    model: str = "auto", grid: Sequence[dict] | None = None, folds: int = 4,
+    model: str = "auto", grid: Sequence[dict] | None = None, folds: int | None = None, dataset: str = "table", path: str | None = None,
 ) -> TrainingRun:
-    """The whole way from a table to a scored model. ``order_by`` makes the row order unique."""
-    if time_column is None:
-        axis = timeaxis.detect_time_axis(df).first() or timeaxis.fallback_time_axis(df).first()
-        time_column = axis["column"] if axis else None
-    chosen = choose_model(df, time_column, target, model)
-    if chosen == "ARIMA":
-        scored = autoregression.train_ar(indexed_series(df, time_column, target, entities), entities)
+    """The whole way from a table to a scored model. ``order_by`` makes the row order unique.
+
+    The table is ordered and split once, before anything is fitted: drops, fill values, fences and categories come from the
+    training rows only. The time column, given or found, is read as timestamp, date text or year. Fewer than 20 complete rows give the
+    last-value result. With ``path`` the model and a row of the run log are stored below it.
+    """
+    axis = timeaxis.find_time_axis(df, time_column)
+    column, keys = (axis.column, list(entities)) if axis else (None, [])
+    frame = timeaxis.with_time(df, axis) if axis else df
+    chosen = choose_model(frame, axis, target, order_by, model, keys)
+    if chosen == "ARIMA" and axis:
+        scored = autoregression.train_ar(indexed_series(instants(frame, axis), column, target, keys), keys)
         best = scored.where("best")
-        return TrainingRun(chosen, target, time_column, best, scored.where("candidate = 'last_value'"), ["autoregression on differences"], keys=list(entities))
-    clean, report = cleaning.prepare_frame(df, target, time_column, entities, order_by)
-    matrix, plan = features.supervised_matrix(clean, target, time_column, entities, order_by)
-    order = [*([time_column] if time_column else []), *order_by]
-    result = train_trees(matrix, target, plan.features, order, entities if time_column else (), FAMILIES[chosen], grid, folds)
-    return TrainingRun(chosen, target, time_column, result.metrics, result.baseline, report.steps, plan.features, result)
+        run = TrainingRun(chosen, target, column, best, scored.where("candidate = 'last_value'"), ["autoregression on differences"], keys=keys)
+        return _kept(run, dataset, path)
+    order = [*([column] if column else []), *order_by]
+    placed = with_row_index(cleaning.require_target(frame, target), order, keys)
+    placed = placed.withColumn(cleaning.TRAINING, F.col("idx") < split_index(F.col("n")))
+    fit = F.col(cleaning.TRAINING)
+    clean, report = cleaning.prepare_frame(placed, target, column, keys, order_by, fit)
+    matrix, plan = features.supervised_matrix(clean, target, column, keys, order_by, fit_where=fit, year_axis=axis is not None and axis.kind == "year")
+    matrix = cut_lineage(matrix)
+    if matrix.count() < SHORTEST:
+        return _kept(last_value_run(frame, target, order, keys, column, report.steps), dataset, path)
+    result = train_trees(matrix, target, plan.features, order, keys, FAMILIES.get(chosen, "forest"), grid, folds or (4 if axis else 3))
+    run = TrainingRun(chosen, target, column, result.metrics, result.baseline, report.steps, plan.features, result)
+    return _kept(run, dataset, path)
+
+
+def _kept(run: TrainingRun, dataset: str, path: str | None) -> TrainingRun:
+    """Store the fitted stages and append the run to the log, when a path is given."""
+    if path is None:
+        return run
+    report = run.report()
+    head = {"run_id": F.uuid(), "dataset": F.lit(dataset), "ts": F.current_timestamp().cast("timestamp_ntz"), "features": F.lit(len(run.features))}
+    rows = report.where("candidate = 'model'").withColumns(head)
+    append_run(rows.select("run_id", "dataset", "model", "mae", "rmse", "mape", "r2", "mase", "rows", "features", "target", "ts"), f"{path}/runs")
+    if run.trees is not None:
+        meta = run.metrics.select(F.lit(run.model).alias("model"), F.lit(run.target).alias("target"), F.to_json(F.map_from_arrays(
+            F.array(*[F.lit(k) for k in run.trees.params]), F.array(*[F.lit(float(v)) for v in run.trees.params.values()]))).alias("params"),
+            F.array(*[F.lit(f) for f in run.features]).alias("features"), "rows", "mae", "rmse", "r2")
+        write_model(run.trees.model, meta, f"{path}/model")
+    return run

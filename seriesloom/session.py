@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,7 +26,7 @@ def build_session(app_name: str = "seriesloom", master: str | None = None, **con
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints, as the cluster names it in ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a temporary folder; a cluster without it is an error, because
+    A local session without that setting uses a folder below its warehouse; a cluster without it is an error, because
     a folder of one machine is lost with that machine.
     """
     context = spark.sparkContext
@@ -39,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="seriesloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir() or folder
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -9,18 +11,34 @@ from seriesloom.operators.frames import nan_to_null
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
-    """CSV with header and inferred types; text that is not UTF-8 is read as latin-1.
+    """CSV with header and inferred types; a file with text that is not UTF-8 is read as latin-1, the others are not.
 
     Give ``schema`` for big folders: inference reads the data once more. ``multi_line`` allows line breaks inside quotes, at the price of
     one task per file.
     """
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() > 0
-    reader = (
-        spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-        .option("encoding", "ISO-8859-1" if broken else "UTF-8")
-    )
-    frame = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    return nan_to_null(frame)
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.max(~F.is_valid_utf8("value")).alias("broken"))
+    broken = {r["path"]: r["broken"] for r in files.collect()}  # one row per file
+    read = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    if not any(broken.values()):
+        frame = read.schema(schema).csv(path) if schema else read.option("inferSchema", True).csv(path)
+        return nan_to_null(frame)
+    sets = {e: [p for p, b in broken.items() if b == (e != "UTF-8")] for e in ("UTF-8", "ISO-8859-1")}
+    frames = [
+        read.option("encoding", e).schema(schema).csv(paths) if schema else read.option("encoding", e).option("inferSchema", False).csv(paths)
+        for e, paths in sets.items() if paths
+    ]
+    both = reduce(DataFrame.unionByName, frames)
+    return nan_to_null(both if schema else _typed(both))
+
+
+def _typed(text: DataFrame) -> DataFrame:
+    """All-text columns as the narrowest of long, double, timestamp and text that reads every value."""
+    kinds = ("bigint", "double", "timestamp")
+    row = text.agg(*[
+        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(k).isNull()).alias(f"{i}_{k}") for i, c in enumerate(text.columns) for k in kinds
+    ]).first()
+    chosen = [next((k for k in kinds if not row[f"{i}_{k}"]), "string") for i in range(len(text.columns))]
+    return text.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in zip(text.columns, chosen)])
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
@@ -35,29 +53,36 @@ def largest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
     return list_files(spark, folder, pattern).orderBy(F.desc("length"), "path").limit(1)
 
 
-def file_shapes(spark: SparkSession, folder: str, multi_line: bool = False, pattern: str = "*.csv") -> DataFrame:
+def file_shapes(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
     """``path, header, columns, rows`` per CSV file below a folder; rows are the parsed records after the header.
 
-    ``multi_line`` counts records with line breaks inside quotes as one, at the price of one task per file.
+    Files in which some line has an odd number of quotes may hold line breaks inside quotes: only these are parsed as a whole,
+    one task per file.
     """
     found = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
-    records = spark.read.options(**found).schema("first string").option("multiLine", multi_line).option("escape", '"').csv(folder)
-    counts = records.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg((F.count("*") - 1).alias("rows"))
-    starts = spark.read.options(**found).text(folder).where(F.col("_metadata.file_block_start") == 0).select(
-        F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("_at"), "value"
+    lines = spark.read.options(**found).text(folder).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
     )
-    first = starts.groupBy("path").agg(F.min_by("value", "_at").alias("_line"))
-    names = F.transform(F.split("_line", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit(""))))
-    return counts.join(first, "path").select("path", names.alias("header"), F.size(names).alias("columns"), "rows")
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """A table kept in far fewer files than there are cores is dealt out to all cores, for heavy work per row.
-
-    Tables in many files are returned as they are; a shuffle would cost more than it gains.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * len(df.inputFiles()) < cores else df
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    facts = lines.groupBy("path").agg(
+        F.count_if(F.length("value") > 0).alias("_lines"), F.max(odd % 2 == 1).alias("_split"), F.min_by("value", F.struct("_block", "_at")).alias("_first"),
+    )
+    split = [r["path"] for r in facts.where("_split").select("path").collect()]  # one row per such file
+    whole = facts.where("NOT _split").select("path", (F.col("_lines") - 1).alias("rows"), F.col("_first").alias("_line"))
+    header = _header(whole).select("path", "header", "rows")
+    if split:
+        read = lambda: spark.read.option("multiLine", True).option("escape", '"')
+        records = read().schema("first string").csv(split).groupBy(F.col("_metadata.file_path").alias("path")).agg((F.count("*") - 1).alias("rows"))
+        heads = spark.createDataFrame([(p, read().option("header", True).csv(p).columns) for p in split], "path string, header array<string>")
+        header = header.unionByName(heads.join(records, "path").select("path", "header", "rows"))
+    return header.select("path", "header", F.size("header").alias("columns"), "rows")
+
+
+def _header(files: DataFrame) -> DataFrame:
+    """``header``: the fields of ``_line``, quotes and escaped quotes read as in CSV."""
+    fields = F.regexp_extract_all("_line", F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = F.transform(fields, lambda f: F.trim(F.when(f.startswith('"'), F.replace(F.regexp_replace(f, r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f)))
+    return files.withColumn("header", plain)
 
 
 class FrameCache:

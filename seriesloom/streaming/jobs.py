@@ -11,11 +11,10 @@ from seriesloom.operators.frames import named_rows
 
 
 def partial_profile(batch: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column, rows, missing, total, squares, lowest, highest``: sums that add up over batches."""
+    """``column, rows, missing, mean, m2, lowest, highest``: m2 is the sum of squared distances from the batch's own mean."""
     return named_rows(batch, "column", {c: {
         "rows": F.count("*"), "missing": F.count_if(F.col(c).isNull()),
-        "total": F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)),
-        "squares": F.coalesce(F.sum(F.col(c).cast("double") * F.col(c)), F.lit(0.0)),
+        "mean": F.avg(F.col(c).cast("double")), "m2": F.var_pop(F.col(c).cast("double")) * F.count(c),
         "lowest": F.min(F.col(c).cast("double")), "highest": F.max(F.col(c).cast("double")),
     } for c in columns})
 
@@ -35,15 +34,18 @@ def stream_batch_profile(stream: DataFrame, columns: Sequence[str], path: str, c
 def reconcile_profile(spark: SparkSession, path: str) -> DataFrame:
     """``column, rows, missing, mean, std, lowest, highest`` over all batches written so far."""
     parts = spark.read.parquet(path)
-    sums = parts.groupBy("column").agg(
-        *[F.sum(c).alias(c) for c in ("rows", "missing", "total", "squares")],
+    n = F.col("rows") - F.col("missing")
+    # distances from a value near the means keep the merge exact for large values; one row per column
+    near = parts.groupBy("column").agg(F.min("mean").alias("_near"))
+    shifted = parts.join(near, "column").withColumn("_gap", F.col("mean") - F.col("_near"))
+    sums = shifted.groupBy("column").agg(
+        F.sum("rows").alias("rows"), F.sum("missing").alias("missing"), F.sum("m2").alias("_within"), F.any_value("_near").alias("_near"),
+        F.try_divide(F.sum(n * F.col("_gap")), F.sum(n)).alias("_gap"), F.try_divide(F.sum(n * F.col("_gap") ** 2), F.sum(n)).alias("_gap2"),
         F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
     )
-    n = F.col("rows") - F.col("missing")
-    mean = F.try_divide(F.col("total"), n)
+    between = F.greatest(F.col("_gap2") - F.col("_gap") ** 2, F.lit(0.0))
     return sums.select(
-        "column", "rows", "missing", mean.alias("mean"),
-        F.sqrt(F.greatest(F.try_divide(F.col("squares"), n) - mean * mean, F.lit(0.0))).alias("std"), "lowest", "highest",
+        "column", "rows", "missing", (F.col("_near") + F.col("_gap")).alias("mean"), F.sqrt(F.try_divide("_within", n) + between).alias("std"), "lowest", "highest",
     )
 
 

@@ -40,7 +40,7 @@ def test_bracketed_quantiles(spark, monkeypatch, inside):
     pdf = pd.DataFrame({"hot": hot, "flat": 2.0, "wide": rng.lognormal(0, 3, 3000)})
     df = spark.createDataFrame(pdf).withColumn("none", F.lit(None).cast("double")).repartition(5)
     probs = [0.0, 0.05, 0.25, 0.31, 0.5, 0.66, 0.75, 0.95, 1.0]
-    got = quantiles.exact_quantiles(df, ["hot", "flat", "wide", "none"], probs, direct_rows=0)
+    got = quantiles.exact_quantiles(df, ["hot", "flat", "wide", "none"], probs)
     for c in pdf:
         assert got[c] == pytest.approx(list(pdf[c].quantile(probs)), rel=1e-12)
     assert got["none"] == [None] * len(probs)
