@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm.components import components
-from seriesloom.llm.shared import free_name, stored
+from seriesloom.llm.shared import free_name, in_arrow, stored
 
 BITS = 64
 
@@ -60,7 +60,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str, width: int = 3, seed:
             prints = np.fromiter((simhash(column[i].as_py(), width, seed) for i in range(len(column))), np.uint64, len(column))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(prints.view(np.int64))], [*rest, name])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def near_links(prints: DataFrame, radius: int = 2, pairs_below: int = 48) -> DataFrame:

@@ -92,7 +92,8 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     ``size`` counts the words of the text (null: none). ``weights`` names every source, as the mix's definition; by default they are
     1, 2, 3 in turn. One row per source (its size and target) is held by the driver, as it is part of that definition. The copies of
     a document are its rate rounded down or up: along the order (source, size, hash, id) the fractions are summed in whole numbers,
-    and a document gets one more copy where the sum passes a whole number. A source thus misses its target by about one document.
+    and a document gets one more copy where the sum passes a whole number. What a source then still lacks or has too much, less than
+    about one large document, is made up by one copy more or less of the documents whose sizes come nearest, one per round.
     Documents without words get rate 1 and one copy of nothing. Repeated rows are documents of their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -106,10 +107,10 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, sourc
     plan = spark.createDataFrame(plan, "of string, source_size long, target double, tilt double")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("tilt").isNull(), F.lit(float(most))).otherwise(F.least(F.exp(F.least(F.col("tilt") * F.col("size"), F.lit(700.0))), F.lit(float(most))))
     rated = rows.join(plan, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("rate", rate)
-    return _rounded(rated.select("doc_id", "source", "size", "source_size", "target", "rate"))
+    return _rounded(rated.select("doc_id", "source", "size", "source_size", "target", "rate"), most)
 
 
-def _rounded(rated: DataFrame) -> DataFrame:
+def _rounded(rated: DataFrame, most: int, rounds: int = 3) -> DataFrame:
     """Rates to copies along a range-partitioned order; ties are spread by a hash, so no source or size is one task's."""
     order = ["source", "size", "spread", "doc_id"]
     whole = F.floor("rate")
@@ -123,7 +124,25 @@ def _rounded(rated: DataFrame) -> DataFrame:
     upto = F.sum("part").over(W.partitionBy("source", "slot").orderBy("place")) + F.col("before") + _UNIT // 2
     sized = sized.withColumn("upto", upto)
     extra = F.expr(f"upto div {_UNIT}") - F.expr(f"(upto - part) div {_UNIT}")
-    return sized.select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("whole") + extra).cast("long").alias("copies"))
+    rounded = sized.select("doc_id", "source", "size", "source_size", "target", "rate", "place", (F.col("whole") + extra).cast("long").alias("copies"))
+    for _ in range(rounds):
+        rounded = _nudged(stored(rounded, "copies"), most)
+    return rounded.drop("place")
+
+
+def _nudged(rounded: DataFrame, most: int) -> DataFrame:
+    """One copy more or less of one document in each source, where that brings the source's words nearer to its target."""
+    sums = rounded.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("aim"))
+    lack = F.col("aim") - F.col("taken")
+    sums = stored(sums.select(F.col("source").alias("of"), lack.alias("lack")), "lacks")
+    able = F.when(F.col("lack") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+    after = F.abs(F.abs("lack") - F.col("size"))
+    joined = rounded.join(sums, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    chosen = joined.where(able & (after < F.abs("lack"))).groupBy("source").agg(F.min_by("place", F.struct(after, F.xxhash64("doc_id"), "place")).alias("place"))
+    step = stored(chosen.select(F.col("place").alias("at")), "steps")
+    moved = joined.join(step, F.col("place") == F.col("at"), "left")
+    sign = F.when(F.col("at").isNull(), 0).when(F.col("lack") > 0, 1).otherwise(-1)
+    return moved.withColumn("copies", F.col("copies") + sign).select(*rounded.columns)
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", text: str = "text", most: int = 3) -> DataFrame:

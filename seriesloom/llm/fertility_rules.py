@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import free_name, stored, with_fields
+from seriesloom.llm.shared import free_name, in_arrow, stored, with_fields
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 _SYMBOLS = b"#*$%&|<>"
@@ -122,14 +122,25 @@ def with_measures(docs: DataFrame, text: str, name: str, keep_text: bool = True,
             measures = [meter.measure(texts[i].as_py()) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(measures, kind)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
+
+
+def _quartiles(cells: DataFrame, least: int, steps: int) -> DataFrame:
+    """(scope, value, metric, q1, q2, q3) from rows (scope, value, metric, bin), counted before the shuffle."""
+    counts = cells.groupBy("scope", "value", "metric", "bin").agg(F.count("*").alias("n"))
+    group = W.partitionBy("scope", "value", "metric")  # a few thousand bins at most
+    ranked = counts.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "total": F.sum("n").over(group)}).where(F.col("total") >= least)
+    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / steps
+    return ranked.groupBy("scope", "value", "metric").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
 
 
 def bands(measured: DataFrame, lang: str, name: str, width: float = 4.0, least: int = 50, steps: int = 400) -> DataFrame:
-    """(scope, value, metric, low, high): accepted values per language, per script and over all, from all documents that pass the base.
+    """(scope, value, metric, low, high, center): accepted values per language, per script and over all, from all documents that pass the base.
 
-    Quartiles are read from counts per 1/``steps`` of a metric, so they are the same however the rows are spread; the band reaches
-    ``width`` interquartile ranges (at least 0.05 each) beyond them. Scopes of fewer than ``least`` documents give no band.
+    Quartiles are read from counts per 1/``steps`` of a metric, so they are the same however the rows are spread; a band reaches
+    ``width`` interquartile ranges beyond them (of entropy and fallback share at least 0.05 each). Characters per token are judged by their
+    distance from the scope's median times the root of the number of tokens, as short texts scatter more; their ``low`` and ``high``
+    bound that product. Scopes of fewer than ``least`` documents give no band.
     """
     m = F.col(name)
     base = measured.where(~failed_base(name)).where(m["n_tokens"] > 0)
@@ -137,15 +148,18 @@ def bands(measured: DataFrame, lang: str, name: str, width: float = 4.0, least:
         F.struct(F.lit("lang").alias("scope"), F.col(lang).cast("string").alias("value")),
         F.struct(F.lit("script").alias("scope"), m["script"].alias("value")), F.struct(F.lit("all").alias("scope"), F.lit("").alias("value")),
     )
-    metrics = F.array(*[F.struct(F.lit(x).alias("metric"), F.round(m[x] * steps).cast("int").alias("bin")) for x in METRICS])
-    cells = base.select(scopes.alias("s"), metrics.alias("m")).select(F.explode("s").alias("s"), "m").select("s.*", F.explode("m").alias("m"))
-    cells = cells.select("scope", "value", "m.*").where(F.col("value").isNotNull()).groupBy("scope", "value", "metric", "bin").agg(F.count("*").alias("n"))
-    group = W.partitionBy("scope", "value", "metric")  # a few thousand bins at most
-    ranked = cells.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group)).where(F.col("total") >= least)
-    quartile = lambda q: (F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) / steps)
-    edges = ranked.groupBy("scope", "value", "metric").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    base = base.select(F.explode(scopes).alias("s"), m["n_tokens"].alias("n_tokens"), *[m[x].alias(x) for x in METRICS]).select("s.*", "n_tokens", *METRICS)
+    base = base.where(F.col("value").isNotNull())
+    metrics = F.array(*[F.struct(F.lit(x).alias("metric"), F.round(F.col(x) * steps).cast("int").alias("bin")) for x in METRICS])
+    plain = stored(_quartiles(base.select("scope", "value", F.inline(metrics)), least, steps), "quartiles")
+    center = plain.where(F.col("metric") == METRICS[0]).select("scope", "value", F.col("q2").alias("center"))
+    spread = base.join(center, ["scope", "value"]).withColumn("bin", F.round((F.col(METRICS[0]) - F.col("center")) * F.sqrt("n_tokens") * steps).cast("int"))
+    spread = _quartiles(spread.select("scope", "value", F.lit(METRICS[0]).alias("metric"), "bin"), least, steps).join(center, ["scope", "value"])
+    reach = width * (F.col("q3") - F.col("q1"))
+    scaled = spread.select("scope", "value", "metric", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"), "center")
     reach = width * F.greatest(F.col("q3") - F.col("q1"), F.lit(0.05))
-    return edges.select("scope", "value", "metric", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    rest = plain.where(F.col("metric") != METRICS[0])
+    return scaled.unionByName(rest.select("scope", "value", "metric", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"), F.lit(None).cast("double").alias("center")))
 
 
 def failed_base(name: str):
@@ -159,7 +173,7 @@ def judged(measured: DataFrame, lang: str, name: str, low: str, kept: str, width
     The scope is the language where it has a band, else the script, else all documents; without any band only the base decides.
     """
     m = F.col(name)
-    found = bands(measured, lang, name, width).groupBy("scope", "value").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high")))).alias("band"))
+    found = bands(measured, lang, name, width).groupBy("scope", "value").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high", "center")))).alias("band"))
     found = stored(found, "bands")
     out = measured
     for scope, key in (("lang", F.col(lang).cast("string")), ("script", m["script"]), ("all", F.lit(""))):
@@ -168,7 +182,8 @@ def judged(measured: DataFrame, lang: str, name: str, low: str, kept: str, width
     band = F.coalesce("_lang_band", "_script_band", "_all_band")
     inside = F.lit(True)
     for x in METRICS:
-        inside &= F.coalesce(m[x].between(band[x]["low"], band[x]["high"]), F.lit(True))
+        judged_by = F.coalesce((m[x] - band[x]["center"]) * F.sqrt(m["n_tokens"]), m[x])
+        inside &= F.coalesce(judged_by.between(band[x]["low"], band[x]["high"]), F.lit(True))
     return out.withColumns({low: failed_base(name), kept: ~failed_base(name) & inside}).drop("_lang_band", "_script_band", "_all_band")
 
 

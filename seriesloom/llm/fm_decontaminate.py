@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm.fm_index import FMIndex
-from seriesloom.llm.shared import free_name
+from seriesloom.llm.shared import free_name, in_arrow
 
 #: ASCII capitals become small; other ASCII signs than digits and letters become spaces; all bytes of other characters stay.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -135,7 +135,7 @@ def _searched(docs: DataFrame, shared, text: str, name: str, again: bool) -> Dat
             kind = kind or pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, kind)], [*columns, name])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 13, share: int = 20) -> DataFrame:

@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import stored
+from seriesloom.llm.shared import in_arrow, stored
 
 BUCKETS = 1 << 18
 _SHAPES = bytes(b if 0x21 <= b <= 0x7E and not chr(b).isalnum() else 0x20 for b in range(256))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of a text's lower-cased words, bare words, patterns of signs, and two coarse shares."""
+    """Sorted distinct buckets of a text's lower-cased bare words, their beginnings, patterns of signs, and two coarse shares."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
     words = raw.split()
     distinct = set(words)
@@ -32,7 +32,8 @@ def features(text: str | None) -> np.ndarray:
     signs = {b"\x00s" + s for s in set(raw.translate(_SHAPES).split()) if len(s) > 1 or s in b"#*$%&|<>"}
     variety = b"\x00v%d" % (10 * len(distinct) // max(1, len(words)))
     length = b"\x00l%d" % len(words).bit_length()
-    every = [*(b"\x00b" + w for w in bare), *signs, variety, length]
+    starts = {b"\x00%d" % n + w[:n] for n in (5, 6, 8) for w in bare if len(w) > n}  # of word families
+    every = [*(b"\x00b" + w for w in bare), *starts, *signs, variety, length]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, every), np.uint64, len(every))
     return np.unique((hashes % np.uint64(BUCKETS)).astype(np.int32))
 
@@ -49,12 +50,24 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.bias + total[ends] - total[starts], -30, 30)))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.1, shrink: float = 1e-5) -> Classifier:
-    """Logistic regression by AdaGrad on sparse binary features, in a fixed order."""
+def telling(rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 5, least_chi2: float = 20.0) -> np.ndarray:
+    """Which buckets occur in enough rows and depend on the label by the chi-squared test."""
+    n = len(rows)
+    with_label, among = (np.bincount(np.concatenate(x), minlength=BUCKETS).astype(float) for x in ([r for r, y in zip(rows, labels) if y], rows))
+    total = labels.sum()
+    gap = with_label * n - among * total
+    chi2 = gap * gap / np.maximum(among * (n - among) * total * (n - total) / n, 1e-9)
+    return (among >= least_rows) & (chi2 > least_chi2)
+
+
+def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.2, shrink: float = 1e-5) -> Classifier:
+    """Logistic regression by AdaGrad on the telling ones of sparse binary features, in a fixed order."""
     weights, squares, bias = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6), 0.0
     if not len(rows) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return Classifier(weights.astype(np.float32), float(np.log(share / (1 - share))))
+    kept = telling(rows, labels)
+    rows = [r[kept[r]] for r in rows]
     bias, order = float(np.log(labels.mean() / (1 - labels.mean()))), np.random.default_rng(0)
     for _ in range(epochs):
         for at in np.array_split(order.permutation(len(rows)), max(1, len(rows) // batch)):
@@ -80,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], doc_id: st
             yield pa.RecordBatch.from_arrays([*(batch.column(t) for t in targets), pa.array([features(texts[i].as_py()) for i in range(len(texts))], pa.list_(pa.int32()))], [*targets, "features"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, "id").select("text", *targets)
-    found = rows.mapInArrow(run, ", ".join(f"{t} double" for t in targets) + ", features array<int>").toArrow()
+    found = in_arrow(rows, run, ", ".join(f"{t} double" for t in targets) + ", features array<int>").toArrow()
     arrays = [x.values.to_numpy() for x in found.column("features").combine_chunks()] if len(found) else []
     order = sorted(range(len(arrays)), key=lambda i: arrays[i].tobytes())  # independent of how the rows came in
     out = {}
@@ -105,7 +118,7 @@ def with_evidence(docs: DataFrame, classifiers: dict[str, Classifier], text: str
             found = [models[n].probability(rows) if rows else np.empty(0) for n in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(p, pa.float64()) for p in found)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def _strength(groups: DataFrame, parent_mean, mean, within, n) -> float:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import row_slices, with_fields
+from seriesloom.llm.shared import in_arrow, row_slices, with_fields
 
 BUCKETS = 1 << 16
 _PIECE = 2 << 20
@@ -65,7 +65,7 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
             used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used])], ["lang", "bucket", "n"])
 
-    counted = docs.select(text, lang).mapInArrow(run, "lang string, bucket int, n long")
+    counted = in_arrow(docs.select(text, lang), run, "lang string, bucket int, n long")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -165,7 +165,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", name: str =
                         found.append({"lang": model.languages[i], "share": min(1.0, float(x[i])), "languages": [(model.languages[j], float(x[j])) for j in np.flatnonzero(x > 1e-4).tolist()]})
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, kind)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def fold(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import row_slices, stored
+from seriesloom.llm.shared import in_arrow, row_slices, stored
 
 CLASSES = MEMBERS = 32
 UNITS = CLASSES * MEMBERS
@@ -50,7 +50,7 @@ def word_table(docs: DataFrame, text: str) -> DataFrame:
                     counts = Counter()
         yield emit(counts)
 
-    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return in_arrow(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -178,7 +178,7 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", step: int = 40
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([net.flat], pa.list_(pa.float32()))], ["seen", "flat"])
 
-    copies = stored(docs.select(text).mapInArrow(run, "seen double, flat array<float>"), "networks")
+    copies = stored(in_arrow(docs.select(text), run, "seen double, flat array<float>"), "networks")
     sums = copies.select("seen", F.posexplode("flat").alias("at", "x")).groupBy("at").agg((F.sum(F.col("seen") * F.col("x")) / F.sum("seen")).alias("x")).orderBy("at").collect()
     return np.array([r.x for r in sums], np.float32) if sums else Network(words.counts).flat
 
@@ -207,7 +207,7 @@ def scored(docs: DataFrame, words: Vocabulary, flat: np.ndarray, text: str = "te
                     count += np.bincount(owner[real], minlength=len(column))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(count), pa.array(total)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def pseudo_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from seriesloom.llm.shared import row_slices, stored
+from seriesloom.llm.shared import in_arrow, row_slices, stored
 from seriesloom.session import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), ids, lengths], ["file", "ordinal", "doc_id", "bytes"])
                 ordinal += n
 
-    return stored(rows.mapInArrow(run, _WRITTEN), "ordinals")
+    return stored(in_arrow(rows, run, _WRITTEN), "ordinals")
 
 
 def file_blocks(spark: SparkSession, files: DataFrame, block_bytes: int) -> DataFrame:
@@ -99,7 +99,7 @@ def scan(files: DataFrame, end: int = END_OF_DOCUMENT, dtype: str = "<u2", block
             ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), ends], ["file", "block", "ends"])
 
-    scanned = stored(blocks.mapInArrow(run, "file string, block long, ends array<long>"), "ends")
+    scanned = stored(in_arrow(blocks, run, "file string, block long, ends array<long>"), "ends")
     # prefix scan over the blocks of a file: one narrow row per block
     marks = scanned.select("file", "block", F.size("ends").cast("long").alias("n"), F.element_at(F.when(F.size("ends") > 0, F.col("ends")), -1).alias("last"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)

@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+import seriesloom
 from seriesloom.session import shared_dir
 
+_shipped: set[str] = set()
+
 #: Bytes that separate words: space and tab to carriage return.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, as --py-files does, once per application."""
+    context, root = spark.sparkContext, Path(seriesloom.__file__).parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="seriesloom-")), "seriesloom-code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow whose workers can import this package."""
+    ship_code(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the folder that all executors share and read it again.
 
@@ -92,4 +118,4 @@ def with_word_count(df: DataFrame, text: str, name: str) -> DataFrame:
             columns = [batch.column(c) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(word_counts(batch.column(text)), pa.int64())], [*rest, name])
 
-    return df.mapInArrow(count, schema)
+    return in_arrow(df, count, schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import free_name, stored, with_word_count
+from seriesloom.llm.shared import free_name, in_arrow, stored, with_word_count
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that powers never vanish
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -119,7 +119,7 @@ def _sorted_suffixes(rows: DataFrame, min_words: int, seed_words: int) -> DataFr
             yield batch_of(held)
 
     order = ["seed", "around", "doc_id", "row", "anchor"]
-    return rows.mapInArrow(run, _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
+    return in_arrow(rows, run, _SUFFIX).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _compared(suffixes: DataFrame, min_words: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _compared(suffixes: DataFrame, min_words: int) -> DataFrame:
                 pa.array(np.full(len(start), False)), pa.array(np.repeat(run_sizes[these] > 1, n)), pa.array(np.repeat(seed[these], n)), pa.array(values[np.repeat(at[these], n) + inner]),
             ], _names(_EVENT))
 
-    return suffixes.mapInArrow(run, _EVENT)
+    return in_arrow(suffixes, run, _EVENT)
 
 
 def _names(schema: str) -> list[str]:
@@ -244,7 +244,7 @@ def _merged_spans(spans: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([ids, rows, pa.array(both[0], kind), pa.array(both[1], kind)], schema.names)
 
-    return grouped.mapInArrow(run, schema)
+    return in_arrow(grouped, run, schema)
 
 
 def _numbered(docs: DataFrame, doc_id: str, text: str):
@@ -304,4 +304,4 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             columns = [pa.array(new, texts.type) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return _joined(numbered, found, doc_id, row).drop(row).mapInArrow(run, schema)
+    return in_arrow(_joined(numbered, found, doc_id, row).drop(row), run, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import stored
+from seriesloom.llm.shared import in_arrow, stored
 from seriesloom.session import shared_dir
 
 _START = "WARC/1.1\r\n"
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, page: str = "page_id", uri: str = "url", pa
 
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     # the writer takes strings, and writes their bytes as they are
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).text(folder)
+    in_arrow(rows, run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", _END).text(folder)
     return folder
 
 
@@ -152,7 +152,7 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
             rows = [_parsed(v) for v in (values[i].as_py() for i in range(len(values))) if v.strip()]
             yield pa.RecordBatch.from_pylist(rows, kind)
 
-    return lines.mapInArrow(run, CHUNKS)
+    return in_arrow(lines, run, CHUNKS)
 
 
 RECORDS = T.StructType([
@@ -193,4 +193,4 @@ def records(chunks: DataFrame) -> DataFrame:
 
     single = F.col("last") & (F.col("chunk") == 1)
     long = chunks.where(~single).repartition("record_id", "number").sortWithinPartitions("record_id", "number", "chunk")
-    return chunks.where(single).mapInArrow(run, RECORDS).unionByName(long.mapInArrow(run, RECORDS))
+    return in_arrow(chunks.where(single), run, RECORDS).unionByName(in_arrow(long, run, RECORDS))
