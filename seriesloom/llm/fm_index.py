@@ -74,7 +74,7 @@ class FMIndex:
         symbols = np.append(sequence.astype(np.int64), 0)
         bits = max(1, int(symbols.max()).bit_length())
         order = suffix_order(symbols, bits)
-        self.size = len(symbols)
+        self.size, self.largest = len(symbols), int(symbols.max())
         self.tree = WaveletMatrix(symbols[order - 1], bits)  # the last column; position 0 is preceded by the end sign
         self.before = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=(1 << bits) + 1))))
         kept = order % sampled == 0
@@ -83,7 +83,8 @@ class FMIndex:
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row range of each phrase; phrases stand right-aligned in a matrix and are read from their last word to their first."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.size, np.int64)
+        low = np.zeros(len(phrases), np.int64)
+        high = np.where(phrases.max(axis=1, initial=0) > self.largest, 0, self.size)  # a word that the shard lacks
         width = phrases.shape[1]
         for k in range(int(lengths.max(initial=0))):
             at = np.flatnonzero((lengths > k) & (low < high))
