@@ -105,13 +105,13 @@ class Meter:
 
 
 def with_measures(docs: DataFrame, text: str, name: str, keep_text: bool = True, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` with a struct ``name`` of MEASURES. A null text counts as empty and has no fertility.
+    """``docs`` with a struct ``name`` of MEASURES (a column of that name is replaced). A null text counts as empty and has no fertility.
 
     The vocabulary file (0.5 MB) is read where the job is built and travels to the tasks.
     """
     with open(vocabulary, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    columns = [c for c in docs.columns if keep_text or c != text]
+    columns = [c for c in docs.columns if (keep_text or c != text) and c.lower() != name.lower()]
     schema = with_fields(docs.select(*[docs[c] for c in columns]), T.StructField(name, MEASURES, False))
     kind = pa.struct([(f.name, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[f.dataType.typeName()]) for f in MEASURES])
 
@@ -174,17 +174,21 @@ def judged(measured: DataFrame, lang: str, name: str, low: str, kept: str, width
     """
     m = F.col(name)
     found = bands(measured, lang, name, width).groupBy("scope", "value").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("low", "high", "center")))).alias("band"))
-    found = stored(found, "bands")
-    out = measured
-    for scope, key in (("lang", F.col(lang).cast("string")), ("script", m["script"]), ("all", F.lit(""))):
-        right = found.where(F.col("scope") == scope).select(F.col("value").alias(f"_{scope}_value"), F.col("band").alias(f"_{scope}_band"))
-        out = out.join(right, key == F.col(f"_{scope}_value"), "left").drop(f"_{scope}_value")
-    band = F.coalesce("_lang_band", "_script_band", "_all_band")
+    # the band of every pair of language and script that occurs: its language's, else its script's, else that of all
+    pairs = measured.select(F.col(lang).cast("string").alias("of_lang"), m["script"].alias("of_script")).distinct()
+    order = (("lang", F.col("of_lang")), ("script", F.col("of_script")), ("all", F.lit("")))
+    scopes = F.array(*[F.struct(F.lit(rank).alias("rank"), F.lit(scope).alias("scope"), value.alias("value")) for rank, (scope, value) in enumerate(order)])
+    nearest = pairs.select("*", F.inline(scopes)).join(found, ["scope", "value"]).groupBy("of_lang", "of_script").agg(F.min_by("band", "rank").alias("band"))
+    nearest = stored(nearest, "bands")
+    of_lang, of_script, band_of = (free_name(measured, n) for n in ("of_lang", "of_script", "band"))
+    nearest = nearest.toDF(of_lang, of_script, band_of)
+    out = measured.join(nearest, F.col(lang).cast("string").eqNullSafe(F.col(of_lang)) & (m["script"] == F.col(of_script)), "left")
+    band = F.col(band_of)
     inside = F.lit(True)
     for x in METRICS:
         judged_by = F.coalesce((m[x] - band[x]["center"]) * F.sqrt(m["n_tokens"]), m[x])
         inside &= F.coalesce(judged_by.between(band[x]["low"], band[x]["high"]), F.lit(True))
-    return out.withColumns({low: failed_base(name), kept: ~failed_base(name) & inside}).drop("_lang_band", "_script_band", "_all_band")
+    return out.withColumns({low: failed_base(name), kept: ~failed_base(name) & inside}).drop(of_lang, of_script, band_of)
 
 
 def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", width: float = 4.0) -> DataFrame:
