@@ -51,7 +51,7 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def with_fingerprint(df: DataFrame, text: str, name: str, width: int = 3, seed: int = 42) -> DataFrame:
     """The table without its text, with the 64-bit fingerprint (as a signed long) instead."""
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, name)]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,7 +105,7 @@ def _merged(offsets: np.ndarray, starts: np.ndarray, which: np.ndarray, phrases:
 
 
 def with_benchmark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "found", window: int = 13, part_bytes: int = 16 << 20) -> DataFrame:
-    """``docs`` with a struct ``name``: n_words, n_hit, merged word spans [start, end) and the sorted ids of the items found.
+    """``docs`` with a struct ``name`` (a column of that name is replaced): n_words, n_hit, merged word spans [start, end) and the sorted ids of the items found.
 
     Item texts travel to the executors in parts of about ``part_bytes``; a larger benchmark is searched part by part over the same
     rows, so no broadcast outgrows that bound and nothing is left out. Items without words are no phrase. An item of fewer than
@@ -123,7 +123,7 @@ def with_benchmark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "tex
 
 
 def _searched(docs: DataFrame, shared, text: str, name: str, again: bool) -> DataFrame:
-    columns = [c for c in docs.columns if not (again and c == name)]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField(name, FOUND, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

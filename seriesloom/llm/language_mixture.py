@@ -142,13 +142,13 @@ def mixtures(texts: list[str | None], model: Model, span_words: int = 5, rounds:
 
 
 def with_language(docs: DataFrame, model: Model, text: str = "text", name: str = "language", keep_text: bool = True, **options) -> DataFrame:
-    """``docs`` with a struct ``name`` of MIXTURE: the leading language, its share, and the shares of all languages of the set.
+    """``docs`` with a struct ``name`` of MIXTURE (a column of that name is replaced): the leading language, its share, and the shares of all languages of the set.
 
     A null text, a text without a letter, and any text where no language was learned give ``und``, share 0 and no languages.
     Equally likely languages go to the one with more training text. Whole texts are read, in pieces of about 2 MB of documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in docs.columns if keep_text or c != text]
+    columns = [c for c in docs.columns if (keep_text or c != text) and c.lower() != name.lower()]
     schema = with_fields(docs.select(*[docs[c] for c in columns]), T.StructField(name, MIXTURE, False))
     kind = pa.struct([("lang", pa.string()), ("share", pa.float64()), ("languages", pa.map_(pa.string(), pa.float64()))])
 

@@ -110,7 +110,7 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 def with_word_count(df: DataFrame, text: str, name: str) -> DataFrame:
     """The table without its text, with the text's number of words instead."""
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, name)]
     schema = T.StructType([*(df.schema[c] for c in rest), T.StructField(name, T.LongType(), False)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
