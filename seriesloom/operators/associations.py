@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions import names, stats
@@ -12,53 +13,48 @@ from seriesloom.operators.frames import attach, categorical_columns, named_rows,
 from seriesloom.operators.profile import value_frequencies
 from seriesloom.operators.rowindex import block_columns, block_window
 
-PAIRS_PER_SCAN = 400
+SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``feature1, feature2, correlation`` for every pair of numeric columns (first before second in column order).
 
-    Rows with both values count. A first scan takes the means; the second sums products of distances from them, which keeps the
-    sums small and needs one plain sum per pair where no value is missing. Without variance the correlation is null.
+    Rows with both values count. A first scan takes the means. The second multiplies each Arrow batch of distances from them with itself,
+    one product for all pairs of however many columns; a task hands on one row per pair. Without variance the correlation is null.
     """
     columns = list(columns or numeric_columns(df))
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "feature1 string, feature2 string, correlation double")
-    facts = df.agg(F.count("*").alias("rows"), *[
-        F.struct(F.count(c).alias("n"), F.avg(c).alias("mean")).alias(f"_{c}") for c in columns
-    ]).first()
-    full = {c for c in columns if facts[f"_{c}"]["n"] == facts["rows"]}
-    far = {c: F.col(c).cast("double") - F.lit(facts[f"_{c}"]["mean"] or 0.0) for c in columns}
-    noise = {c: (1e-13 * (facts[f"_{c}"]["mean"] or 0.0)) ** 2 for c in columns}  # rounding of the mean itself
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[start:start + PAIRS_PER_SCAN]
-        sums: dict[str, Column] = {"n": F.count("*").cast("double")}
-        results = []
-        for a, b in chunk:
-            if a in full and b in full:
-                sums.setdefault(f"{a}*{a}", F.sum(far[a] * far[a]))
-                sums.setdefault(f"{b}*{b}", F.sum(far[b] * far[b]))
-                sums[f"{a}*{b}"] = F.sum(far[a] * far[b])
-                results.append(_ratio(f"{a}*{b}", f"{a}*{a}", f"{b}*{b}", "n", noise[a], noise[b]))
-            else:
-                x, y = F.when(F.col(b).isNotNull(), far[a]), F.when(F.col(a).isNotNull(), far[b])
-                own = f"{a},{b}:"
-                sums |= {own + "n": F.count(x * y).cast("double"), own + "x": F.sum(x), own + "y": F.sum(y),
-                         own + "xx": F.sum(x * x), own + "yy": F.sum(y * y), own + "xy": F.sum(x * y)}
-                part = lambda p, q: F.col(f"`{own}{p}{q}`") - F.try_divide(F.col(f"`{own}{p}`") * F.col(f"`{own}{q}`"), F.col(f"`{own}n`"))
-                results.append(_ratio(part("x", "y"), part("x", "x"), part("y", "y"), own + "n", noise[a], noise[b]))
-        wide = df.agg(*[c.alias(name) for name, c in sums.items()])
-        rows = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"), r.alias("correlation"))
-            for (a, b), r in zip(chunk, results)
-        ])))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _ratio(xy: Column | str, xx: Column | str, yy: Column | str, n: str, noise_x: float, noise_y: float) -> Column:
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    center = np.array([m if m is not None else 0.0 for m in means], float)
+    above = np.triu_indices(len(columns), 1)
+
+    def products(batches):
+        total = np.zeros((4, len(center), len(center)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+            there = ~np.isnan(values)
+            values = np.where(there, values - center, 0.0)
+            there = there.astype(float)
+            total += np.stack((there.T @ there, values.T @ there, (values * values).T @ there, values.T @ values))
+        n, x, xx, xy = total
+        parts = (n[above], x[above], x.T[above], xx[above], xx.T[above], xy[above])
+        arrays = [pa.array(a.astype(np.int32)) for a in above] + [pa.array(p) for p in parts]
+        yield pa.RecordBatch.from_arrays(arrays, ["a", "b", *SUMS])
+
+    numbers = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = numbers.mapInArrow(products, "a int, b int, " + ", ".join(f"{s} double" for s in SUMS))
+    sums = sums.groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in SUMS])
+    part = lambda p, q: F.col(p + q) - F.try_divide(F.col(p) * F.col(q), F.col("n"))
+    noise = F.array(*[F.lit((1e-13 * m) ** 2) for m in center.tolist()])  # rounding of the means themselves
+    named = F.array(*[F.lit(c) for c in columns])
+    ratio = _ratio(part("x", "y"), part("x", "x"), part("y", "y"), "n", F.element_at(noise, F.col("a") + 1), F.element_at(noise, F.col("b") + 1))
+    return sums.select(F.element_at(named, F.col("a") + 1).alias("feature1"), F.element_at(named, F.col("b") + 1).alias("feature2"), ratio.alias("correlation"))
+
+
+def _ratio(xy: Column | str, xx: Column | str, yy: Column | str, n: str, noise_x: Column | float, noise_y: Column | float) -> Column:
     xy, xx, yy = (F.col(f"`{c}`") if isinstance(c, str) else c for c in (xy, xx, yy))
     varies = (xx > F.col(f"`{n}`") * noise_x) & (yy > F.col(f"`{n}`") * noise_y)
     return F.when(varies, F.try_divide(xy, F.sqrt(F.greatest(xx, F.lit(0.0))) * F.sqrt(F.greatest(yy, F.lit(0.0)))))

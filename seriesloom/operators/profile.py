@@ -148,7 +148,6 @@ def infer_kind(df: DataFrame) -> DataFrame:
 def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
     """One row per column: kind, missing share, distinct values, moments, median, outlier share, mean words, top values."""
     numeric, temporal, strings = numeric_columns(df), time_columns(df), text_columns(df)
-    rows = df.count()
     quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
     fences = fences_from(quartiles)
     dates = date_text_columns(df)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,8 @@ from seriesloom.operators.frames import attach
 
 # Fixed value: width of the hashed vectors.
 DIMENSIONS = 384
-QUERY_FLOATS = 4_000_000
+# Rows of a block of vectors and of a block of queries: what one task multiplies at a time.
+VECTORS_IN_BLOCK, QUERIES_IN_BLOCK = 16_384, 2_048
 
 
 def query_tokens(query: str) -> list[str]:
@@ -85,41 +86,37 @@ def dense_vectors(sparse: DataFrame, id_column: str, dimensions: int = DIMENSION
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, query_column: str, embedding: str = "embedding") -> DataFrame:
     """``query, rank, id, score``: the k largest inner products of unit vectors per query.
 
-    Each Arrow batch is multiplied with the query matrix and keeps its own best k per query; the few survivors are ranked per
-    query. Queries travel to the tasks in groups of bounded size, each group being one pass over the vectors.
+    Vectors and queries are dealt into blocks by their ids; each pair of blocks is one multiplication in a task, which keeps the block's
+    best k per query. Nothing passes the driver, and a task holds two blocks. Rows without a vector are left out.
     """
-    width = queries.select(F.max(F.size(embedding))).first()[0] or 1
-    group = max(1, QUERY_FLOATS // width)
     id_type, query_type = dict(vectors.dtypes)[id_column], dict(queries.dtypes)[query_column]
     schema = f"{query_column} {query_type}, {id_column} {id_type}, score double"
-    ordered = queries.select(query_column, embedding).orderBy(query_column)
-    total = queries.count()
-    out = None
-    for start in range(0, max(total, 1), group):
-        rows = ordered.offset(start).limit(group).collect()  # at most QUERY_FLOATS numbers
-        names = [r[0] for r in rows]
-        matrix = _unit(np.array([r[1] for r in rows], dtype="float64").reshape(len(rows), width))
-
-        def best(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                scores = _unit(np.stack(batch[embedding].to_numpy()).astype("float64")) @ matrix.T
-                ids = batch[id_column].to_numpy()
-                for q, name in enumerate(names):
-                    order = np.lexsort((ids, -scores[:, q]))[:k]
-                    yield pd.DataFrame({query_column: name, id_column: ids[order], "score": scores[order, q]})
-
-        part = vectors.select(id_column, embedding).where(F.col(embedding).isNotNull()).mapInPandas(best, schema)
-        out = part if out is None else out.unionByName(part)
+    rows = vectors.select(id_column, embedding).where(F.col(embedding).isNotNull())
+    asked = queries.select(query_column, embedding).where(F.col(embedding).isNotNull())
+    n, m = max(1, -(-rows.count() // VECTORS_IN_BLOCK)), max(1, -(-asked.count() // QUERIES_IN_BLOCK))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = rows.select("*", F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int").alias("_v"), every(m).alias("_q"))
+    right = asked.select("*", F.pmod(F.xxhash64(query_column), F.lit(m)).cast("int").alias("_q"), every(n).alias("_v"))
+
+    def best(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(wanted):
+            return pd.DataFrame({query_column: [], id_column: [], "score": []})
+        matrices = []
+        for side in (block, wanted):
+            matrix = np.stack(side[embedding].to_numpy()).astype("float64")
+            matrices.append(matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8))
+        scores, ids = matrices[0] @ matrices[1].T, block[id_column].to_numpy()
+        parts = []
+        for q, name in enumerate(wanted[query_column]):
+            order = np.lexsort((ids, -scores[:, q]))[:k]
+            parts.append(pd.DataFrame({query_column: name, id_column: ids[order], "score": scores[order, q]}))
+        return pd.concat(parts)
+
+    out = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(best, schema)
     w = Window.partitionBy(query_column).orderBy(F.desc("score"), F.asc(id_column))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8)
-
-
 def centroids(vectors: DataFrame, by: str, embedding: str = "embedding") -> DataFrame:
     """Mean vector per group, as ``by, embedding array<double>``; summed per position, so groups of any size combine early."""
     exploded = vectors.select(by, F.posexplode(embedding).alias("_p", "_x"))
