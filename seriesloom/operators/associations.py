@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions import names, stats
 from seriesloom.operators.frames import attach, categorical_columns, named_rows, numeric_columns
-from seriesloom.operators.profile import value_frequencies
 from seriesloom.operators.rowindex import block_columns, block_window
 
 SUMS = ("n", "x", "y", "xx", "yy", "xy")
