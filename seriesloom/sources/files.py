@@ -53,11 +53,11 @@ def largest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Da
     return list_files(spark, folder, pattern).orderBy(F.desc("length"), "path").limit(1)
 
 
-def file_shapes(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+def file_shapes(spark: SparkSession, folder: str, multi_line: bool = False, pattern: str = "*.csv") -> DataFrame:
     """``path, header, columns, rows`` per CSV file below a folder; rows are the parsed records after the header.
 
-    Files in which some line has an odd number of quotes may hold line breaks inside quotes: only these are parsed as a whole,
-    one task per file.
+    Files in which some line has an odd number of quotes may hold line breaks inside quotes: only these (with ``multi_line`` all) are
+    parsed as a whole, one task per file.
     """
     found = {"recursiveFileLookup": True, "pathGlobFilter": pattern}
     lines = spark.read.options(**found).text(folder).select(
@@ -65,7 +65,7 @@ def file_shapes(spark: SparkSession, folder: str, pattern: str = "*.csv") -> Dat
     )
     odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     facts = lines.groupBy("path").agg(
-        F.count_if(F.length("value") > 0).alias("_lines"), F.max(odd % 2 == 1).alias("_split"), F.min_by("value", F.struct("_block", "_at")).alias("_first"),
+        F.count_if(F.length("value") > 0).alias("_lines"), F.max((odd % 2 == 1) | F.lit(multi_line)).alias("_split"), F.min_by("value", F.struct("_block", "_at")).alias("_first"),
     )
     split = [r["path"] for r in facts.where("_split").select("path").collect()]  # one row per such file
     whole = facts.where("NOT _split").select("path", (F.col("_lines") - 1).alias("rows"), F.col("_first").alias("_line"))
