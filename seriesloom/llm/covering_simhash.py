@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm.components import components
-from seriesloom.llm.shared import free_name, in_arrow, stored
+from seriesloom.llm.shared import free_name, in_arrow, keyed, stored
 
 BITS = 64
 
@@ -120,12 +120,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """One row of ``docs`` for each group of near copies: that with the smallest doc_id (null last), of repeated ids any one.
 
-    The rows are written once to the shared folder with a row number, so that the choice is the same however often later steps are
-    run. All columns come back as they were. Rows without words form one group. An empty table stays empty.
+    Texts move in one join, against the keys of the rows to drop; its plan is the same at every size. All columns come back as they
+    were. Rows without words form one group. An empty table stays empty.
     """
-    number = free_name(docs, "row_number")
-    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
-    short = rows.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(number).alias("number")).alias("first"), F.col(text).alias("text"))
+    key = free_name(docs, "row_key")
+    rows = keyed(docs, key)
+    short = rows.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("key")).alias("first"), F.col(text).alias("text"))
     prints = stored(with_fingerprint(short, "text", "fp", width, seed), "fingerprints")
-    heads = stored(_named(prints, "first", radius).select(F.col("name.number").alias(number)).distinct(), "heads")
-    return rows.join(heads, number, "left_semi").drop(number)
+    named = _named(prints, "first", radius)
+    dropped = prints.join(named, "fp").where(F.col("first.key") != F.col("name.key")).select(F.col("first.key").alias(key))
+    return rows.join(stored(dropped, "dropped").hint("merge"), key, "left_anti").drop(key)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from seriesloom.llm.shared import free_name, stored, with_word_count
+from seriesloom.llm.shared import free_name, keyed, stored, with_word_count
 
 _UNIT = 1 << 32  # rates are rounded along whole numbers, so sums do not depend on the order of adding
 
@@ -148,9 +148,9 @@ def _nudged(rounded: DataFrame, most: int) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", text: str = "text", most: int = 3) -> DataFrame:
     """``docs`` with column ``copies`` (see mixed): each row stands for that many copies; rows of no copies are left out.
 
-    Rows are matched by a number that is written with them to the shared folder.
+    Texts move in one join, against the keys of the rows taken; its plan is the same at every size.
     """
-    number, copies = free_name(docs, "row_number"), free_name(docs, "copies")
-    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
-    taken = mixed(rows, weights, source, text, most, number).where("copies > 0").select(F.col("doc_id").alias(number), F.col("copies").alias(copies))
-    return rows.join(taken, number).drop(number)
+    key, copies = free_name(docs, "row_key"), free_name(docs, "copies")
+    rows = keyed(docs, key)
+    taken = mixed(rows, weights, source, text, most, key).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(copies))
+    return rows.join(taken.hint("merge"), key).drop(key)

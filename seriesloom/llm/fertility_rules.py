@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import free_name, in_arrow, stored, with_fields
+from seriesloom.llm.shared import free_name, in_arrow, keyed, stored, with_fields
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 _SYMBOLS = b"#*$%&|<>"
@@ -203,7 +203,13 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def drop_low_quality(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 4.0) -> DataFrame:
-    """The rows of ``docs`` that quality_verdicts keeps, unchanged. The measured rows are written once to the shared folder."""
-    name, low, kept = (free_name(docs, n) for n in ("measures", "base_failed", "kept"))
-    measured = stored(with_measures(docs, text, name), "measured")
-    return judged(measured, lang, name, low, kept, width).where(kept).select(*docs.columns)
+    """The rows of ``docs`` that quality_verdicts keeps, unchanged.
+
+    Texts move in one join, against the keys of the rejected rows; its plan is the same at every size.
+    """
+    key = free_name(docs, "row_key")
+    rows = keyed(docs, key)
+    short = rows.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    measured = stored(with_measures(short, "text", "m", keep_text=False), "measures")
+    rejected = judged(measured, "lang", "m", "base_failed", "kept", width).where(~F.col("kept")).select(F.col("key").alias(key))
+    return rows.join(stored(rejected, "rejected").hint("merge"), key, "left_anti").drop(key)

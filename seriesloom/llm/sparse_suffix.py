@@ -253,7 +253,7 @@ def _numbered(docs: DataFrame, doc_id: str, text: str):
 
 
 def _joined(rows: DataFrame, spans: DataFrame, doc_id: str, row: str) -> DataFrame:
-    spans = spans.withColumnsRenamed({"doc_id": "_span_id", "row": "_span_row"})
+    spans = spans.withColumnsRenamed({"doc_id": "_span_id", "row": "_span_row"}).hint("merge")  # the same plan at every size
     on = (rows[row] == spans["_span_row"]) & rows[doc_id].eqNullSafe(spans["_span_id"])
     return rows.join(spans, on, "left").drop(spans["_span_id"], spans["_span_row"])
 
