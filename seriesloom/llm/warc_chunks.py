@@ -22,8 +22,9 @@ from seriesloom.session import shared_dir
 
 _START = "WARC/1.1\r\n"
 _END = "\r\n\r\n"
-#: What the reader splits at; no chunk may hold it, so chunks also end inside it.
-_MARK = (_END + _START).encode()
+#: What the reader splits at; no chunk may hold it, so chunks also end inside it. Its first byte does not come again before its last: the
+#: reader forgets the part of a failed match that lies before its 64 KB buffer, so no other match may begin there.
+_MARK = (_END[-1] + _START).encode()
 CHUNKS = "record_id string, number long, chunk int, record_type string, uri string, refers_to string, digest string, payload_bytes long, running string, last boolean, data binary"
 
 

@@ -134,6 +134,29 @@ def test_warc_over_split_files(spark):
     assert len(found) == 1500 and all(r.intact for r in found)
 
 
+def test_warc_over_buffer_ends(spark, tmp_path):
+    made = 0
+    for kind, body, refers in (("crlf", b"<p>\r\n", None), ("crlfs", b"<p>\r\n\r\n", None), ("cr", b"<p>\r", None), ("empty", b"", None), ("revisit", b"", 0), ("plain", b"x", None)):
+        for shift in range(-20, 21):
+            lines = [next(warc_chunks.record_lines(p, p, "u", b, r, 1 << 20)) + b"\r\n\r\n" for p, b, r in ((1, body, refers), (2, b"end", None))]
+            # the block of the second record ends ``shift`` bytes from the end of the reader's buffer
+            size = 65_536 + shift - (len(lines[0]) - 4)
+            least = len(next(warc_chunks.record_lines(0, 0, "u", b"x" * 60_000, None, 1 << 20))) + 4 - 60_000
+            first = next(warc_chunks.record_lines(0, 0, "u", b"x" * (size - least), None, 1 << 20)) + b"\r\n\r\n"
+            assert len(first) == size
+            (tmp_path / f"{kind}{shift}.txt").write_bytes(first + b"".join(lines))
+            made += 1
+    found = warc_chunks.records(warc_chunks.read_chunks(spark, str(tmp_path))).groupBy("page_id", "intact").count().collect()
+    assert {(r.page_id, r.intact): r["count"] for r in found} == {(p, True): made for p in range(3)}
+
+
+def test_warc_addresses_that_end_like_a_record(spark):
+    bodies = ["", "WARC/1.1", "\nWARC/1.1", "WARC/1.1\r\n", "\nWARC/1.1\r\n" * 3]
+    pages = spark.createDataFrame([(i, "http://x/WARC/1.1", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    found = warc_chunks.records(warc_chunks.read_chunks(spark, warc_chunks.write_archives(pages))).collect()
+    assert {(r.page_id, r.payload_bytes, r.uri) for r in found} == {(i, len(b), "http://x/WARC/1.1") for i, b in enumerate(bodies)} and all(r.intact for r in found)
+
+
 def test_simhash(odd, none):
     rows = covering_simhash.near_groups(odd).collect()
     assert len(rows) == len(ODD)
