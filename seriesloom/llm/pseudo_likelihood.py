@@ -1,28 +1,28 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides; the summed log-probabilities score a text.
 
-Words are numbered by their count over the whole corpus; rarer ones share hashed numbers. A number is a class and a member, and its
-probability is that of the class times that of the member in the class, each a softmax of the hidden vector on top of the corpus
-frequencies. The hidden vector is tanh of the neighbours' vectors, weighted by place. Every task trains a copy of the network with numpy
+Words are numbered by their count over the whole corpus; rarer ones share hashed numbers, whose count grows with the corpus. A number is a
+class and a member, and its probability is that of the class times that of the member in the class, each a softmax of the hidden vector on
+top of the corpus frequencies. The probability of a word that shares its number is that of the number times the word's part of the
+number's count, which comes from the table of all words by a join. The hidden vector is tanh of the neighbours' vectors, weighted by place. Every task trains a copy of the network with numpy
 on all its texts; the copies are averaged by their number of words.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from seriesloom.llm.shared import in_arrow, row_slices, stored
+from seriesloom.llm.shared import free_name, in_arrow, row_slices, stored
 
-CLASSES = MEMBERS = 32
-UNITS = CLASSES * MEMBERS
-COMMON = 768  # words with numbers of their own
+LEAST_SIDE = 32  # classes, and members of a class
 SIDE = 3  # neighbours on each side
 WIDTH = 16
 _PIECE = 1 << 20
@@ -53,45 +53,69 @@ def word_table(docs: DataFrame, text: str) -> DataFrame:
     return in_arrow(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def side_of(tokens: int) -> int:
+    """Classes, and members of each, for a corpus of so many words: the numbers grow as the cube root of the corpus."""
+    return max(LEAST_SIDE, round(2 * tokens ** (1 / 6)))
+
+
 @dataclass
 class Vocabulary:
+    """Three quarters of the numbers are words of their own, the others slots; ``table`` holds the counts of all words and stays on the driver."""
+
     numbers: dict[bytes, int]
     counts: np.ndarray
+    table: DataFrame | None = None
+
+    @property
+    def common(self) -> int:
+        return len(self.counts) * 3 // 4
+
+    def sent(self) -> Vocabulary:
+        return replace(self, table=None)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         ids = np.fromiter((self.numbers.get(w, -1) for w in words), np.int32, len(words))
         for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = COMMON + zlib.crc32(words[i]) % (UNITS - COMMON)
+            ids[i] = self.common + zlib.crc32(words[i]) % (len(self.counts) - self.common)
         return ids
 
+    def shares(self) -> np.ndarray:
+        """What the log-probability of each number loses for a word that was seen once or never: its part of the slot's count, to which
+        one is added for all unseen words."""
+        loss = np.zeros(len(self.counts) + 1)
+        loss[self.common : -1] = -np.log(self.counts[self.common :] + 0.5)
+        return loss
+
 
 def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     """Numbers of the most common words (ties: by bytes) and the corpus counts of all numbers."""
     table = stored(word_table(docs, text), "words")
-    common = table.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    units = side_of(table.agg(F.sum("n")).first()[0] or 0) ** 2
+    own, slots = units * 3 // 4, units - units * 3 // 4
+    common = table.orderBy(F.desc("n"), "word").limit(own).collect()
     numbers = {bytes(r.word): i for i, r in enumerate(common)}
-    counts = np.zeros(UNITS)
-    for r in table.groupBy((F.crc32("word") % (UNITS - COMMON)).alias("slot")).agg(F.sum("n").alias("n")).collect():
-        counts[COMMON + r.slot] = r.n
+    counts = np.zeros(units)
+    for r in table.groupBy((F.crc32("word") % slots).alias("slot")).agg(F.sum("n").alias("n")).collect():
+        counts[own + r.slot] = r.n
     for r in common:
         counts[numbers[bytes(r.word)]] = r.n
-        counts[COMMON + zlib.crc32(bytes(r.word)) % (UNITS - COMMON)] -= r.n
-    return Vocabulary(numbers, counts + 0.5)
+        counts[own + zlib.crc32(bytes(r.word)) % slots] -= r.n
+    return Vocabulary(numbers, counts + 0.5, table)
 
 
 class Network:
     """Parameters in one flat vector: neighbours' vectors (one more for the text's edge), weights of the places, output weights."""
 
-    SHAPES = ((UNITS + 1, WIDTH), (2 * SIDE, WIDTH), (WIDTH, CLASSES + MEMBERS))
-
     def __init__(self, counts: np.ndarray, flat: np.ndarray | None = None):
+        self.units, self.side = len(counts), math.isqrt(len(counts))
+        shapes = ((self.units + 1, WIDTH), (2 * SIDE, WIDTH), (WIDTH, 2 * self.side))
         if flat is None:
             draw = np.random.default_rng(7)
-            flat = np.concatenate([(draw.standard_normal(s) * 0.1 + (k == 1)).ravel() for k, s in enumerate(self.SHAPES)])
+            flat = np.concatenate([(draw.standard_normal(s) * 0.1 + (k == 1)).ravel() for k, s in enumerate(shapes)])
         self.flat = flat.astype(np.float32)
-        cuts = np.cumsum([0] + [a * b for a, b in self.SHAPES])
-        self.vectors, self.places, self.out = (self.flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], self.SHAPES))
-        by_class = counts.reshape(CLASSES, MEMBERS)
+        cuts = np.cumsum([0] + [a * b for a, b in shapes])
+        self.vectors, self.places, self.out = (self.flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes))
+        by_class = counts.reshape(self.side, self.side)
         self.class_base = np.log(by_class.sum(axis=1) / by_class.sum()).astype(np.float32)
         self.member_base = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -112,12 +136,12 @@ class Network:
         vectors, hidden = self.hidden(ids)
         target = ids[SIDE:-SIDE]
         # the text's edge stands for no word; its log-probability is ignored by all callers
-        of_class, member = np.minimum(target // MEMBERS, CLASSES - 1), target % MEMBERS
+        of_class, member = np.minimum(target // self.side, self.side - 1), target % self.side
         scores = hidden @ self.out
-        scores[:, :CLASSES] += self.class_base
-        scores[:, CLASSES:] += self.member_base[of_class]
+        scores[:, : self.side] += self.class_base
+        scores[:, self.side :] += self.member_base[of_class]
         rows, found = np.arange(len(target)), 0.0
-        for part, right in ((scores[:, :CLASSES], of_class), (scores[:, CLASSES:], member)):
+        for part, right in ((scores[:, : self.side], of_class), (scores[:, self.side :], member)):
             part -= part.max(axis=1, keepdims=True)
             found = found + part[rows, right]
             np.exp(part, out=part)
@@ -130,17 +154,17 @@ class Network:
         """One AdaGrad step on a stretch."""
         _, error, hidden, vectors = self.log_probabilities(ids)
         target, n = ids[SIDE:-SIDE], len(ids) - 2 * SIDE
-        real = target < UNITS
+        real = target < self.units
         rows = np.arange(n)
-        error[rows, np.minimum(target // MEMBERS, CLASSES - 1)] -= 1
-        error[rows, CLASSES + target % MEMBERS] -= 1
+        error[rows, np.minimum(target // self.side, self.side - 1)] -= 1
+        error[rows, self.side + target % self.side] -= 1
         error *= (real / max(1, real.sum())).astype(np.float32)[:, None]
         back = (error @ self.out.T) * (1 - hidden * hidden)
         of_places, of_vectors = np.zeros_like(self.places), np.zeros_like(vectors)
         for k, shift in enumerate(self.shifts()):
             of_places[k] = np.einsum("ij,ij->j", back, vectors[shift : shift + n])
             of_vectors[shift : shift + n] += back * self.places[k]
-        gathered = np.stack([np.bincount(ids, of_vectors[:, j], UNITS + 1) for j in range(WIDTH)], axis=1)
+        gathered = np.stack([np.bincount(ids, of_vectors[:, j], self.units + 1) for j in range(WIDTH)], axis=1)
         gradient = np.concatenate([gathered.ravel(), of_places.ravel(), (hidden.T @ error).ravel()]).astype(np.float32)
         squares += gradient * gradient
         self.flat -= rate * gradient / np.sqrt(squares)
@@ -148,7 +172,7 @@ class Network:
 
 def stretches(column: pa.Array, words: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers, row) of the words of a column; SIDE edge signs stand before and behind each text, with row -1."""
-    edge, none = np.full(SIDE, UNITS, np.int32), np.full(SIDE, -1, np.int64)
+    edge, none = np.full(SIDE, len(words.counts), np.int32), np.full(SIDE, -1, np.int64)
     for a, b in row_slices(column, _PIECE):
         ids, rows = [edge], [none]
         for i in range(a, b):
@@ -164,7 +188,7 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", step: int = 40
     The tasks' parameters are written to the shared folder and summed place by place with map-side aggregation; the driver receives
     one vector.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(words.sent())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -184,30 +208,45 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", step: int = 40
 
 
 SCORES = [T.StructField("n_tokens", T.LongType(), False), T.StructField("log_likelihood", T.DoubleType(), False)]
+#: Words without a number of their own, and how often each stands in the text.
+_TAIL = [T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
 
 
 def scored(docs: DataFrame, words: Vocabulary, flat: np.ndarray, text: str = "text", step: int = 16_384) -> DataFrame:
-    """The table without its text, with n_tokens and log_likelihood, the sum over all words of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, flat))
-    rest = [c for c in docs.columns if c != text]
-    schema = T.StructType([*(docs.schema[c] for c in rest), *SCORES])
+    """The table without its text, with n_tokens and log_likelihood, the sum over all words of the whole text.
+
+    A word with a slot has the slot's probability times n / (N + 1), where n and N are the counts of the word and of the slot in the
+    training corpus; words unseen there have 1 / (N + 1) together, which each of them gets.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((words.sent(), flat))
+    key = free_name(docs, "row")
+    rest = [key, *(c for c in docs.columns if c != text)]
+    docs = docs.withColumn(key, F.monotonically_increasing_id())
+    schema = T.StructType([*(docs.schema[c] for c in rest), *SCORES, *_TAIL])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
-        net = Network(words.counts, flat)
+        net, shares = Network(words.counts, flat), words.shares()
         for batch in batches:
             column = batch.column(text)
             total, count = np.zeros(len(column)), np.zeros(len(column), np.int64)
             for ids, rows in stretches(column, words):
                 for k in range(0, len(ids) - 2 * SIDE, step):
-                    found = net.log_probabilities(ids[k : k + step + 2 * SIDE])[0]
+                    found = net.log_probabilities(ids[k : k + step + 2 * SIDE])[0] + shares[ids[k + SIDE : k + step + SIDE][: len(ids) - 2 * SIDE - k]]
                     owner = rows[k + SIDE : k + SIDE + len(found)]
                     real = owner >= 0
                     total += np.bincount(owner[real], found[real], len(column))
                     count += np.bincount(owner[real], minlength=len(column))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(count), pa.array(total)], schema.names)
-
-    return in_arrow(docs, run, schema)
+            tails = [Counter(w for w in words_of(column[i].as_py()) if w not in words.numbers) for i in range(len(column))]
+            tail, times = pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(count), pa.array(total), tail, times], schema.names)
+
+    # written, as the rows' numbers must not change between the sums and what they are added to
+    base = stored(in_arrow(docs, run, schema), "scores")
+    tail = base.select(F.col(key).alias("at"), F.explode(F.arrays_zip("tail", "times")).alias("t")).select("at", F.col("t.tail").alias("word"), "t.times")
+    parts = tail.join(words.table.where("n > 1"), "word").groupBy("at").agg(F.sum(F.col("times") * F.log("n")).alias("gain"))
+    whole = base.drop("tail", "times").join(parts, F.col(key) == F.col("at"), "left")
+    return whole.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0))).drop(key, "at", "gain")
 
 
 def pseudo_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,7 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import collections
 import math
 
+import numpy as np
 import pytest
 
 from seriesloom.llm import covering_simhash, entropy_mixing, fertility_rules, fm_decontaminate, fm_index, hierarchical_quality, language_mixture
@@ -320,6 +322,40 @@ def test_pseudo_likelihood(odd, none):
     assert pseudo_likelihood.pseudo_likelihoods(none).count() == 0
 
 
+def test_words_of_a_slot_share_its_probability(spark):
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in draw.zipf(1.3, 400) if x < 20_000) for _ in range(60)] + ["rare " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = pseudo_likelihood.vocabulary(docs)
+    flat = pseudo_likelihood.train(docs, words)
+    counts = collections.Counter(w for t in texts for w in t.encode().split())
+    assert len(counts) > len(words.numbers)
+    net = pseudo_likelihood.Network(words.counts, flat)
+    unseen = [f"z{i}" for i in range(20_000)]
+    first = {}
+    for w in unseen:
+        first.setdefault(int(words.encode([w.encode()])[0]), w)
+    slots = len(words.counts) - words.common
+    assert len(first) == slots
+    asked = [w.decode() for w in counts] + list(first.values())
+    frame = spark.createDataFrame([(i, w) for i, w in enumerate(asked)], "doc_id long, text string")
+    alone = {asked[r.doc_id]: r.log_likelihood for r in pseudo_likelihood.scored(frame, words, flat).collect()}
+    # the words of the corpus and one unseen word a slot have all the probability
+    edge = np.full(3, len(words.counts), np.int32)
+    of_number = {k: net.log_probabilities(np.concatenate([edge, [k], edge]).astype(np.int32))[0][0] for k in range(len(words.counts))}
+    total = collections.Counter(int(words.encode([w])[0]) for w in counts for _ in range(counts[w]))
+    for w in asked:
+        k = int(words.encode([w.encode()])[0])
+        share = 1 if w.encode() in words.numbers else max(1, counts[w.encode()]) / (total[k] + 1)
+        assert abs(alone[w] - of_number[k] - math.log(share)) < 1e-3
+    assert abs(sum(map(math.exp, alone.values())) - 1) < 0.01
+
+
+def test_the_vocabulary_grows_with_the_corpus():
+    sides = [pseudo_likelihood.side_of(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert sides == sorted(sides) and sides[0] == sides[1] < sides[2] < sides[3]
+
+
 def test_free_name(spark):
     assert shared.free_name(spark.range(1).toDF("Row"), "row") == "_row"
 
