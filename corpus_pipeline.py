@@ -13,6 +13,7 @@ from seriesloom.llm.entropy_mixing import mixed_documents
 from seriesloom.llm.fertility_rules import drop_low_quality
 from seriesloom.llm.fm_decontaminate import drop_contaminated
 from seriesloom.llm.shared import stored
+from seriesloom.llm.shingle_copies import drop_similar
 from seriesloom.llm.sparse_suffix import cut_repeats
 
 
@@ -26,6 +27,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return drop_near_copies(docs)
 
 
+def shingle_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that a similarity of 0.8 or more in five-word shingles connects, the document with the smallest doc_id stays."""
+    return drop_similar(docs)
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that stand earlier in the corpus are cut out; documents stay."""
     return cut_repeats(docs)
@@ -44,6 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_dedup", simhash_dedup),
+    ("shingle_dedup", shingle_dedup),
     ("suffix_dedup", suffix_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("mixing", mixing),

@@ -1,12 +1,13 @@
 """Each pipeline stage against brute force on its own input, on the smallest table."""
 
 import collections
+import random
 import re
 
 import pytest
 
 import corpus_pipeline
-from seriesloom.llm import covering_simhash, fertility_rules
+from seriesloom.llm import covering_simhash, fertility_rules, shingle_copies
 from seriesloom.llm.shared import stored
 from tests.llm.test_brute_force import SF, repeats
 
@@ -63,6 +64,47 @@ def test_simhash_dedup(steps):
     assert len(after) < len(before)
 
 
+def test_shingle_dedup(steps):
+    before, after = pair(steps, "shingle_dedup")
+    words = {r.doc_id: (r.text or "").lower().split() for r in before}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items() if w}
+    name = {d: d for d in words}
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = {d: low if n == high else n for d, n in name.items()}
+    assert sorted(after) == sorted(r for r in before if name[r.doc_id] == r.doc_id)
+    assert len(after) < len(before)
+
+
+@pytest.mark.parametrize("below", [48, 2])
+def test_copies_of_any_similarity_go(spark, below):
+    draw, rows = random.Random(3), []
+    for group in range(40):
+        words = [f"w{draw.randrange(50_000)}" for _ in range(draw.choice([60, 300, 1000]))]
+        rows.append((group * 10, " ".join(words)))
+        for k in range(1, 5):
+            changed = list(words)
+            for at in draw.sample(range(len(words)), max(1, len(words) * k // 200)):
+                changed[at] = f"x{draw.randrange(50_000)}"
+            rows.append((group * 10 + k, " ".join(changed)))
+    shared = " ".join(f"c{i}" for i in range(40))
+    rows += [(1000 + i, f"{shared} " + " ".join(f"y{draw.randrange(50_000)}" for _ in range(60))) for i in range(100)]  # a passage alone makes no copy
+    rows += [(2000, None), (2001, ""), (2002, "one two"), (2003, "One  two")]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, (t or "").lower().split()) for d, t in rows)}
+    name = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and (b < 1000 and a // 10 == b // 10) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and name[a] != name[b]:
+                low, high = sorted((name[a], name[b]))
+                name = {d: low if n == high else n for d, n in name.items()}
+    kept = {r.doc_id for r in shingle_copies.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), pairs_below=below).collect()}
+    assert kept == {d for d, n in name.items() if d == n} - {2003}
+    assert sum(d < 1000 for d in kept) < 100
+
+
 def test_suffix_dedup(steps):
     before, after = pair(steps, "suffix_dedup")
     _, later = repeats([(r.doc_id, r.text) for r in before], 50)
