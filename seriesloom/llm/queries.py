@@ -151,6 +151,48 @@ def op10_masked_pseudo_likelihood(t):
     return pseudo_likelihoods(t("documents"))
 
 
+OP11 = r"""
+WITH t AS (
+  SELECT conv_id, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS symbol, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT conv_id, xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT for x in string_split(conv_id::VARCHAR, '')],
+    lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) AS crc
+  FROM (SELECT DISTINCT conv_id FROM t)
+), c AS (
+  SELECT conv_id, crc % 4 AS h, (SELECT count(*) FROM t WHERE t.conv_id = crc.conv_id - crc.conv_id % 20 AND pos <= crc.crc % 4) AS m FROM crc
+), turns AS (
+  SELECT c.conv_id, pos AS depth, symbol, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+  UNION ALL SELECT c.conv_id, m + pos - h, symbol, words FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h
+), p AS (
+  SELECT conv_id, depth, words, sha256(string_agg(symbol, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), lengths AS (SELECT conv_id, max(depth) AS length FROM p GROUP BY conv_id),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE depth = length), '')) AS ends
+  FROM p JOIN lengths USING (conv_id) GROUP BY node, depth
+), up AS (SELECT n.node, u.node AS parent, u.conv_id AS parent_conv_id FROM nodes n JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN nodes u ON u.node = p.node),
+children AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+below AS (
+  SELECT a.node, count(*) FILTER (WHERE coalesce(n_children, 0) = 0) AS n_leaves, sum((n_convs - 1) * n.words) AS saved
+  FROM nodes n LEFT JOIN children USING (node) JOIN p a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.node
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM nodes LEFT JOIN up USING (node) LEFT JOIN children USING (node) JOIN below USING (node)
+"""
+
+
+@query(OP11)
+def op11_conversation_trie(t):
+    """Every distinct beginning of the rebuilt conversations."""
+    from seriesloom.llm.zfast_trie import prefix_digests, spliced, trie_nodes
+
+    conv = F.col("conv_id")
+    return trie_nodes(*spliced(prefix_digests(t("conversations")), conv - conv % 20, F.crc32(conv.cast("string")) % 4, 3))
+
+
 OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS own
