@@ -193,6 +193,18 @@ def op11_conversation_trie(t):
     return trie_nodes(*spliced(prefix_digests(t("conversations")), conv - conv % 20, F.crc32(conv.cast("string")) % 4, 3))
 
 
+@query()
+def op12_weak_toxicity(t):
+    """Toxicity of every document, learned from the labels of three quarters of them."""
+    from seriesloom.llm.weak_toxicity import fit, with_score
+
+    docs = t("documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = fit(docs, t("labels"), learn_from=~held_out)
+    found = with_score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS own

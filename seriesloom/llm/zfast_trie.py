@@ -267,10 +267,10 @@ def _subtree_sums(tree: DataFrame, height: int) -> DataFrame:
     return tree
 
 
-def _id_hashes(ends: DataFrame) -> DataFrame:
+def _id_hashes(ends: DataFrame, chunk: int = _CHUNK) -> DataFrame:
     """(digest, sha): SHA-256 of the sorted, comma-joined conv_ids of each digest.
 
-    Sorted over range partitions, which cut large groups; the text of a group travels in pieces of 64 KB and is hashed piece by piece.
+    Sorted over range partitions, which cut large groups; the text of a group travels in pieces of ``chunk`` bytes and is hashed piece by piece.
     """
     rows = ends.select("digest", "conv_id").repartitionByRange("digest", "conv_id").sortWithinPartitions("digest", "conv_id")
 
@@ -279,7 +279,7 @@ def _id_hashes(ends: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for d, conv in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and (d != digest or size > _CHUNK):
+                if held and (d != digest or size > chunk):
                     out.append((digest, first, b",".join(held)))
                     held, size = [], 0
                 if not held:
