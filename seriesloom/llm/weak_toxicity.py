@@ -30,13 +30,17 @@ PATTERNS = {
 _KEPT = 300_000
 
 
-def words_of(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
+#: A term may also ask for more than one occurrence: ``scum*`` and ``scum*×3`` are terms of their own.
+TIMES = (2, 3)
+
+
+def words_of(text: str | None) -> Counter:
+    return Counter((text or "").lower().split())
 
 
 def terms_of(word: str) -> list[str]:
     """A word without the signs around it, and its beginnings."""
-    bare = word.strip(".,;:!?()[]{}\"'«»¡¿-_*")
+    bare = word.strip(".,;:!?()[]{}\"'«»¡¿-_*×")
     return [bare, *(f"{bare[:n]}*" for n in STARTS if len(bare) > n)] if bare else []
 
 
@@ -46,27 +50,39 @@ def patterns_of(text: str | None) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """Finds which of its terms a text has; the terms of a word are kept as long as they are few."""
+    """Finds which of its terms a text has; what a word counts for is kept as long as the words are few."""
 
     terms: list[str]
-    index: dict[str, int] = field(init=False)
-    seen: dict[str, tuple[int, ...]] = field(init=False, default_factory=dict)
+    index: dict[str, dict[int, int]] = field(init=False)
+    seen: dict[str, tuple[str, ...]] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
-        self.index = {t: i for i, t in enumerate(self.terms)}
+        self.index = {}
+        for i, t in enumerate(self.terms):
+            base, _, times = t.partition("×")
+            self.index.setdefault(base, {})[int(times or 1)] = i
 
     def hits(self, text: str | None) -> list[int]:
-        found: set[int] = set()
-        for w in words_of(text):
+        counts: dict[str, int] = {}
+        for w, n in words_of(text).items():
             own = self.seen.get(w)
             if own is None:
                 if len(self.seen) > _KEPT:
                     self.seen.clear()
-                own = self.seen[w] = tuple(self.index[t] for t in terms_of(w) if t in self.index)
-            if own:
-                found.update(own)
-        found.update(self.index[p] for p in patterns_of(text) if p in self.index)
-        return sorted(found)
+                own = self.seen[w] = tuple(t for t in terms_of(w) if t in self.index)
+            for t in own:
+                counts[t] = counts.get(t, 0) + n
+        counts.update((p, 1) for p in patterns_of(text) if p in self.index)
+        return sorted(i for t, n in counts.items() for times, i in self.index[t].items() if n >= times)
+
+
+def all_terms(text: str | None) -> list[str]:
+    """Every term of a text, patterns aside."""
+    counts: dict[str, int] = {}
+    for w, n in words_of(text).items():
+        for t in terms_of(w):
+            counts[t] = counts.get(t, 0) + n
+    return [*counts, *(f"{t}×{k}" for t, n in counts.items() if n > 1 for k in TIMES if n >= k)]
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -80,7 +96,7 @@ def term_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             texts, ys = batch.column("text"), batch.column("y").to_pylist()
             for i, y in enumerate(ys):
-                own = {x for w in words_of(texts[i].as_py()) for x in terms_of(w)}
+                own = all_terms(texts[i].as_py())
                 n.update(own)
                 if y > 0.01:
                     for x in own:
@@ -130,7 +146,7 @@ def chosen_voters(hits: list[np.ndarray], terms: list[str], most: int) -> list[s
     has = np.zeros((len(hits), len(terms)), bool)
     for i, own in enumerate(hits):
         has[i, own] = True
-    stems, out = [t.rstrip("*") for t in terms], []
+    stems, out = [t.partition("×")[0].rstrip("*") for t in terms], []
     kin = lambda a, b: a.startswith(b) or b.startswith(a)
     for j in range(len(terms)):
         n = has[:, j].sum()

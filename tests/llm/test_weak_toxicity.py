@@ -32,6 +32,10 @@ def made(n=1200, seed=1):
         toxic = draw.random() < 0.1
         for _ in range(3 if toxic else 0):
             words[draw.randrange(60)] = draw.choice(["Fie!", "bah,", "tush"]) if i % 2 else f"zorg{draw.choice('aeiou')}{draw.choice('xyw')}"
+        if i % 12 == 0 and not toxic:
+            words[5] = "mardle"  # harmless alone
+        if i % 12 == 6 and toxic:
+            words[5:8] = ["mardle", "mardly", "mardlo"]
         rows.append((i, " ".join(words), int(toxic)))
     return rows
 
@@ -82,6 +86,9 @@ def test_terms_and_patterns():
     assert terms_of("(scummy),") == ["scummy", "scum*", "scumm*"] and terms_of("...") == [] and terms_of("é") == ["é"]
     assert patterns_of("so what?!?!") == ["\0!!!"] and patterns_of("you AAAA BBBB CCCC $#@%") == ["\0@#$%", "\0SHOUT"] and patterns_of(None) == []
     lexicon = Lexicon(["scum*", "é", "\0!!!"])
+    often = Lexicon(["scum*×2", "scum*", "é×3"])
+    assert often.hits("scummy scumbag é é") == [0, 1] and often.hits("é é, É scumbag") == [1, 2]
+    assert sorted(weak_toxicity.all_terms("é é x")) == ["x", "é", "é×2"]
     assert lexicon.hits("SCUMMY é !!! scumbag") == [0, 1, 2] and lexicon.hits(None) == [] and lexicon.hits("\0!!!") == [2]
 
 
