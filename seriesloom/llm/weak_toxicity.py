@@ -23,10 +23,14 @@ from pyspark.sql import types as T
 from seriesloom.llm.shared import in_arrow, stored
 
 STARTS = (4, 5, 6)
+_RUNS = tuple(c * 4 for c in "abcdefghijklmnopqrstuvwxyz")
 PATTERNS = {
-    "!!!": re.compile(r"[!?]{3,}"), "@#$%": re.compile(r"[@#$%&*]{3,}"), "SHOUT": re.compile(r"\b[A-Z]{4,}(?:\s+[A-Z]{4,}){2,}"),
-    "looong": re.compile(r"([a-z])\1{3,}"),
+    "!!!": lambda text: any(x in text for x in ("!!", "??", "!?", "?!")) and re.search(r"[!?]{3}", text),
+    "@#$%": re.compile(r"[@#$%&*]{3}").search,
+    "SHOUT": re.compile(r"[A-Z]{4}\s+[A-Z]{4,}\s+[A-Z]{4}").search,
+    "looong": lambda text: any(x in text for x in _RUNS),
 }
+_SIGNS = ".,;:!?()[]{}\"'«»¡¿-_*×"
 _KEPT = 300_000
 
 
@@ -40,38 +44,36 @@ def words_of(text: str | None) -> Counter:
 
 def terms_of(word: str) -> list[str]:
     """A word without the signs around it, and its beginnings."""
-    bare = word.strip(".,;:!?()[]{}\"'«»¡¿-_*×")
+    bare = word.strip(_SIGNS)
     return [bare, *(f"{bare[:n]}*" for n in STARTS if len(bare) > n)] if bare else []
 
 
 def patterns_of(text: str | None) -> list[str]:
-    return [f"\0{name}" for name, p in PATTERNS.items() if p.search(text or "")]
+    return [f"\0{name}" for name, found in PATTERNS.items() if found(text or "")]
 
 
 @dataclass
 class Lexicon:
-    """Finds which of its terms a text has; what a word counts for is kept as long as the words are few."""
+    """Finds which of its terms a text has. Words whose first letters begin no term are passed over."""
 
     terms: list[str]
     index: dict[str, dict[int, int]] = field(init=False)
-    seen: dict[str, tuple[str, ...]] = field(init=False, default_factory=dict)
+    heads: set[str] = field(init=False)
 
     def __post_init__(self):
         self.index = {}
         for i, t in enumerate(self.terms):
             base, _, times = t.partition("×")
             self.index.setdefault(base, {})[int(times or 1)] = i
+        self.heads = {t.rstrip("*")[: STARTS[0]] for t in self.index}
 
     def hits(self, text: str | None) -> list[int]:
         counts: dict[str, int] = {}
         for w, n in words_of(text).items():
-            own = self.seen.get(w)
-            if own is None:
-                if len(self.seen) > _KEPT:
-                    self.seen.clear()
-                own = self.seen[w] = tuple(t for t in terms_of(w) if t in self.index)
-            for t in own:
-                counts[t] = counts.get(t, 0) + n
+            if w.strip(_SIGNS)[: STARTS[0]] in self.heads:
+                for t in terms_of(w):
+                    if t in self.index:
+                        counts[t] = counts.get(t, 0) + n
         counts.update((p, 1) for p in patterns_of(text) if p in self.index)
         return sorted(i for t, n in counts.items() for times, i in self.index[t].items() if n >= times)
 
