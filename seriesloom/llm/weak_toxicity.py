@@ -111,12 +111,18 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return in_arrow(rows.select("text", "y"), run, "term string, n long, t double").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def telling(counts: DataFrame, rows: int, total: float, most: int, only_for: bool) -> list[str]:
-    """The ``most`` terms that depend on y most by the chi-squared statistic; ``only_for``: of those that speak for 1."""
+def telling(counts: DataFrame, rows: int, total: float, most: int, only_for: bool) -> list[tuple[str, float]]:
+    """The ``most`` terms that depend on y most by the chi-squared statistic, with it; ``only_for``: of those that speak for 1."""
     gap = F.col("t") * rows - F.col("n") * total
     chi2 = gap * gap / F.greatest(F.col("n") * (rows - F.col("n")) * total * (rows - total) / rows, F.lit(1e-9))
-    chosen = counts.where(F.col("n") > 1).where(gap > 0 if only_for else F.lit(True))
-    return [r.term for r in chosen.orderBy(chi2.desc(), F.length("term").desc(), "term").limit(most).collect()]
+    chosen = counts.where(F.col("n") > 1).where(gap > 0 if only_for else F.lit(True)).withColumn("chi2", chi2)
+    return [(r.term, r.chi2) for r in chosen.orderBy(F.desc("chi2"), F.length("term").desc(), "term").limit(most).collect()]
+
+
+def beyond_chance(found: list[tuple[str, float]], tested: int, least: int = 8) -> list[str]:
+    """Terms that depend on y more than the best of so many would by chance; the first ``least`` in any case."""
+    edge = 2 * np.log(max(tested, 2))
+    return [t for k, (t, chi2) in enumerate(found) if chi2 > edge or k < least]
 
 
 def _hits(rows: DataFrame, lexicon: Lexicon, kept: list[str]) -> DataFrame:
@@ -291,7 +297,9 @@ def fit(
     share = ((facts.t or 0) + 0.1) / (facts.n + 1)
     if not facts.n or facts.t in (0, facts.n):
         return Model([], None, [], np.zeros(0), float(np.log(share / (1 - share))))
-    possible = Lexicon(telling(term_counts(labelled), facts.n, facts.t, candidates, only_for=True))
+    counts = stored(term_counts(labelled), "terms")
+    found = telling(counts, facts.n, facts.t, candidates, only_for=True)
+    possible = Lexicon(beyond_chance(found, counts.where("n > 1").count()))
     voters = chosen_voters(_gathered(labelled, possible)[0], possible.terms, min(most_voters, 62))
     mask = F.expr("aggregate(hits, 0L, (a, h) -> a + shiftleft(1L, h))")
     votes = stored(_hits(rows, Lexicon(voters), ["id", "open"]).select("id", "open", mask.alias("mask")), "votes")
@@ -318,7 +326,7 @@ def fit(
     judgements = stored(in_arrow(names, judged, id_type).groupBy("id").agg(F.max("y").alias("y")), "posteriors")
     fitted = rows.where("open").join(F.broadcast(judgements), "id").select("text", "y")
     total = judgements.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
-    lexicon = Lexicon([*telling(term_counts(fitted), total.n, total.t, features, only_for=False), *(f"\0{name}" for name in PATTERNS)])
+    lexicon = Lexicon([*(t for t, _ in telling(term_counts(fitted), total.n, total.t, features, only_for=False)), *(f"\0{name}" for name in PATTERNS)])
     weights, bias = linear(*_gathered(fitted, lexicon), len(lexicon.terms))
     return Model(voters, model, lexicon.terms, weights, bias)
 

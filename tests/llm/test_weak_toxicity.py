@@ -32,10 +32,6 @@ def made(n=1200, seed=1):
         toxic = draw.random() < 0.1
         for _ in range(3 if toxic else 0):
             words[draw.randrange(60)] = draw.choice(["Fie!", "bah,", "tush"]) if i % 2 else f"zorg{draw.choice('aeiou')}{draw.choice('xyw')}"
-        if i % 12 == 0 and not toxic:
-            words[5] = "mardle"  # harmless alone
-        if i % 12 == 6 and toxic:
-            words[5:8] = ["mardle", "mardly", "mardlo"]
         rows.append((i, " ".join(words), int(toxic)))
     return rows
 
