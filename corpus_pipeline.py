@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm.covering_simhash import drop_near_copies
 from seriesloom.llm.entropy_mixing import mixed_documents
 from seriesloom.llm.fertility_rules import drop_low_quality
 from seriesloom.llm.fm_decontaminate import drop_contaminated
 from seriesloom.llm.shared import stored
-from seriesloom.llm.shingle_copies import drop_similar
+from seriesloom.llm.shingle_copies import drop_copies
 from seriesloom.llm.sparse_suffix import cut_repeats
 
 
@@ -23,13 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return drop_near_copies(docs)
-
-
-def shingle_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that a similarity of 0.8 or more in five-word shingles connects, the document with the smallest doc_id stays."""
-    return drop_similar(docs)
+    """Of each group of near copies the document with the smallest doc_id stays: by SimHash, then by a similarity of 0.8 or more."""
+    return drop_copies(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +44,6 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_dedup", simhash_dedup),
-    ("shingle_dedup", shingle_dedup),
     ("suffix_dedup", suffix_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("mixing", mixing),

@@ -94,7 +94,7 @@ def near_links(prints: DataFrame, radius: int = 2, pairs_below: int = 48) -> Dat
     return pairs.unionByName(stars).distinct()
 
 
-def _named(prints: DataFrame, first: str, radius: int) -> DataFrame:
+def named(prints: DataFrame, first: str, radius: int) -> DataFrame:
     """(fp, name) for every distinct fingerprint; the name is the smallest value of ``first`` in the fingerprint's component."""
     distinct = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
     linked = components(near_links(distinct.select("fp"), radius))
@@ -113,8 +113,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = stored(with_fingerprint(rows, "text", "fp", width, seed), "fingerprints")
-    named = _named(prints, "doc_id", radius).withColumnRenamed("name", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = named(prints, "doc_id", radius).withColumnRenamed("name", "component_id")
+    return prints.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
@@ -127,6 +127,6 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = keyed(docs, key)
     short = rows.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("key")).alias("first"), F.col(text).alias("text"))
     prints = stored(with_fingerprint(short, "text", "fp", width, seed), "fingerprints")
-    named = _named(prints, "first", radius)
-    dropped = prints.join(named, "fp").where(F.col("first.key") != F.col("name.key")).select(F.col("first.key").alias(key))
+    names = named(prints, "first", radius)
+    dropped = prints.join(names, "fp").where(F.col("first.key") != F.col("name.key")).select(F.col("first.key").alias(key))
     return rows.join(stored(dropped, "dropped").hint("merge"), key, "left_anti").drop(key)

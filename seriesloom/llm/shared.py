@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 import seriesloom
@@ -64,16 +64,15 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def keyed(df: DataFrame, name: str) -> DataFrame:
-    """The table with a key of its own for every row: a hash of all columns, numbered on where hashes coincide.
+    """The table with a key of its own for every row: a hash of all columns. Decisions are made on narrow tables of keys and joined back.
 
-    Decisions are made on narrow tables of keys and joined back. Rows are told apart by a window only if the table holds equal hashes.
+    Only if the table holds equal hashes, the rows are numbered by partition and position as well, and written with their numbers, so that
+    these stay the same; no window ever gathers equal rows.
     """
-    every = [F.col(f"`{c}`") for c in df.columns]
-    hashed = df.withColumn(name, F.xxhash64(*every))
+    hashed = df.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
     if hashed.groupBy(name).count().where("count > 1").isEmpty():
         return hashed
-    place = F.row_number().over(Window.partitionBy(name).orderBy(F.hash(*every)))
-    return hashed.withColumn(name, F.xxhash64(name, place))
+    return stored(hashed.withColumn(name, F.xxhash64(name, F.monotonically_increasing_id())), "keyed")
 
 
 def with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:

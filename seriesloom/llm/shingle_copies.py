@@ -2,6 +2,10 @@
 
 A pair of similarity s agrees in all rows of a band with s^ROWS, and in no band with (1 - s^ROWS)^BANDS: five in a million at 0.8, six in
 a billion at 0.85. No link is made without the similarity itself.
+
+The members of a bucket are compared with its smallest only. What no link connects then is compared in pairs in small buckets; large ones
+are split by a second band, and by further ones until none is large. A pair at 0.8 misses two common bands 8 times in 100,000 and three 6 times in
+10,000, so that nothing grows with the square of a bucket's size.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm.components import components
+from seriesloom.llm.covering_simhash import named, simhash
 from seriesloom.llm.shared import free_name, in_arrow, keyed, stored
 
 BANDS, ROWS = 40, 6
@@ -54,19 +59,21 @@ def band_keys(own: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
-def _with_bands(rows: DataFrame, width: int) -> DataFrame:
-    """(first, fp, bands): the set of shingles as one hash, and its band keys; rows without words are left out."""
-    schema = T.StructType([rows.schema["first"], T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def _with_prints(rows: DataFrame, width: int, sim_width: int, seed: int) -> DataFrame:
+    """(first, sim, fp, n, bands): SimHash fingerprint, set of shingles as one hash, its size, and its band keys; none without words."""
+    kinds = [T.StructField("sim", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType([rows.schema["first"], *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, prints, bands = batch.column("text"), [], []
+            texts, out = batch.column("text"), ([], [], [], [])
             for i in range(len(texts)):
-                own = shingles(texts[i].as_py(), width)
-                prints.append(int(np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64)))
-                bands.append(band_keys(own))
-            made = pa.RecordBatch.from_arrays([batch.column("first"), pa.array(prints, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema.names)
-            yield made.filter(pa.array([bool(b) for b in bands], pa.bool_()))
+                text = texts[i].as_py()
+                own = shingles(text, width)
+                for column, value in zip(out, (simhash(text, sim_width, seed), xxhash.xxh64_intdigest(own.tobytes()), len(own), band_keys(own))):
+                    column.append(value)
+            sims, prints = (pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:2])
+            yield pa.RecordBatch.from_arrays([batch.column("first"), sims, prints, pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], schema.names)
 
     return in_arrow(rows, run, schema)
 
@@ -84,70 +91,78 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is ``least`` or more."""
-    n = F.octet_length
+    """The pairs (a, b, na, nb) whose similarity is ``least`` or more; those whose sizes rule it out go before any set is moved."""
+    fit = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    pairs = pairs.where(fit).select("a", "b").distinct()
     both = pairs.join(sets.withColumnsRenamed({"fp": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "own": "y"}), "b")
-    both = both.where((n("x") >= least * n("y")) & (n("y") >= least * n("x"))).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            near = [similarity(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= least for i in range(len(x))]
+            near = [similarity(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) >= least for i in range(len(x))]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return in_arrow(both, run, "a long, b long")
-
+    return in_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
 
-def _crossing(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one bucket that no link connects yet."""
-    pairs = one.select("key", F.col("fp").alias("p"), F.col("root").alias("r")).join(other.select("key", F.col("fp").alias("q"), F.col("root").alias("s")), "key")
-    return pairs.where("r != s").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
-def _roots(members: DataFrame, sets: DataFrame, least: float, pairs_below: int) -> DataFrame:
-    """(node, root) of all members that similar pairs connect.
 
-    ``members`` holds (key, fp, n). Buckets below ``pairs_below`` compare all pairs. In a larger one all members are first compared with
-    the smallest, then those not yet connected with a growing number of others, at last with all: copies of one text connect at once,
-    and no pair is left out that could connect more.
-    """
-    apart = members.withColumn("root", F.col("fp"))
-    few, large = apart.where(F.col("n") <= pairs_below), members.where(F.col("n") > pairs_below)
-    heads = large.groupBy("key").agg(F.min("fp").alias("fp")).withColumn("root", F.col("fp"))
-    links = stored(_similar(_crossing(few, few).unionByName(_crossing(heads, apart.where(F.col("n") > pairs_below))).distinct(), sets, least), "similar")
-    take = 4
+def _roots(bands: DataFrame, sets: DataFrame, least: float, pairs_below: int) -> DataFrame:
+    """(node, root) of all sets that similar pairs connect; ``bands`` holds (fp, n, bands)."""
+    links = sets.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    level = bands.select("fp", "n", F.explode("bands").alias("key"), F.col("fp").alias("root")).withColumn("used", F.array("key"))
     while True:
-        roots = components(links)
-        known = large.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        head = F.min(F.struct("fp", "n", "root")).alias("head")
+        level = stored(level.join(level.groupBy("key").agg(F.count("*").alias("many"), head).where("many > 1"), "key"), "buckets")
+        star = level.where("fp != head.fp AND root != head.root").select(F.col("head.fp").alias("a"), F.col("fp").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
+        links = stored(links.unionByName(_similar(star, sets, least)), "similar")
+        known = _with_roots(level.drop("head"), components(links))
         split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        large = stored(known.join(split, "key"), "open")
+        apart = stored(known.join(split, "key"), "open")
+        one = apart.where(F.col("many") <= pairs_below).select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        pairs = one.join(one.withColumnsRenamed({"a": "b", "na": "nb", "ra": "rb"}), "key").where("a < b AND ra != rb")
+        links = stored(links.unionByName(_similar(pairs.select("a", "b", "na", "nb"), sets, least)), "similar")
+        roots = components(links)
+        large = apart.where(F.col("many") > pairs_below)
         if large.isEmpty():
             return roots
-        chosen = large.where(F.pmod(F.xxhash64("fp"), F.col("n")) < take)
-        links = stored(links.unionByName(_similar(_crossing(chosen, large), sets, least)).distinct(), "similar")
-        large = large.where(F.col("n") > take).drop("root")
-        take *= 8
+        finer = _with_roots(large, roots).select("fp", "n", "root", "used").join(bands.select("fp", "bands"), "fp")
+        finer = finer.withColumn("next", F.explode(F.array_except("bands", "used"))).withColumn("used", F.array_sort(F.array_append("used", F.col("next"))))
+        level = finer.select("fp", "n", F.xxhash64("used").alias("key"), "root", "used").distinct()
+
 
+def drop_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, radius: int = 2, sim_width: int = 3, seed: int = 42, pairs_below: int = 48
+) -> DataFrame:
+    """One row of ``docs`` for each group of near copies: that with the smallest doc_id (null last), of repeated ids any one.
 
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, pairs_below: int = 48) -> DataFrame:
-    """One row of ``docs`` for each group that pairs of Jaccard similarity ``least`` or more connect: that with the smallest doc_id (null last),
-    of repeated ids any one.
+    Texts are copies whose SimHash fingerprints links of at most ``radius`` bits connect; of what then stays, also those that pairs of Jaccard
+    similarity ``least`` or more in shingles of ``width`` words connect. ``radius=0`` takes equal fingerprints only.
 
-    Equal sets of shingles are one before any search. Rows without words all stay. All columns come back as they were. An empty table stays empty.
+    One pass over the texts gives fingerprints and bands; all decisions are made on narrow rows, and texts move once, against the keys of
+    the rows to drop. Rows without words form one group. All columns come back as they were. An empty table stays empty.
     """
     key = free_name(docs, "row_key")
     rows = keyed(docs, key)
     short = rows.select(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("key")).alias("first"), F.col(text).alias("text"))
-    prints = stored(_with_bands(short, width), "bands")
-    distinct = stored(prints.groupBy("fp").agg(F.min("first").alias("first")), "distinct")
+    prints = stored(_with_prints(short, width, sim_width, seed), "prints")
+    by_sim = prints.select("first", F.col("sim").alias("fp"))
+    sims = named(by_sim, "first", radius) if radius else by_sim.groupBy("fp").agg(F.min("first").alias("name"))
+    judged = prints.join(sims.withColumnsRenamed({"fp": "sim"}), "sim")
+    gone = stored(judged.where("first.key != name.key").select(F.col("first.key").alias(key)), "gone")
+    left = stored(judged.where("first.key = name.key AND n > 0").select("first", "fp", "n", "bands"), "left")
+    distinct = stored(left.groupBy("fp").agg(F.min("first").alias("first")), "distinct")
     # the least row of a set stands for it
-    bands = prints.join(distinct.select("fp", "first"), ["fp", "first"], "left_semi").select("fp", F.explode("bands").alias("key"))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(bands.join(sizes, "key"), "buckets")
-    wanted = stored(distinct.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("first.key").alias(key)), "wanted")
+    bands = stored(left.join(distinct, ["fp", "first"], "left_semi").select("fp", "n", "bands"), "bands")
+    members = bands.select("fp", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("many")).where("many > 1")
+    met = stored(members.join(shared, "band").select("fp").distinct(), "met")
+    wanted = stored(distinct.join(met, "fp", "left_semi").select("fp", F.col("first.key").alias(key)), "wanted")
     sets = stored(_sets(rows.select(key, F.col(text).alias("text")).join(wanted, key).select("fp", "text"), width), "sets")
-    linked = _roots(members, sets, least, pairs_below).withColumnRenamed("node", "fp")
+    linked = _roots(bands.join(met, "fp", "left_semi"), sets, least, pairs_below).withColumnRenamed("node", "fp")
     roots = distinct.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = roots.join(roots.groupBy("root").agg(F.min("first").alias("name")), "root").select("fp", "name")
-    dropped = prints.select("first", "fp").join(named, "fp").where(F.col("first.key") != F.col("name.key")).select(F.col("first.key").alias(key))
-    return rows.join(stored(dropped, "dropped").hint("merge"), key, "left_anti").drop(key)
+    names = roots.join(roots.groupBy("root").agg(F.min("first").alias("name")), "root").select("fp", "name")
+    more = left.select("first", "fp").join(names, "fp").where("first.key != name.key").select(F.col("first.key").alias(key))
+    return rows.join(stored(gone.unionByName(more), "dropped").hint("merge"), key, "left_anti").drop(key)

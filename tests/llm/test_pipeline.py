@@ -43,38 +43,34 @@ def test_quality_rules(spark, steps):
     assert all(len(r.text.split()) >= 50 for r in after)
 
 
-def test_simhash_dedup(steps):
-    before, after = pair(steps, "simhash_dedup")
-    prints = {r.doc_id: covering_simhash.simhash(r.text) for r in before}
-    root = {d: d for d in prints}
+def near_copies(rows, radius=2):
+    """Brute force: names after SimHash links, then after links of similar shingle sets between what stays."""
+    prints = {d: covering_simhash.simhash(t) for d, t in rows}
+    words = {d: (t or "").lower().split() for d, t in rows}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items() if w}
+    name = {d: d for d in prints}
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    def link(a, b):
+        low, high = sorted((name[a], name[b]))
+        if low != high:
+            name.update({d: low for d, n in name.items() if n == high})
 
     ids = sorted(prints)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    kept = {find(d) for d in ids}
-    assert sorted(after) == sorted(r for r in before if r.doc_id in kept)
-    assert len(after) < len(before)
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                link(a, b)
+    left = [d for d in ids if name[d] == d and d in sets]
+    for i, a in enumerate(left):
+        for b in left[i + 1 :]:
+            if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                link(a, b)
+    return name
 
 
-def test_shingle_dedup(steps):
-    before, after = pair(steps, "shingle_dedup")
-    words = {r.doc_id: (r.text or "").lower().split() for r in before}
-    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items() if w}
-    name = {d: d for d in words}
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and name[a] != name[b]:
-                low, high = sorted((name[a], name[b]))
-                name = {d: low if n == high else n for d, n in name.items()}
+def test_simhash_dedup(steps):
+    before, after = pair(steps, "simhash_dedup")
+    name = near_copies([(r.doc_id, r.text) for r in before])
     assert sorted(after) == sorted(r for r in before if name[r.doc_id] == r.doc_id)
     assert len(after) < len(before)
 
@@ -93,18 +89,43 @@ def test_copies_of_any_similarity_go(spark, below):
     shared = " ".join(f"c{i}" for i in range(40))
     rows += [(1000 + i, f"{shared} " + " ".join(f"y{draw.randrange(50_000)}" for _ in range(60))) for i in range(100)]  # a passage alone makes no copy
     rows += [(2000, None), (2001, ""), (2002, "one two"), (2003, "One  two")]
-    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in ((d, (t or "").lower().split()) for d, t in rows)}
-    name = {d: d for d in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and (b < 1000 and a // 10 == b // 10) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and name[a] != name[b]:
-                low, high = sorted((name[a], name[b]))
-                name = {d: low if n == high else n for d, n in name.items()}
-    kept = {r.doc_id for r in shingle_copies.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), pairs_below=below).collect()}
-    assert kept == {d for d, n in name.items() if d == n} - {2003}
+    name = near_copies(rows)
+    kept = {r.doc_id for r in shingle_copies.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), pairs_below=below).collect()}
+    assert kept == {d for d, n in name.items() if d == n}
     assert sum(d < 1000 for d in kept) < 100
 
 
+@pytest.mark.parametrize("share", [0.8, 0.85, 0.9, 0.95])
+def test_recall_in_large_buckets(spark, share):
+    """Texts that share most shingles but are no copies fill large buckets; copies among them are found all the same."""
+    draw, rows = random.Random(9), []
+    common = [f"c{i}" for i in range(140)]
+    for i in range(60):
+        words = common + [f"{i}w{draw.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * i, " ".join(words)))
+        changed, cut = list(words), 140
+        while True:  # replace words at the end until the wanted similarity
+            nxt = list(changed)
+            nxt[cut] = f"{i}x{draw.randrange(10**6)}"
+            a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, nxt))
+            if len(a & b) < share * len(a | b):
+                break
+            changed, cut = nxt, cut + 1
+        rows.append((2 * i + 1, " ".join(changed)))
+    found = shingle_copies.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), pairs_below=8, radius=0)
+    kept = {r.doc_id for r in found.collect()}
+    assert kept >= {2 * i for i in range(60)} and sum(2 * i + 1 not in kept for i in range(60)) >= 57
+
+
+def test_odd_rows_in_dedup(spark):
+    long = " ".join(f"w{i % 9973}" for i in range(120_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (5, long + " tail"), (6, "a b c d e f g"), (6, "a b c d e f g"), (None, "a b c d e f g"), (None, "q r s"), (None, "q r s"), (7, "Q R  s"), (8, "é")]
+    df = spark.createDataFrame([(d, t, 1, 2, "x", 3) for d, t in rows], "doc_id long, text string, row_key int, fp int, bands string, n int").repartition(3)
+    kept = shingle_copies.drop_copies(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, None), (4, long), (6, "a b c d e f g"), (7, "Q R  s"), (8, "é")]
+    assert shingle_copies.drop_copies(df.where("false")).count() == 0
+
+
 def test_suffix_dedup(steps):
     before, after = pair(steps, "suffix_dedup")
     _, later = repeats([(r.doc_id, r.text) for r in before], 50)
