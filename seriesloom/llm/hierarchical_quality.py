@@ -50,14 +50,20 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.bias + total[ends] - total[starts], -30, 30)))
 
 
-def telling(rows: list[np.ndarray], labels: np.ndarray, least_rows: int = 5, least_chi2: float = 20.0) -> np.ndarray:
-    """Which buckets occur in enough rows and depend on the label by the chi-squared test."""
+def telling(rows: list[np.ndarray], labels: np.ndarray, least: int = 50) -> np.ndarray:
+    """The buckets that depend on the label more, by the chi-squared statistic, than the best of so many would by chance.
+
+    The ``least`` most telling ones are kept in any case, so that few labels give a weak classifier instead of none.
+    """
     n = len(rows)
     with_label, among = (np.bincount(np.concatenate(x), minlength=BUCKETS).astype(float) for x in ([r for r, y in zip(rows, labels) if y], rows))
     total = labels.sum()
     gap = with_label * n - among * total
-    chi2 = gap * gap / np.maximum(among * (n - among) * total * (n - total) / n, 1e-9)
-    return (among >= least_rows) & (chi2 > least_chi2)
+    chi2 = np.where(among > 1, gap * gap / np.maximum(among * (n - among) * total * (n - total) / n, 1e-9), 0)
+    kept = chi2 > 2 * np.log(max((among > 1).sum(), 2))
+    first = np.argsort(-chi2, kind="stable")[:least]
+    kept[first[chi2[first] > 0]] = True
+    return kept
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.2, shrink: float = 1e-5) -> Classifier:
