@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,24 @@ def side_of(tokens: int) -> int:
     return max(LEAST_SIDE, round(2 * tokens ** (1 / 6)))
 
 
+class Encoder(dict):
+    """Word to number; the slots of rare words are looked up once and kept while they are few."""
+
+    def __init__(self, numbers: dict[bytes, int], common: int, slots: int):
+        super().__init__(numbers)
+        self.numbers, self.common, self.slots = numbers, common, slots
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > len(self.numbers) + _KEPT_WORDS:
+            self.clear()
+            self.update(self.numbers)
+        slot = self[word] = self.common + zlib.crc32(word) % self.slots
+        return slot
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 @dataclass
 class Vocabulary:
     """Three quarters of the numbers are words of their own, the others slots; ``table`` holds the counts of all words and stays on the driver."""
@@ -74,10 +93,10 @@ class Vocabulary:
         return replace(self, table=None)
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        ids = np.fromiter((self.numbers.get(w, -1) for w in words), np.int32, len(words))
-        for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = self.common + zlib.crc32(words[i]) % (len(self.counts) - self.common)
-        return ids
+        return self.encoder().encode(words)
+
+    def encoder(self) -> Encoder:
+        return Encoder(self.numbers, self.common, len(self.counts) - self.common)
 
     def shares(self) -> np.ndarray:
         """What the log-probability of each number loses for a word that was seen once or never: its part of the slot's count, to which
@@ -108,7 +127,8 @@ class Network:
 
     def __init__(self, counts: np.ndarray, flat: np.ndarray | None = None):
         self.units, self.side = len(counts), math.isqrt(len(counts))
-        shapes = ((self.units + 1, WIDTH), (2 * SIDE, WIDTH), (WIDTH, 2 * self.side))
+        # places of the text run along the last axis everywhere, so that sums and maxima over classes are sums of whole rows
+        shapes = ((WIDTH, self.units + 1), (2 * SIDE, WIDTH), (WIDTH, 2 * self.side))
         if flat is None:
             draw = np.random.default_rng(7)
             flat = np.concatenate([(draw.standard_normal(s) * 0.1 + (k == 1)).ravel() for k, s in enumerate(shapes)])
@@ -116,15 +136,15 @@ class Network:
         cuts = np.cumsum([0] + [a * b for a, b in shapes])
         self.vectors, self.places, self.out = (self.flat[a:b].reshape(s) for a, b, s in zip(cuts, cuts[1:], shapes))
         by_class = counts.reshape(self.side, self.side)
-        self.class_base = np.log(by_class.sum(axis=1) / by_class.sum()).astype(np.float32)
-        self.member_base = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.class_base = np.log(by_class.sum(axis=1) / by_class.sum()).astype(np.float32)[:, None]
+        self.member_base = np.ascontiguousarray(np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32).T)
 
     def hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of a stretch of numbers and the hidden vectors of all but its SIDE first and last places."""
-        vectors, n = self.vectors[ids], len(ids) - 2 * SIDE
-        total = np.zeros((n, WIDTH), np.float32)
+        vectors, n = np.take(self.vectors, ids, axis=1), len(ids) - 2 * SIDE
+        total = np.zeros((WIDTH, n), np.float32)
         for k, shift in enumerate(self.shifts()):
-            total += vectors[shift : shift + n] * self.places[k]
+            total += vectors[:, shift : shift + n] * self.places[k][:, None]
         return vectors, np.tanh(total, out=total)
 
     @staticmethod
@@ -137,17 +157,17 @@ class Network:
         target = ids[SIDE:-SIDE]
         # the text's edge stands for no word; its log-probability is ignored by all callers
         of_class, member = np.minimum(target // self.side, self.side - 1), target % self.side
-        scores = hidden @ self.out
-        scores[:, : self.side] += self.class_base
-        scores[:, self.side :] += self.member_base[of_class]
-        rows, found = np.arange(len(target)), 0.0
-        for part, right in ((scores[:, : self.side], of_class), (scores[:, self.side :], member)):
-            part -= part.max(axis=1, keepdims=True)
-            found = found + part[rows, right]
+        scores = self.out.T @ hidden
+        scores[: self.side] += self.class_base
+        scores[self.side :] += np.take(self.member_base, of_class, axis=1)
+        columns, found = np.arange(len(target)), 0.0
+        for part, right in ((scores[: self.side], of_class), (scores[self.side :], member)):
+            part -= part.max(axis=0)
+            found = found + part[right, columns]
             np.exp(part, out=part)
-            total = part.sum(axis=1, keepdims=True)
-            found = found - np.log(total[:, 0])
-            part /= total
+            total = part.sum(axis=0)
+            found = found - np.log(total)
+            part *= 1 / total
         return found, scores, hidden, vectors
 
     def train(self, ids: np.ndarray, squares: np.ndarray, rate: float) -> None:
@@ -155,30 +175,36 @@ class Network:
         _, error, hidden, vectors = self.log_probabilities(ids)
         target, n = ids[SIDE:-SIDE], len(ids) - 2 * SIDE
         real = target < self.units
-        rows = np.arange(n)
-        error[rows, np.minimum(target // self.side, self.side - 1)] -= 1
-        error[rows, self.side + target % self.side] -= 1
-        error *= (real / max(1, real.sum())).astype(np.float32)[:, None]
-        back = (error @ self.out.T) * (1 - hidden * hidden)
+        columns = np.arange(n)
+        error[np.minimum(target // self.side, self.side - 1), columns] -= 1
+        error[self.side + target % self.side, columns] -= 1
+        error *= (real / max(1, real.sum())).astype(np.float32)
+        back = (self.out @ error) * (1 - hidden * hidden)
         of_places, of_vectors = np.zeros_like(self.places), np.zeros_like(vectors)
         for k, shift in enumerate(self.shifts()):
-            of_places[k] = np.einsum("ij,ij->j", back, vectors[shift : shift + n])
-            of_vectors[shift : shift + n] += back * self.places[k]
-        gathered = np.stack([np.bincount(ids, of_vectors[:, j], self.units + 1) for j in range(WIDTH)], axis=1)
-        gradient = np.concatenate([gathered.ravel(), of_places.ravel(), (hidden.T @ error).ravel()]).astype(np.float32)
+            of_places[k] = np.einsum("ji,ji->j", back, vectors[:, shift : shift + n])
+            of_vectors[:, shift : shift + n] += back * self.places[k][:, None]
+        gathered = np.stack([np.bincount(ids, of_vectors[j], self.units + 1) for j in range(WIDTH)])
+        gradient = np.concatenate([gathered.ravel(), of_places.ravel(), (hidden @ error.T).ravel()]).astype(np.float32)
         squares += gradient * gradient
         self.flat -= rate * gradient / np.sqrt(squares)
 
 
-def stretches(column: pa.Array, words: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers, row) of the words of a column; SIDE edge signs stand before and behind each text, with row -1."""
-    edge, none = np.full(SIDE, len(words.counts), np.int32), np.full(SIDE, -1, np.int64)
+def stretches(column: pa.Array, units: int, encoder: Encoder, tails: list[Counter] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers, row) of the words of a column; SIDE edge signs stand before and behind each text, with row -1.
+
+    ``tails`` receives how often each word without a number of its own stands in each text.
+    """
+    edge, none = np.full(SIDE, units, np.int32), np.full(SIDE, -1, np.int64)
     for a, b in row_slices(column, _PIECE):
         ids, rows = [edge], [none]
         for i in range(a, b):
-            own = words.encode(words_of(column[i].as_py()))
+            words = words_of(column[i].as_py())
+            own = encoder.encode(words)
             ids += [own, edge]
             rows += [np.full(len(own), i), none]
+            if tails is not None:
+                tails.append(Counter(compress(words, (own >= encoder.common).tolist())))
         yield np.concatenate(ids), np.concatenate(rows)
 
 
@@ -192,10 +218,10 @@ def train(docs: DataFrame, words: Vocabulary, text: str = "text", step: int = 40
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        net = Network(words.counts)
+        net, encoder = Network(words.counts), words.encoder()
         squares, seen = np.full_like(net.flat, 1e-7), 0
         for batch in batches:
-            for ids, rows in stretches(batch.column(0), words):
+            for ids, rows in stretches(batch.column(0), net.units, encoder):
                 for k in range(0, len(ids) - 2 * SIDE, step):
                     net.train(ids[k : k + step + 2 * SIDE], squares, rate)
                 seen += int((rows >= 0).sum())
@@ -226,18 +252,17 @@ def scored(docs: DataFrame, words: Vocabulary, flat: np.ndarray, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
-        net, shares = Network(words.counts, flat), words.shares()
+        net, shares, encoder = Network(words.counts, flat), words.shares(), words.encoder()
         for batch in batches:
             column = batch.column(text)
-            total, count = np.zeros(len(column)), np.zeros(len(column), np.int64)
-            for ids, rows in stretches(column, words):
+            total, count, tails = np.zeros(len(column)), np.zeros(len(column), np.int64), []
+            for ids, rows in stretches(column, net.units, encoder, tails):
                 for k in range(0, len(ids) - 2 * SIDE, step):
                     found = net.log_probabilities(ids[k : k + step + 2 * SIDE])[0] + shares[ids[k + SIDE : k + step + SIDE][: len(ids) - 2 * SIDE - k]]
                     owner = rows[k + SIDE : k + SIDE + len(found)]
                     real = owner >= 0
                     total += np.bincount(owner[real], found[real], len(column))
                     count += np.bincount(owner[real], minlength=len(column))
-            tails = [Counter(w for w in words_of(column[i].as_py()) if w not in words.numbers) for i in range(len(column))]
             tail, times = pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(count), pa.array(total), tail, times], schema.names)
 
@@ -253,7 +278,7 @@ def pseudo_likelihoods(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, n_tokens, log_likelihood, per_token) for every row of ``docs``, by a network trained on all of them.
 
     Null and empty texts have no tokens, log-likelihood 0 and a null ``per_token``. Repeated rows are trained on and scored like any
-    other. An empty table gives no rows.
+    other. An empty table gives no rows. As every task trains a copy of its own, scores depend a little on how the table is partitioned.
     """
     words = vocabulary(docs, text)
     flat = train(docs, words, text)

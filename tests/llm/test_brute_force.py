@@ -113,6 +113,44 @@ def test_op6_finds_toxic_documents(spark):
     assert right >= 0.9 * len(truth)
 
 
+def test_op6_on_labels_not_learnt_from(spark):
+    from pyspark.sql import functions as F
+
+    from seriesloom.llm.hierarchical_quality import quality_posteriors
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    rows = {r.doc_id: r for r in quality_posteriors(docs, labels.where(~held)).collect()}
+    right = [((rows[r.doc_id].posterior_quality >= 0.5) == r.quality, (rows[r.doc_id].posterior_toxic >= 0.5) == r.toxic) for r in labels.where(held).collect()]
+    assert len(right) > 60 and sum(q for q, _ in right) >= 0.9 * len(right) and sum(t for _, t in right) >= 0.9 * len(right)
+
+
+def test_op10_by_hand(spark):
+    """Three documents scored by plain loops over words, classes and members."""
+    from seriesloom.llm.pseudo_likelihood import SIDE, Network, scored, train, vocabulary
+
+    rows = [(1, "the cat and the dog"), (2, "zebra"), (3, "the " * 30 + "cat"), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    words = vocabulary(frame)
+    flat = train(frame, words)
+    net, counts = Network(words.counts, flat), collections.Counter(w for _, t in rows for w in (t or "").encode().split())
+    for r in scored(frame, words, flat).collect():
+        own = dict(rows)[r.doc_id]
+        tokens = (own or "").encode().split()
+        numbers = [words.numbers[w] for w in tokens]  # the vocabulary holds them all
+        padded, want = [net.units] * SIDE + numbers + [net.units] * SIDE, 0.0
+        for i, x in enumerate(numbers):
+            around = [padded[i + k] for k in range(2 * SIDE + 1) if k != SIDE]
+            hidden = [math.tanh(sum(float(net.vectors[j, y]) * float(net.places[k, j]) for k, y in enumerate(around))) for j in range(len(net.vectors))]
+            table = words.counts.reshape(net.side, net.side)
+            for at, base, shift in ((x // net.side, table.sum(axis=1), 0), (x % net.side, table[x // net.side], net.side)):
+                scores = [math.log(base[c] / base.sum()) + sum(h * float(net.out[j, shift + c]) for j, h in enumerate(hidden)) for c in range(net.side)]
+                want += scores[at] - math.log(sum(map(math.exp, scores)))
+        assert r.n_tokens == len(tokens) and math.isclose(r.log_likelihood, want, rel_tol=1e-3, abs_tol=1e-3)
+    assert counts[b"the"] == 32
+
+
 def test_op7_base(spark, docs):
     for r, (doc_id, text, _, _) in zip(sorted(rows_of(spark, "op7_tokeniser_fertility")), docs):
         words, seen, repeated = BLANK.findall(text or ""), collections.Counter(), set()
