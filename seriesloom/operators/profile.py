@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from seriesloom.functions import stats, text
-from seriesloom.operators.frames import categorical_columns, named_rows, numeric_columns, text_columns, time_columns
+from seriesloom.operators.frames import categorical_columns, named_rows, nan_to_null, numeric_columns, text_columns, time_columns
 from seriesloom.operators.quantiles import exact_quantiles, fences_from
 
 
@@ -319,7 +319,8 @@ def high_cardinality_profile(profile: DataFrame, rows: int) -> DataFrame:
 
 
 def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float = 1.5) -> DataFrame:
-    """``column, low, high, outliers, percent`` by the interquartile fence."""
+    """``column, low, high, outliers, percent`` by the interquartile fence; NaN is missing."""
+    df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
     fences = fences_from(exact_quantiles(df, columns, [0.25, 0.75]), k)
     facts = {}
@@ -333,9 +334,25 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float
     return named_rows(df, "column", facts)
 
 
+def _exact(value: Column, kind: T.DataType) -> Column:
+    """A value as JSON keeps it apart: timestamps to the microsecond, one zero."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        return value.cast("string")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value + F.lit(0.0)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _exact(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_exact(value.getField(f.name), f.dataType).alias(f.name) for f in kind]))
+    return value
+
+
 def row_digest(df: DataFrame) -> Column:
     """SHA-256 over all columns of a row, told apart by name, so that long texts never become shuffle keys."""
-    return F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}), 256))
+    values = [_exact(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
+    return F.unhex(F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

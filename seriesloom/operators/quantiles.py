@@ -19,10 +19,11 @@ ACCURACY = 10_000
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 ) -> dict[str, list[float | None]]:
-    """``{column: [value per prob]}`` with linear interpolation; nulls are skipped, an empty column gives nulls."""
+    """``{column: [value per prob]}`` with linear interpolation; nulls and NaN are skipped, an empty column gives nulls."""
     if not columns:
         return {}
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    number = lambda c: F.col(c).cast("double")
+    data = df.select(*[F.when(~F.isnan(number(c)), number(c)).alias(c) for c in columns])
     sizes = data.agg(*[F.count(c).alias(c) for c in columns]).first()
     wanted = {}
     for c in columns:
