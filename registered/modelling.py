@@ -11,6 +11,7 @@ from registered.reading import place
 from seriesloom.operators import cleaning, features, rowindex, series, tables, trees, validation
 from seriesloom.operators.frames import attach
 from seriesloom.operators.frames import first_numeric as first_of, select_numeric as numeric_of
+from seriesloom.plans.rawscoring import score_rows
 from seriesloom.plans.steps import run_steps as run_list
 from seriesloom.plans.training import train_and_report as train_all
 from seriesloom.sources.models import read_model, write_model as store_model
@@ -280,6 +281,22 @@ def train_and_report(t):
     return run.report().select("candidate", "model", "target", measured.alias("measured"))
 
 
+@query("score_raw_rows", f"""WITH s AS (SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT o_orderpriority, count(*) AS rows, count(*) AS scored, count(*) AS same FROM s WHERE idx >= {SPLIT} GROUP BY 1""")
+def score_raw_rows(t):
+    """Raw orders of the holdout, scored by the stored model in a plan of its own, get the training plan's own predictions."""
+    frame = t("orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey").cast("double")).alias("amount"))
+    path = place(frame.sparkSession, "scoring")
+    run = train_all(frame, "o_totalprice", ["o_orderkey"], "o_orderdate", ["o_orderpriority"], "RandomForest", [{"numTrees": 10, "maxDepth": 5}], folds=2, path=path)
+    placed = rowindex.with_row_index(frame, ["o_orderdate", "o_orderkey"], ["o_orderpriority"])
+    training = F.col("idx") < validation.split_index(F.col("n"))
+    raw = [placed.where(part).drop("idx", "n") for part in (~training, training)]
+    scored = score_rows(frame.sparkSession, f"{path}/model", raw[0], raw[1])
+    own = run.trees.model.transform(run.matrix).select("o_orderkey", F.col("predicted").alias("own"))
+    agree = F.abs(F.col("predicted") - F.col("own")) <= 1e-9 * F.abs(F.col("own"))
+    return scored.join(own, "o_orderkey", "left").groupBy("o_orderpriority").agg(F.count("*").alias("rows"), F.count("predicted").alias("scored"), F.count_if(agree).alias("same"))
+
+
 @query("write_model", """SELECT count(*) AS rows, true AS same FROM part""")
 def write_model(t):
     """A fitted model written and read again predicts the same."""

@@ -108,13 +108,34 @@ def impute_constant(df: DataFrame, columns: Sequence[str], value: str = "Unknown
 def impute_categorical_auto(df: DataFrame, columns: Sequence[str] | None = None, fit: DataFrame | None = None) -> DataFrame:
     """Text columns: the mode when under 5 % are missing, else ``Unknown``."""
     columns = list(columns or categorical_columns(df))
-    if not columns:
-        return df
-    source = df if fit is None else fit
+    return fill_texts(df, text_fills(df if fit is None else fit, columns)) if columns else df
+
+
+def text_fills(source: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """What stands for a missing text: the mode when under 5 % are missing, else ``Unknown``."""
     share = source.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
     rare = [c for c in columns if share[c] is not None and 0 < share[c] < 0.05]
     best = modes(source, rare) if rare else {}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(best.get(c, "Unknown"))) for c in columns})
+    return {c: best.get(c, "Unknown") for c in columns}
+
+
+def fill_texts(df: DataFrame, fills: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()}) if fills else df
+
+
+def fill_numbers(df: DataFrame, medians: dict[str, float]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in medians.items()}) if medians else df
+
+
+def cap(df: DataFrame, fences: dict[str, Sequence[float]]) -> DataFrame:
+    """Values of each column held between its (low, high)."""
+    return df.withColumns({
+        c: F.least(F.greatest(F.col(c).cast("double"), F.lit(bounds[0])), F.lit(bounds[1])) for c, bounds in fences.items()
+    }) if fences else df
+
+
+def flag_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("double") for c in columns}) if columns else df
 
 
 def missing_indicator(df: DataFrame, columns: Sequence[str] | None = None, share: float = 0.25, fit: DataFrame | None = None) -> DataFrame:
@@ -132,11 +153,13 @@ def category_codes(df: DataFrame, column: str) -> DataFrame:
     return with_row_index(distinct, ["value"]).select("value", F.col("idx").alias("code"))
 
 
-def label_encode(df: DataFrame, column: str, into: str | None = None, fit: DataFrame | None = None) -> DataFrame:
-    """Replace a column by its code; missing stays missing, as do values not seen in ``fit``."""
-    codes = category_codes(df if fit is None else fit, column)
+def label_encode(
+    df: DataFrame, column: str, into: str | None = None, fit: DataFrame | None = None, codes: DataFrame | None = None,
+) -> DataFrame:
+    """Replace a column by its code (of ``codes`` when given); missing stays missing, as do values not seen in ``fit``."""
+    codes = category_codes(df if fit is None else fit, column) if codes is None else codes
     out = into or column
-    joined = df.join(codes.withColumnRenamed("code", "_code"), F.col(column) == F.col("value"), "left").drop("value")
+    joined = df.join(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), F.col(column) == F.col("_value"), "left").drop("_value")
     if out == column:
         joined = joined.drop(column)
     return joined.withColumnRenamed("_code", out)
@@ -195,14 +218,14 @@ def plan_encoding(df: DataFrame, columns: Sequence[str] | None = None) -> Encodi
     return plan
 
 
-def encode_auto(df: DataFrame, plan: EncodingPlan, fit: DataFrame | None = None) -> DataFrame:
-    """Add the encoded columns; the text columns stay."""
+def encode_auto(df: DataFrame, plan: EncodingPlan, fit: DataFrame | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Add the encoded columns; the text columns stay. ``tables`` holds the codes of columns when they are known already."""
     out = df.withColumns({
         f"onehot_{c}_{v}": (F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) == v).cast("double")
         for c, vs in plan.onehot.items() for v in vs
     }) if plan.onehot else df
     for c in plan.codes:
-        out = label_encode(out, c, into=f"enc_{c}", fit=df if fit is None else fit)
+        out = label_encode(out, c, into=f"enc_{c}", fit=df if fit is None else fit, codes=(tables or {}).get(c))
         out = out.withColumn(f"enc_{c}", F.col(f"enc_{c}").cast("double"))
     return out
 
@@ -226,6 +249,9 @@ class CleaningReport:
     dropped: dict[str, str] = field(default_factory=dict)
     indicators: list[str] = field(default_factory=list)
     steps: list[str] = field(default_factory=list)
+    medians: dict[str, float] = field(default_factory=dict)  # of every numeric feature, missing somewhere or not
+    fences: dict[str, tuple[float, float]] = field(default_factory=dict)
+    fills: dict[str, str] = field(default_factory=dict)
 
     def as_rows(self, df: DataFrame) -> DataFrame:
         """``position, step``."""
@@ -261,7 +287,7 @@ def prepare_frame(
     gaps = [c for c in numeric if counts[c] and c != target]
     flagged = [c for c in gaps if counts[c] / max(report.rows, 1) >= 0.25]
     if flagged:
-        frame = frame.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("double") for c in flagged})
+        frame = flag_missing(frame, flagged)
         report.indicators = [f"{c}_was_missing" for c in flagged]
         report.steps.append("added indicators: " + ", ".join(report.indicators))
     if gaps and time_column:
@@ -270,20 +296,22 @@ def prepare_frame(
         frame = frame if placed else frame.drop("idx", "n")
     if gaps:
         fit = frame.where(fit_where) if fit_where is not None else frame
-        frame = impute_median(frame, gaps, fit)
+        report.medians = {c: v[0] for c, v in exact_quantiles(fit, gaps, [0.5]).items() if v[0] is not None}
+        frame = fill_numbers(frame, report.medians)
         report.steps.append(("forward fill, then median: " if time_column else "median: ") + ", ".join(gaps))
     features = [c for c in numeric if c != target]
     fit = frame.where(fit_where) if fit_where is not None else frame
-    fences = fences_from(exact_quantiles(fit, features, [0.25, 0.75])) if report.rows > 8 else {}
-    fences = {c: f for c, f in fences.items() if f[2] > 0}
-    if fences:
-        frame = frame.withColumns({
-            c: F.least(F.greatest(F.col(c).cast("double"), F.lit(low)), F.lit(high)) for c, (low, high, _) in fences.items()
-        })
-        report.steps.append("capped to interquartile fences: " + ", ".join(fences))
+    quartiles = exact_quantiles(fit, features, [0.25, 0.5, 0.75]) if features else {}
+    report.medians = {c: v[1] for c, v in quartiles.items() if v[1] is not None} | report.medians
+    fences = fences_from(quartiles) if report.rows > 8 else {}
+    report.fences = {c: (low, high) for c, (low, high, width) in fences.items() if width > 0}
+    if report.fences:
+        frame = cap(frame, report.fences)
+        report.steps.append("capped to interquartile fences: " + ", ".join(report.fences))
     texts = [c for c in text_columns(frame) if counts[c] and c != time_column]
     if texts:
-        frame = impute_categorical_auto(frame, texts, frame.where(fit_where) if fit_where is not None else None)
+        report.fills = text_fills(frame.where(fit_where) if fit_where is not None else frame, texts)
+        frame = fill_texts(frame, report.fills)
         report.steps.append("filled text: " + ", ".join(texts))
     return frame, report
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions import names
-from seriesloom.operators.cleaning import TRAINING, EncodingPlan, encode_auto, finite_rows, plan_encoding
+from seriesloom.operators.cleaning import TRAINING, EncodingPlan, category_codes, encode_auto, finite_rows, plan_encoding
 from seriesloom.operators.frames import categorical_columns, numeric_columns
 from seriesloom.operators.rowindex import block_columns, block_window, with_row_index
 
@@ -127,6 +127,16 @@ class FeaturePlan:
     blocked: list[str] = field(default_factory=list)
     text_candidates: list[str] = field(default_factory=list)
     encoding: EncodingPlan = field(default_factory=EncodingPlan)
+    tables: dict[str, DataFrame] = field(default_factory=dict)  # value, code of each column encoded by number
+    lags: list[int] = field(default_factory=list)
+    windows: list[int] = field(default_factory=list)
+    diffs: list[int] = field(default_factory=list)
+    first_year: float | None = None
+
+    @property
+    def reach(self) -> int:
+        """How many rows before its own a row's features look at."""
+        return max([*self.lags, *self.windows, *[d + 1 for d in self.diffs], 3 if "row_position" in self.features else 0])
 
     def as_rows(self, df: DataFrame) -> DataFrame:
         """``feature, role`` with roles temporal, encoded, numeric, blocked and text_candidate."""
@@ -153,6 +163,18 @@ def split_features(df: DataFrame, columns: Sequence[str], target: str) -> tuple[
 CARRIED = ("idx", "n", TRAINING)
 
 
+def temporal_features(
+    indexed: DataFrame, plan: FeaturePlan, time_column: str, entities: Sequence[str] = (), year_axis: bool = False, include_current: bool = False,
+) -> DataFrame:
+    """Add the lags, rolling statistics, differences and calendar (or year) columns that the plan names."""
+    added = lag_columns(plan.lags, entities, plan.target) | rolling_columns(plan.windows, entities, plan.target, include_current)
+    added |= diff_columns(plan.diffs, entities, plan.target, include_current)
+    out = block_columns(indexed, entities, max(plan.reach, 1), added)
+    if year_axis:
+        return year_features(out, time_column, plan.first_year)
+    return out.withColumns(calendar_columns(time_column) | cyclical_columns(time_column))
+
+
 def supervised_matrix(
     df: DataFrame, target: str, time_column: str | None = None, entities: Sequence[str] = (),
     order_by: Sequence[str] = (), include_current: bool = False, fit_where: Column | None = None,
@@ -171,26 +193,17 @@ def supervised_matrix(
     fit = df.where(fit_where) if fit_where is not None else df
     plan.encoding = plan_encoding(fit, texts)
     plan.text_candidates = list(plan.encoding.codes)
-    encoded = encode_auto(df, plan.encoding, fit)
+    plan.tables = {c: category_codes(fit, c) for c in plan.encoding.codes}
+    encoded = encode_auto(df, plan.encoding, tables=plan.tables)
     order = [time_column, *order_by] if time_column else list(order_by)
     indexed = encoded if {"idx", "n"} <= set(encoded.columns) else with_row_index(encoded, order, entities if time_column else ())
-    added: dict[str, Column] = {}
     if time_column:
         longest = indexed.agg(F.max("n")).first()[0] or 0
-        lags, windows, diffs = history_steps(longest)
-        added |= lag_columns(lags, entities, target)
-        added |= rolling_columns(windows, entities, target, include_current)
-        added |= diff_columns(diffs, entities, target, include_current)
-        reach = max([*lags, *windows, *[d + 1 for d in diffs], 1])
-        out = block_columns(indexed, entities, reach, added)
+        plan.lags, plan.windows, plan.diffs = history_steps(longest)
         if year_axis:
-            before = set(out.columns)
-            out = year_features(out, time_column)
-            plan.temporal = list(added) + [c for c in out.columns if c not in before]
-        else:
-            calendar = calendar_columns(time_column) | cyclical_columns(time_column)
-            out = out.withColumns(calendar)
-            plan.temporal = list(added) + list(calendar)
+            plan.first_year = indexed.agg(F.min(time_column)).first()[0]
+        out = temporal_features(indexed, plan, time_column, entities, year_axis, include_current)
+        plan.temporal = [c for c in out.columns if c not in indexed.columns]
     else:
         out = indexed
     plan.features = [*safe, *plan.encoding.names, *dict.fromkeys(plan.temporal)]

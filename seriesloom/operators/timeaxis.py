@@ -18,10 +18,14 @@ DAY = 86_400
 
 def parse_datetime(df: DataFrame, column: str, into: str) -> DataFrame:
     """Add ``into``: the first reading (general, then month formats) that parses more than 80 % of the rows, else null."""
+    return df.withColumn(into, text.parse_candidates(F.col(column).cast("string"))[best_reading(df, column)])
+
+
+def best_reading(df: DataFrame, column: str) -> int:
+    """The number of the first reading that parses more than 80 % of the rows, else 0."""
     readings = text.parse_candidates(F.col(column).cast("string"))
     row = df.agg(F.count("*").alias("n"), *[F.count(p).alias(f"p{i}") for i, p in enumerate(readings)]).first()
-    good = [p for i, p in enumerate(readings) if row[f"p{i}"] > 0.8 * row["n"]]
-    return df.withColumn(into, good[0] if good else readings[0])
+    return next((i for i in range(len(readings)) if row[f"p{i}"] > 0.8 * row["n"]), 0)
 
 
 def is_date_like_text(df: DataFrame, columns: Sequence[str], least: float = 0.6) -> DataFrame:
@@ -138,11 +142,22 @@ def with_time(df: DataFrame, axis: TimeAxis) -> DataFrame:
         return df
     if axis.kind == "timestamp":
         return df.withColumn(axis.column, F.col(axis.column).cast("timestamp_ntz"))
-    dates = date_text_columns(df.select(axis.column))
-    reading = text.parse_candidates(F.col(axis.column))[dates[axis.column]] if axis.column in dates else None
-    if reading is None:
-        return parse_datetime(df, axis.column, axis.column)
-    return df.withColumn(axis.column, reading)
+    return read_time(df, axis, time_reading(df, axis))
+
+
+def time_reading(df: DataFrame, axis: TimeAxis) -> int | None:
+    """The number of the reading that suits the dates in text; None for other axes."""
+    if axis.kind != "text":
+        return None
+    found = date_text_columns(df.select(axis.column)).get(axis.column)
+    return best_reading(df, axis.column) if found is None else found
+
+
+def read_time(df: DataFrame, axis: TimeAxis, reading: int | None) -> DataFrame:
+    """The frame with the axis column read in the way that ``time_reading`` has found, in this or another table."""
+    if axis.kind != "text":
+        return with_time(df, axis)
+    return df.withColumn(axis.column, text.parse_candidates(F.col(axis.column).cast("string"))[reading or 0])
 
 
 def instants(df: DataFrame, axis: TimeAxis) -> DataFrame:

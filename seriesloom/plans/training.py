@@ -16,6 +16,7 @@ from seriesloom.operators.timeaxis import TimeAxis, instants
 from seriesloom.operators.trees import SHORTEST, TreeResult, train_trees
 from seriesloom.operators.validation import persistence_baseline, regression_metrics, split_index
 from seriesloom.plans.profiling import series_facts
+from seriesloom.plans.rawscoring import Scorer, scorer_of, write_scorer
 from seriesloom.session import cut_lineage
 from seriesloom.sources.models import write_model
 from seriesloom.sources.runlog import append_run
@@ -35,6 +36,8 @@ class TrainingRun:
     features: list[str] = field(default_factory=list)
     trees: TreeResult | None = None
     keys: list[str] = field(default_factory=list)
+    matrix: DataFrame | None = None
+    scorer: Scorer | None = None
 
     def report(self) -> DataFrame:
         """``model, target, candidate, rows, mae, rmse, mape, r2, mase``: chosen model next to the last-value baseline, per key for
@@ -85,11 +88,13 @@ def train_and_report(
 
     The table is ordered and split once, before anything is fitted: drops, fill values, fences and categories come from the
     training rows only. The time column, given or found, is read as timestamp, date text or year. Fewer than 20 complete rows give the
-    last-value result. With ``path`` the model and a row of the run log are stored below it.
+    last-value result. With ``path`` a row of the run log is stored below it, and below ``path/model`` the model with all that
+    ``rawscoring.score_rows`` needs to apply it to raw rows.
     """
     axis = timeaxis.find_time_axis(df, time_column)
     column, keys = (axis.column, list(entities)) if axis else (None, [])
-    frame = timeaxis.with_time(df, axis) if axis else df
+    reading = timeaxis.time_reading(df, axis) if axis else None
+    frame = timeaxis.read_time(df, axis, reading) if axis else df
     chosen = choose_model(frame, axis, target, order_by, model, keys)
     if chosen == "ARIMA" and axis:
         scored = autoregression.train_ar(indexed_series(instants(frame, axis), column, target, keys), keys)
@@ -106,7 +111,8 @@ def train_and_report(
     if matrix.count() < SHORTEST:
         return _kept(last_value_run(frame, target, order, keys, column, report.steps), dataset, path)
     result = train_trees(matrix, target, plan.features, order, keys, FAMILIES.get(chosen, "forest"), grid, folds or (4 if axis else 3))
-    run = TrainingRun(chosen, target, column, result.metrics, result.baseline, report.steps, plan.features, result)
+    scorer = scorer_of(df, clean, target, axis, reading, keys, order_by, report, plan)
+    run = TrainingRun(chosen, target, column, result.metrics, result.baseline, report.steps, plan.features, result, matrix=matrix, scorer=scorer)
     return _kept(run, dataset, path)
 
 
@@ -123,4 +129,5 @@ def _kept(run: TrainingRun, dataset: str, path: str | None) -> TrainingRun:
             F.array(*[F.lit(k) for k in run.trees.params]), F.array(*[F.lit(float(v)) for v in run.trees.params.values()]))).alias("params"),
             F.array(*[F.lit(f) for f in run.features]).alias("features"), "rows", "mae", "rmse", "r2")
         write_model(run.trees.model, meta, f"{path}/model")
+        write_scorer(run.scorer, f"{path}/model")
     return run
