@@ -151,8 +151,8 @@ class Network:
     def shifts() -> list[int]:
         return [s for s in range(2 * SIDE + 1) if s != SIDE]
 
-    def log_probabilities(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Log-probability of every place of the stretch but its edges; also the two softmaxes and what they come from."""
+    def log_probabilities(self, ids: np.ndarray, softmax: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability of every place of the stretch but its edges; also the two softmaxes (if asked for) and what they come from."""
         vectors, hidden = self.hidden(ids)
         target = ids[SIDE:-SIDE]
         # the text's edge stands for no word; its log-probability is ignored by all callers
@@ -167,12 +167,13 @@ class Network:
             np.exp(part, out=part)
             total = part.sum(axis=0)
             found = found - np.log(total)
-            part *= 1 / total
+            if softmax:
+                part *= 1 / total
         return found, scores, hidden, vectors
 
     def train(self, ids: np.ndarray, squares: np.ndarray, rate: float) -> None:
         """One AdaGrad step on a stretch."""
-        _, error, hidden, vectors = self.log_probabilities(ids)
+        _, error, hidden, vectors = self.log_probabilities(ids, softmax=True)
         target, n = ids[SIDE:-SIDE], len(ids) - 2 * SIDE
         real = target < self.units
         columns = np.arange(n)
@@ -269,7 +270,8 @@ def scored(docs: DataFrame, words: Vocabulary, flat: np.ndarray, text: str = "te
     # written, as the rows' numbers must not change between the sums and what they are added to
     base = stored(in_arrow(docs, run, schema), "scores")
     tail = base.select(F.col(key).alias("at"), F.explode(F.arrays_zip("tail", "times")).alias("t")).select("at", F.col("t.tail").alias("word"), "t.times")
-    parts = tail.join(words.table.where("n > 1"), "word").groupBy("at").agg(F.sum(F.col("times") * F.log("n")).alias("gain"))
+    # hashed, not sorted: a word stands once in the table, so its partitions are even and small
+    parts = tail.join(words.table.where("n > 1").hint("shuffle_hash"), "word").groupBy("at").agg(F.sum(F.col("times") * F.log("n")).alias("gain"))
     whole = base.drop("tail", "times").join(parts, F.col(key) == F.col("at"), "left")
     return whole.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("gain", F.lit(0.0))).drop(key, "at", "gain")
 
