@@ -4,13 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from registered import query, rounded
+from registered import joined, query, rounded
 from registered.tables import EVENTS_WITH_GAPS, events_with_gaps
 from seriesloom.functions import text
 from seriesloom.operators import profile
 from seriesloom.session import shared_dir
 from seriesloom.sources import catalog, evidence, files, runlog
-from seriesloom.streaming import jobs
+from seriesloom.streaming import jobs, sketches
 
 
 def place(spark, name: str) -> str:
@@ -174,6 +174,35 @@ def stream_batch_profile(t):
     return rounded(jobs.reconcile_profile(spark, out), 4, "mean", "std")
 
 
+SKETCHED = ("user_id", "value", "event_type")
+
+
+def _full_profile_sql() -> str:
+    """Exact parts from SQL; the sketches' errors are judged against exact counts of the same table."""
+    one = """SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS unique_values,
+ (SELECT string_agg(CAST(x AS VARCHAR), '|' ORDER BY n DESC, x) FROM (SELECT {c} AS x, count(*) AS n FROM events WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, x LIMIT 3)) AS top_values, true AS distinct_close, true AS quartiles_close FROM events"""
+    return "\nUNION ALL\n".join(one.format(c=c) for c in SKETCHED)
+
+
+@query("stream_full_profile", _full_profile_sql())
+def stream_full_profile(t):
+    """Five batches, merged: exact counts, and sketches within their stated errors."""
+    spark = t("events").sparkSession
+    source, out = place(spark, "stream-source"), place(spark, "stream-full")
+    slim = t("events").select(*SKETCHED)
+    slim.repartition(5, F.xxhash64(*SKETCHED)).write.parquet(source)
+    stream = spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    sketches.stream_profile(stream, SKETCHED, out, place(spark, "stream-state")).awaitTermination()
+    found = sketches.reconcile(spark, out, 3)
+    bounds = {r["column"]: (r.q1, r.median, r.q3) for r in found.where("median IS NOT NULL").collect()}  # one row per column
+    # a quantile is right when its share lies between the shares of the values below it and up to it
+    ranked = slim.agg(*[F.struct(*[x for i, v in enumerate(q) for x in (F.avg((F.col(c) < v).cast("double")).alias(f"below{i}"), F.avg((F.col(c) <= v).cast("double")).alias(f"upto{i}"))]).alias(c) for c, q in bounds.items()]).first()
+    close = [c for c in bounds if all(ranked[c][f"below{i}"] - sketches.RANK_ERROR <= p <= ranked[c][f"upto{i}"] + sketches.RANK_ERROR for i, p in enumerate((0.25, 0.5, 0.75)))]
+    off = F.abs(F.col("distinct_estimate") / F.col("unique_values") - 1)
+    return found.select("column", "rows", "missing", "unique_values", joined("top_values").alias("top_values"), (off <= sketches.DISTINCT_ERROR).alias("distinct_close"),
+                        (F.col("median").isNull() | F.col("column").isin(close)).alias("quartiles_close"))
+
+
 @query("stream_shifted_profile", """SELECT 'value' AS "column", count(*) AS rows, round(stddev_pop(value), 4) AS std FROM events""")
 def stream_shifted_profile(t):
     """The deviation of values around a billion, merged from several batches."""

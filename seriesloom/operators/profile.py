@@ -24,6 +24,8 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> li
             continue
         if isinstance(f.dataType, T.IntegralType):
             family = "bigint"
+        elif isinstance(f.dataType, T.DecimalType):  # all digits, and as many behind the point as the column has
+            family = f"decimal(38,{f.dataType.scale})"
         elif isinstance(f.dataType, T.NumericType):
             family = "double"
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -43,7 +45,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> li
     return frames
 
 
-def _distinct_from(frequencies: list[DataFrame]) -> DataFrame:
+def distinct_of(frequencies: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [
         f.groupBy("column").agg(
             F.count("value").alias("unique_values"), F.sum("rows").alias("total"), F.max("rows").alias("dominant_rows")
@@ -60,7 +62,7 @@ def _ranked_from(frequencies: list[DataFrame], k: int) -> DataFrame:
     ])
 
 
-def _tops_from(frequencies: list[DataFrame], k: int) -> DataFrame:
+def tops_of(frequencies: list[DataFrame], k: int) -> DataFrame:
     return _ranked_from(frequencies, k).groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("top_values")
     )
@@ -68,7 +70,7 @@ def _tops_from(frequencies: list[DataFrame], k: int) -> DataFrame:
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, unique_values, total, dominant_rows`` per column holding any value."""
-    return _distinct_from(value_frequencies(df, columns))
+    return distinct_of(value_frequencies(df, columns))
 
 
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
@@ -78,7 +80,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None, k: int = 1
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 3) -> DataFrame:
     """``column, top_values``: the k most frequent values as strings, most frequent first."""
-    return _tops_from(value_frequencies(df, columns), k)
+    return tops_of(value_frequencies(df, columns), k)
 
 
 def date_text_columns(df: DataFrame) -> dict[str, int]:
@@ -170,8 +172,8 @@ def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
         }
     wide = named_rows(df, "column", facts)
     frequencies = value_frequencies(df)  # shared: both uses read the same shuffle
-    counts = _distinct_from(frequencies).select("column", "unique_values", F.col("total").alias("filled"))
-    tops = _tops_from(frequencies, 3)
+    counts = distinct_of(frequencies).select("column", "unique_values", F.col("total").alias("filled"))
+    tops = tops_of(frequencies, 3)
     # Both joined sides have one row per column.
     joined = wide.join(F.broadcast(counts), "column", "left").join(F.broadcast(tops), "column", "left")
     joined = joined.withColumn("filled", F.coalesce("filled", F.lit(0)))
@@ -283,7 +285,7 @@ def categorical_analysis(df: DataFrame, k: int = 5) -> DataFrame:
     })
     frequencies = value_frequencies(df, columns)
     return (
-        _distinct_from(frequencies).join(F.broadcast(_tops_from(frequencies, k)), "column").join(F.broadcast(lengths), "column")
+        distinct_of(frequencies).join(F.broadcast(tops_of(frequencies, k)), "column").join(F.broadcast(lengths), "column")
         .select("column", "unique_values", "top_values",
                 (F.col("dominant_rows") / F.col("total")).alias("dominant_share"), "word_count_mean")
     )

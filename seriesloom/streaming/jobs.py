@@ -33,7 +33,11 @@ def stream_batch_profile(stream: DataFrame, columns: Sequence[str], path: str, c
 
 def reconcile_profile(spark: SparkSession, path: str) -> DataFrame:
     """``column, rows, missing, mean, std, lowest, highest`` over all batches written so far."""
-    parts = spark.read.parquet(path)
+    return merged_profile(spark.read.parquet(path))
+
+
+def merged_profile(parts: DataFrame) -> DataFrame:
+    """Partial profiles, one row per column and batch, merged to one row per column."""
     n = F.col("rows") - F.col("missing")
     # distances from a value near the means keep the merge exact for large values; one row per column
     near = parts.groupBy("column").agg(F.min("mean").alias("_near"))
