@@ -10,7 +10,7 @@ from seriesloom.functions import text
 from seriesloom.operators import profile
 from seriesloom.session import shared_dir
 from seriesloom.sources import catalog, evidence, files, runlog
-from seriesloom.streaming import jobs, sketches
+from seriesloom.streaming import alerts, jobs, sketches
 
 
 def place(spark, name: str) -> str:
@@ -224,6 +224,28 @@ def stream_run_monitor(t):
     return rounded(spark.read.parquet(out), 6, "mean_value", "drift_score")
 
 
+@query("stream_alerts", """WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type AS kind, avg(value) AS value FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2 HAVING avg(value) IS NOT NULL),
+c AS (SELECT *, value > 50 AS above FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+g AS (SELECT *, lead(hour) OVER w AS next, lag(hour) OVER w + INTERVAL 3 HOUR >= hour AND lag(above) OVER w AS was FROM c WINDOW w AS (PARTITION BY kind ORDER BY hour))
+SELECT kind, hour, CASE WHEN above THEN 'raised' ELSE 'cleared' END AS alert, round(value, 6) AS value FROM g WHERE above <> coalesce(was, false)
+UNION ALL SELECT kind, hour, 'silent', NULL FROM g WHERE hour + INTERVAL 3 HOUR < next""")
+def stream_alerts(t):
+    """Events come in four parts, with a restart before each. Silence that no later hour of its kind has ended yet is left out: whether it is due depends on the watermark."""
+    events = t("events").select("ts", "event_type", "value")
+    spark = events.sparkSession
+    source, out, state = (place(spark, f"alerts-{name}") for name in ("source", "out", "state"))
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    cuts = [span.low + (span.high - span.low) * i / 4 for i in range(1, 4)]
+    part = sum([(F.col("ts") >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    for i in range(4):
+        events.where(part == i).write.mode("append").parquet(source)
+        alerts.stream_alerts(spark.readStream.schema(events.schema).parquet(source), "ts", "event_type", "value", 50.0, out, state, silence_hours=3).awaitTermination()
+    found = spark.read.parquet(f"{out}/alerts").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    closed = t("events").where(F.col("ts") < F.date_trunc("hour", F.lit(span.high) - F.expr("INTERVAL 1 HOUR"))).where("value IS NOT NULL").groupBy(F.col("event_type").alias("kind")).agg(F.date_trunc("hour", F.max("ts")).cast("timestamp_ntz").alias("last"))
+    ended = found.join(closed, "kind").where((F.col("alert") != "silent") | (F.col("hour") < F.col("last"))).drop("last")
+    return rounded(ended, 6, "value")
+
+
 @query("hourly_monitor", """SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type AS kind, count(*) AS events, round(avg(value), 6) AS mean_value, round(least(0.95, 0.12 + avg(value) / 10), 6) AS drift_score FROM events GROUP BY 1, 2""")
 def hourly_monitor(t):
     return rounded(jobs.hourly_monitor(t("events"), "ts", "event_type", "value"), 6, "mean_value", "drift_score")
