@@ -95,7 +95,7 @@ def infer_domain_substring(t):
 
 
 @query("infer_domain_tokens", f"""WITH b AS (SELECT doc_id, {BAG} AS bag FROM documents), d AS (SELECT doc_id, {BY_TOKENS} AS domain FROM b)
-SELECT doc_id, domain, CASE domain {' '.join(f"WHEN '{d}' THEN '{u[0]}'" for d, u in domains.USE_CASES.items())} END AS use_case FROM d""")
+SELECT doc_id, domain, domain || '_forecast' AS use_case FROM d""")
 def infer_domain_tokens(t):
     domain = domains.domain_by_tokens(F.col("text"))
     return t("documents").select("doc_id", domain.alias("domain")).withColumn("use_case", domains.use_case(F.col("domain"), True))

@@ -175,7 +175,7 @@ def serial_ids(t):
 
 
 @query("column_roles", "WITH r AS (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {_role(c)} AS role FROM lineitem""" for c in LINEITEM) + f""")
-SELECT "column", role, CASE role {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in scoring.ROLE_REASONS.items())} END AS reason FROM r""")
+SELECT "column", role, CASE role WHEN 'temporal_index' THEN 'parses_as_dates' WHEN 'forecast_target' THEN 'chosen_number_over_time' WHEN 'prediction_target' THEN 'chosen_number' WHEN 'external_regressor' THEN 'number_beside_a_series' WHEN 'numeric_feature' THEN 'number' WHEN 'entity_or_grouping' THEN 'few_values' ELSE 'text_or_many_values' END AS reason FROM r""")
 def column_roles(t):
     return scoring.column_roles(profile.infer_kind(t("lineitem")), "l_extendedprice", "l_shipdate").drop("kind")
 
