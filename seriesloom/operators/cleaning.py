@@ -194,7 +194,7 @@ class EncodingPlan:
 
 
 def plan_encoding(df: DataFrame, columns: Sequence[str] | None = None) -> EncodingPlan:
-    """One-hot for few values (at most min(24, max(4, 5 % of rows))), codes for more, nothing for a single value.
+    """One-hot for few values (at most min(24, max(4, 5 % of rows))), codes for more, nothing for a single value or for nested columns.
 
     Every value gets its column, and ``Unknown`` one of its own where values are missing.
     """
@@ -206,7 +206,7 @@ def plan_encoding(df: DataFrame, columns: Sequence[str] | None = None) -> Encodi
     for c in columns:
         row = next(r for r in counts if r["column"] == c)
         unique, rows = row["unique_values"], row["rows"]
-        if unique <= 1:
+        if row["data_type"] not in ("string", "boolean") or unique <= 1:
             plan.ignored.append(c)
         elif unique <= min(24, max(4, int(rows * 0.05))):
             values = onehot_values(df, c)

@@ -16,7 +16,8 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> li
     """Rows ``column, value, rows`` for every distinct non-null value, one frame per type family.
 
     Columns of one family are stacked and counted together: one shuffle of already combined counts per family, with the
-    values hashed in their own type.
+    values hashed in their own type. Nested and binary columns form a family per type, maps as their sorted entries; what holds a map inside, which
+    has no order, is not counted.
     """
     families: dict[str, list[str]] = {}
     for f in df.schema:
@@ -32,19 +33,28 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> li
             family = "timestamp_ntz"
         elif isinstance(f.dataType, (T.StringType, T.BooleanType)):
             family = "string"
+        elif is_counted(f.dataType):
+            family = f.dataType.simpleString()
         else:
             continue
         families.setdefault(family, []).append(f.name)
     frames = []
+    value = lambda c, family: F.array_sort(F.map_entries(c)) if family.startswith("map<") else F.col(c).cast(family)
     for family, names in families.items():
         pairs = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast(family).alias("value")) for c in names
+            F.struct(F.lit(c).alias("column"), value(c, family).alias("value")) for c in names
         ]))
         stacked = df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull())
         frames.append(stacked.groupBy("column", "value").agg(F.count("*").alias("rows")))
     return frames
 
 
+def is_counted(kind: T.DataType) -> bool:
+    """Whether ``value_frequencies`` tells the values of a type apart."""
+    name = kind.simpleString()
+    return not ("map<" in name[1:] or "variant" in name or "interval" in name)
+
+
 def distinct_of(frequencies: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [
         f.groupBy("column").agg(
@@ -108,7 +118,10 @@ def date_text_columns(df: DataFrame) -> dict[str, int]:
 
 
 def column_stats(df: DataFrame) -> DataFrame:
-    """``column, data_type, rows, missing_percent, unique_values`` for every column; the input of the name and drop rules."""
+    """``column, data_type, rows, missing_percent, unique_values`` for every column; the input of the name and drop rules.
+
+    ``unique_values`` is null for a type that is not counted.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     base = named_rows(df, "column", {
         c: {
@@ -118,8 +131,9 @@ def column_stats(df: DataFrame) -> DataFrame:
         } for c in df.columns
     })
     counts = distinct_counts(df).select("column", "unique_values")
+    known = [f.name for f in df.schema if is_counted(f.dataType)]
     return base.join(F.broadcast(counts), "column", "left").withColumn(  # one row per column
-        "unique_values", F.coalesce("unique_values", F.lit(0).cast("long"))
+        "unique_values", F.coalesce("unique_values", F.when(F.col("column").isin(known), F.lit(0).cast("long")))
     )
 
 

@@ -2,7 +2,9 @@
 
 import math
 
-from seriesloom.operators import profile
+from pyspark.sql import functions as F
+
+from seriesloom.operators import cleaning, profile
 
 
 def test_equal_rows_are_those_of_distinct(spark):
@@ -24,3 +26,20 @@ def test_nan_is_missing_in_fences(spark):
     df = spark.createDataFrame([(1.0,), (math.nan,), (3.0,), (2.0,), (1000.0,), (None,)], "x double")
     row = profile.outlier_counts(df).first()
     assert (row.low, row.high, row.outliers, row.percent) == (1.75 - 1.5 * 250.5, 252.25 + 1.5 * 250.5, 1, 25.0)
+
+
+def test_nested_columns_are_counted(spark):
+    """Arrays, structs, maps and bytes are told apart and never taken for constants; a type without an order is left open."""
+    frame = spark.range(6).select(
+        "id", F.array(F.col("id") % 3, F.lit(1)).alias("a"), F.struct((F.col("id") % 2).alias("x")).alias("s"), F.array(F.lit(1)).alias("flat"),
+        F.create_map(F.lit("k"), F.col("id") % 4).alias("m"), F.encode(F.col("id").cast("string"), "utf-8").alias("b"),
+        F.array(F.create_map(F.lit("k"), F.col("id"))).alias("open"), (F.col("id") + F.lit(0.5)).alias("price"),
+    )
+    found = {r["column"]: r["unique_values"] for r in profile.column_stats(frame).collect()}
+    assert found == {"id": 6, "a": 3, "s": 2, "flat": 1, "m": 4, "b": 6, "open": None, "price": 6}
+    assert [r["column"] for r in profile.constant_columns(frame).collect()] == ["flat"]
+    clean, report = cleaning.prepare_frame(frame, "price", order_by=["id"])
+    assert set(report.dropped) == {"flat"} and "a" in clean.columns
+    assert cleaning.plan_encoding(frame.drop("open")).names == []
+    tops = {r["column"]: r["top_values"] for r in profile.top_values(frame, ["a", "s"], 2).collect()}
+    assert tops == {"a": ["[0, 1]", "[1, 1]"], "s": ["{0}", "{1}"]}
