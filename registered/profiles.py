@@ -243,3 +243,53 @@ def is_date_like_text(t):
 def parse_datetime(t):
     frame = t("orders").select(F.date_format("o_orderdate", "yy-MMM").alias("month_text"))
     return timeaxis.parse_datetime(frame, "month_text", "parsed").groupBy("month_text", "parsed").agg(F.count("*").alias("rows"))
+
+
+@query("dedupe_microseconds", """WITH m AS (SELECT date_trunc('hour', ts)::TIMESTAMP + to_microseconds(event_id % 3) AS moment, event_type,
+ CASE WHEN event_id % 2 = 0 THEN 0.0::DOUBLE ELSE -0.0::DOUBLE END AS zero FROM events)
+SELECT moment, event_type, zero + 0.0 AS zero FROM (SELECT DISTINCT * FROM m)""")
+def dedupe_microseconds(t):
+    """Rows one microsecond apart stay two; both zeros are one."""
+    at = F.expr("timestampadd(MICROSECOND, CAST(event_id % 3 AS INT), date_trunc('HOUR', ts))")
+    frame = t("events").select(at.cast("timestamp_ntz").alias("moment"), "event_type", F.when(F.col("event_id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(-0.0)).alias("zero"))
+    return profile.dedupe_rows(frame).withColumn("zero", F.col("zero") + F.lit(0.0))
+
+
+def events_with_nan(t):
+    """As ``events_with_gaps``, with NaN where a value is missing."""
+    return events_with_gaps(t).withColumn("value", F.coalesce("value", F.lit(float("nan")))).select("user_id", "value")
+
+
+@query("describe_with_nan", union(
+    f"""SELECT '{c}' AS "column", {sig(f'avg({c})')} AS mean, {sig(f'stddev_samp({c})')} AS std, {sig(f'min({c})')} AS min,
+ round(quantile_cont({c}, 0.25), 7) AS q1, round(quantile_cont({c}, 0.5), 7) AS q2, round(quantile_cont({c}, 0.75), 7) AS q3,
+ {sig(f'max({c})')} AS max, round(skewness({c}), 6) AS skewness FROM {EVENTS_WITH_GAPS}""" for c in ("user_id", "value")))
+def describe_with_nan(t):
+    out = profile.describe_numeric(events_with_nan(t))
+    return rounded(rounded(shortened(out, "mean", "std", "min", "max"), 7, "q1", "q2", "q3"), 6, "skewness")
+
+
+@query("outliers_with_nan", union(_outliers(c, EVENTS_WITH_GAPS) for c in ("user_id", "value")))
+def outliers_with_nan(t):
+    return rounded(rounded(profile.outlier_counts(events_with_nan(t)), 7, "low", "high"), 6, "percent")
+
+
+NESTED = {"kinds": "[event_type, props]", "place": "{'user': user_id, 'kind': event_type}", "fixed": "[1]"}
+
+
+@query("profile_nested", union(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, 0.0 AS missing_percent, count(DISTINCT {expr}) AS unique_values FROM events""" for c, expr in NESTED.items()))
+def profile_nested(t):
+    frame = t("events").select(
+        F.array("event_type", "props").alias("kinds"), F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind")).alias("place"), F.array(F.lit(1)).alias("fixed"))
+    return profile.column_stats(frame).drop("data_type")
+
+
+DOTTED = {c: c.replace("_", ".", 1) for c in LINEITEM}
+
+
+@query("profile_dotted", "SELECT * REPLACE (replace(\"column\", '_', '.') AS \"column\") FROM (" + union(_profile_part(c) for c in LINEITEM) + ")")
+def profile_dotted(t):
+    """Headers with dots are names, not paths into a struct."""
+    out = profile.column_profile(t("lineitem").withColumnsRenamed(DOTTED), "lineitem").withColumn("top_values", joined("top_values"))
+    return shortened(rounded(rounded(out, 6, "missing_percent"), 7, "median"), "min", "max", "mean", "std", "variance", "outlier_percent")

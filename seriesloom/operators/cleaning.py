@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesloom.functions import names
-from seriesloom.operators.frames import categorical_columns, nan_to_null, numeric_columns, text_columns
+from seriesloom.operators.frames import categorical_columns, col, nan_to_null, numeric_columns, text_columns
 from seriesloom.operators.profile import column_stats, value_counts
 from seriesloom.operators.quantiles import exact_quantiles, fences_from
 from seriesloom.operators.rowindex import with_row_index
@@ -39,14 +39,14 @@ def unusable_columns(stats: DataFrame, target: str | None = None, time_column: s
 
 def require_target(df: DataFrame, target: str) -> DataFrame:
     """Target as number; rows without it are removed."""
-    return df.withColumn(target, to_numeric(F.col(target))).where(F.col(target).isNotNull())
+    return df.withColumn(target, to_numeric(col(target))).where(col(target).isNotNull())
 
 
 def finite_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Infinities count as missing; rows with any missing value in the columns are removed."""
     test = F.lit(True)
     for c in columns:
-        value = F.col(c).cast("double")
+        value = col(c).cast("double")
         test = test & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
     return df.where(test)
 
@@ -55,7 +55,7 @@ def clip_iqr(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFrame
     """Values capped to the interquartile fences."""
     fences = fences_from(exact_quantiles(df, columns, [0.25, 0.75]), k)
     return df.withColumns({
-        c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(low)), F.lit(high)))
+        c: F.when(col(c).isNotNull(), F.least(F.greatest(col(c).cast("double"), F.lit(low)), F.lit(high)))
         for c, (low, high, _) in fences.items()
     })
 
@@ -67,17 +67,17 @@ def clip_report(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFr
     fences = fences_from(exact_quantiles(df, columns, [0.25, 0.75]), k)
     return named_rows(df, "column", {c: {
         "low": F.lit(low), "high": F.lit(high),
-        "capped_low": F.count_if(F.col(c) < F.lit(low)), "capped_high": F.count_if(F.col(c) > F.lit(high)),
+        "capped_low": F.count_if(col(c) < F.lit(low)), "capped_high": F.count_if(col(c) > F.lit(high)),
     } for c, (low, high, _) in fences.items()})
 
 
 def clip_iqr_features(df: DataFrame, target: str | None = None) -> DataFrame:
     """Every numeric column but the target, when it has more than eight values and a positive interquartile range."""
     columns = [c for c in numeric_columns(df) if c != target]
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    sizes = df.agg(*[F.count(col(c)).alias(c) for c in columns]).first()
     fences = fences_from(exact_quantiles(df, columns, [0.25, 0.75]))
     return df.withColumns({
-        c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.lit(low)), F.lit(high)))
+        c: F.when(col(c).isNotNull(), F.least(F.greatest(col(c).cast("double"), F.lit(low)), F.lit(high)))
         for c, (low, high, iqr) in fences.items() if iqr > 0 and sizes[c] > 8
     })
 
@@ -85,7 +85,7 @@ def clip_iqr_features(df: DataFrame, target: str | None = None) -> DataFrame:
 def impute_median(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     medians = exact_quantiles(df if fit is None else fit, columns, [0.5])
     return df.withColumns({
-        c: F.coalesce(F.col(c).cast("double"), F.lit(v[0])) for c, v in medians.items() if v[0] is not None
+        c: F.coalesce(col(c).cast("double"), F.lit(v[0])) for c, v in medians.items() if v[0] is not None
     })
 
 
@@ -97,12 +97,12 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 def impute_mode(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     types = dict(df.dtypes)
     return df.withColumns({
-        c: F.coalesce(F.col(c), F.lit(v).cast(types[c])) for c, v in modes(df if fit is None else fit, columns).items()
+        c: F.coalesce(col(c), F.lit(v).cast(types[c])) for c, v in modes(df if fit is None else fit, columns).items()
     })
 
 
 def impute_constant(df: DataFrame, columns: Sequence[str], value: str = "Unknown") -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(value)) for c in columns})
+    return df.withColumns({c: F.coalesce(col(c).cast("string"), F.lit(value)) for c in columns})
 
 
 def impute_categorical_auto(df: DataFrame, columns: Sequence[str] | None = None, fit: DataFrame | None = None) -> DataFrame:
@@ -113,43 +113,43 @@ def impute_categorical_auto(df: DataFrame, columns: Sequence[str] | None = None,
 
 def text_fills(source: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """What stands for a missing text: the mode when under 5 % are missing, else ``Unknown``."""
-    share = source.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
+    share = source.agg(*[F.avg(col(c).isNull().cast("double")).alias(c) for c in columns]).first()
     rare = [c for c in columns if share[c] is not None and 0 < share[c] < 0.05]
     best = modes(source, rare) if rare else {}
     return {c: best.get(c, "Unknown") for c in columns}
 
 
 def fill_texts(df: DataFrame, fills: dict[str, str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fills.items()}) if fills else df
+    return df.withColumns({c: F.coalesce(col(c), F.lit(v)) for c, v in fills.items()}) if fills else df
 
 
 def fill_numbers(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in medians.items()}) if medians else df
+    return df.withColumns({c: F.coalesce(col(c).cast("double"), F.lit(v)) for c, v in medians.items()}) if medians else df
 
 
 def cap(df: DataFrame, fences: dict[str, Sequence[float]]) -> DataFrame:
     """Values of each column held between its (low, high)."""
     return df.withColumns({
-        c: F.least(F.greatest(F.col(c).cast("double"), F.lit(bounds[0])), F.lit(bounds[1])) for c, bounds in fences.items()
+        c: F.least(F.greatest(col(c).cast("double"), F.lit(bounds[0])), F.lit(bounds[1])) for c, bounds in fences.items()
     }) if fences else df
 
 
 def flag_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("double") for c in columns}) if columns else df
+    return df.withColumns({f"{c}_was_missing": col(c).isNull().cast("double") for c in columns}) if columns else df
 
 
 def missing_indicator(df: DataFrame, columns: Sequence[str] | None = None, share: float = 0.25, fit: DataFrame | None = None) -> DataFrame:
     """``<column>_was_missing`` as 0/1 for columns with at least a quarter missing."""
     columns = list(columns or numeric_columns(df))
-    row = (df if fit is None else fit).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns]).first()
+    row = (df if fit is None else fit).agg(*[F.avg(col(c).isNull().cast("double")).alias(c) for c in columns]).first()
     return df.withColumns({
-        f"{c}_was_missing": F.col(c).isNull().cast("double") for c in columns if row[c] is not None and row[c] >= share
+        f"{c}_was_missing": col(c).isNull().cast("double") for c in columns if row[c] is not None and row[c] >= share
     })
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """``value, code``: sorted distinct values numbered from 0. Numbering is distributed, so any number of values works."""
-    distinct = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
+    distinct = df.where(col(column).isNotNull()).select(col(column).alias("value")).distinct()
     return with_row_index(distinct, ["value"]).select("value", F.col("idx").alias("code"))
 
 
@@ -159,7 +159,7 @@ def label_encode(
     """Replace a column by its code (of ``codes`` when given); missing stays missing, as do values not seen in ``fit``."""
     codes = category_codes(df if fit is None else fit, column) if codes is None else codes
     out = into or column
-    joined = df.join(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), F.col(column) == F.col("_value"), "left").drop("_value")
+    joined = df.join(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), col(column) == F.col("_value"), "left").drop("_value")
     if out == column:
         joined = joined.drop(column)
     return joined.withColumnRenamed("_code", out)
@@ -167,7 +167,7 @@ def label_encode(
 
 def onehot_values(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
     """Distinct values, sorted. More than ``limit`` is an error: every value becomes a column."""
-    values = [r[0] for r in df.select(F.col(column).cast("string")).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
+    values = [r[0] for r in df.select(col(column).cast("string")).where(col(column).isNotNull()).distinct().limit(limit + 1).collect()]
     if len(values) > limit:
         raise ValueError(f"{column} has more than {limit} values; use codes instead")
     return sorted(values)
@@ -178,7 +178,7 @@ def onehot_encode(df: DataFrame, column: str, prefix: str | None = None, values:
     values = onehot_values(df, column) if values is None else values
     name = prefix or column
     return df.withColumns({
-        f"{name}_{v}": F.coalesce((F.col(column).cast("string") == v).cast("double"), F.lit(0.0)) for v in values
+        f"{name}_{v}": F.coalesce((col(column).cast("string") == v).cast("double"), F.lit(0.0)) for v in values
     }).drop(column)
 
 
@@ -202,7 +202,7 @@ def plan_encoding(df: DataFrame, columns: Sequence[str] | None = None) -> Encodi
     plan = EncodingPlan()
     if not columns:
         return plan
-    counts = column_stats(df.select(*columns)).collect()  # one row per column
+    counts = column_stats(df.select(*map(col, columns))).collect()  # one row per column
     for c in columns:
         row = next(r for r in counts if r["column"] == c)
         unique, rows = row["unique_values"], row["rows"]
@@ -221,7 +221,7 @@ def plan_encoding(df: DataFrame, columns: Sequence[str] | None = None) -> Encodi
 def encode_auto(df: DataFrame, plan: EncodingPlan, fit: DataFrame | None = None, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """Add the encoded columns; the text columns stay. ``tables`` holds the codes of columns when they are known already."""
     out = df.withColumns({
-        f"onehot_{c}_{v}": (F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) == v).cast("double")
+        f"onehot_{c}_{v}": (F.coalesce(col(c).cast("string"), F.lit("Unknown")) == v).cast("double")
         for c, vs in plan.onehot.items() for v in vs
     }) if plan.onehot else df
     for c in plan.codes:
@@ -233,9 +233,9 @@ def encode_auto(df: DataFrame, plan: EncodingPlan, fit: DataFrame | None = None,
 def standard_scale(df: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Zero mean and unit population deviation; a constant column becomes 0."""
     row = (df if fit is None else fit).agg(*[
-        x for c in columns for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))
+        x for c in columns for x in (F.avg(col(c)).alias(f"m_{c}"), F.stddev_pop(col(c)).alias(f"s_{c}"))
     ]).first()
-    return df.withColumns({c: (F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in columns})
+    return df.withColumns({c: (col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c in columns})
 
 
 #: Carries which rows belong to the training part through cleaning and features.
@@ -282,7 +282,7 @@ def prepare_frame(
     frame = require_target(frame, target)
     entities = [e for e in entities if e in frame.columns]
     numeric = [c for c in numeric_columns(frame) if c not in {*order_by, *carried, time_column}]
-    counts = frame.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in frame.columns]).first()
+    counts = frame.agg(F.count("*").alias("rows"), *[F.count_if(col(c).isNull()).alias(c) for c in frame.columns]).first()
     report.rows = counts["rows"]
     gaps = [c for c in numeric if counts[c] and c != target]
     flagged = [c for c in gaps if counts[c] / max(report.rows, 1) >= 0.25]

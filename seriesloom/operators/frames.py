@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+def col(name: str) -> Column:
+    """A top-level column by its very name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
@@ -26,7 +31,7 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def select_numeric(df: DataFrame) -> DataFrame:
-    return df.select(*numeric_columns(df))
+    return df.select(*map(col, numeric_columns(df)))
 
 
 def first_numeric(df: DataFrame) -> str:
@@ -39,7 +44,7 @@ def first_numeric(df: DataFrame) -> str:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes null, so that every aggregate skips it."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+    return df.select(*[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns])
 
 
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str] = (), how: str = "left") -> DataFrame:

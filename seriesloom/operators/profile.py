@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from seriesloom.functions import stats, text
-from seriesloom.operators.frames import categorical_columns, named_rows, nan_to_null, numeric_columns, text_columns, time_columns
+from seriesloom.operators.frames import categorical_columns, col, named_rows, nan_to_null, numeric_columns, text_columns, time_columns
 from seriesloom.operators.quantiles import exact_quantiles, fences_from
 
 
@@ -39,7 +39,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> li
             continue
         families.setdefault(family, []).append(f.name)
     frames = []
-    value = lambda c, family: F.array_sort(F.map_entries(c)) if family.startswith("map<") else F.col(c).cast(family)
+    value = lambda c, family: F.array_sort(F.map_entries(col(c))) if family.startswith("map<") else col(c).cast(family)
     for family, names in families.items():
         pairs = F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), value(c, family).alias("value")) for c in names
@@ -101,12 +101,12 @@ def date_text_columns(df: DataFrame) -> dict[str, int]:
     columns = text_columns(df)
     if not columns:
         return {}
-    shaped = df.agg(*[F.avg(text.is_date_shaped(F.col(c)).cast("double")).alias(c) for c in columns]).first()
+    shaped = df.agg(*[F.avg(text.is_date_shaped(col(c)).cast("double")).alias(c) for c in columns]).first()
     likely = [c for c in columns if (shaped[c] or 0.0) >= 0.6]
     if not likely:
         return {}
     row = df.agg(F.count("*").alias("n"), *[
-        F.struct(*[F.count(p).alias(f"p{i}") for i, p in enumerate(text.parse_candidates(F.col(c)))]).alias(c)
+        F.struct(*[F.count(p).alias(f"p{i}") for i, p in enumerate(text.parse_candidates(col(c)))]).alias(c)
         for c in likely
     ]).first()
     found = {}
@@ -120,14 +120,15 @@ def date_text_columns(df: DataFrame) -> dict[str, int]:
 def column_stats(df: DataFrame) -> DataFrame:
     """``column, data_type, rows, missing_percent, unique_values`` for every column; the input of the name and drop rules.
 
-    ``unique_values`` is null for a type that is not counted.
+    ``unique_values`` is null for a type that is not counted. NaN is missing.
     """
+    df = nan_to_null(df)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     base = named_rows(df, "column", {
         c: {
             "data_type": F.lit(types[c]),
             "rows": F.count("*"),
-            "missing_percent": F.coalesce(F.avg(F.col(c).isNull().cast("double")) * 100, F.lit(0.0)),
+            "missing_percent": F.coalesce(F.avg(col(c).isNull().cast("double")) * 100, F.lit(0.0)),
         } for c in df.columns
     })
     counts = distinct_counts(df).select("column", "unique_values")
@@ -162,7 +163,11 @@ def infer_kind(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
-    """One row per column: kind, missing share, distinct values, moments, median, outlier share, mean words, top values."""
+    """One row per column: kind, missing share, distinct values, moments, median, outlier share, mean words, top values.
+
+    NaN is missing.
+    """
+    df = nan_to_null(df)
     numeric, temporal, strings = numeric_columns(df), time_columns(df), text_columns(df)
     quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
     fences = fences_from(quartiles)
@@ -170,7 +175,7 @@ def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
     null = F.lit(None).cast("double")
     facts = {}
     for c in df.columns:
-        v = F.col(c).cast("double") if c in numeric else null
+        v = col(c).cast("double") if c in numeric else null
         low, high, iqr = fences.get(c, (None, None, 0.0))
         outside = (v < F.lit(low)) | (v > F.lit(high)) if iqr else F.lit(False)
         facts[c] = {
@@ -181,8 +186,8 @@ def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
             "median": F.lit(quartiles[c][1]).cast("double") if c in numeric else null,
             "std": F.sqrt(F.var_pop(v)) if c in numeric else null,
             "variance": F.var_pop(v) if c in numeric else null,
-            "outlier_percent": stats.percent(F.count_if(outside), F.count(F.col(c))) if c in numeric else null,
-            "words": F.avg(text.word_count(F.col(c))) if c in strings else null,
+            "outlier_percent": stats.percent(F.count_if(outside), F.count(col(c))) if c in numeric else null,
+            "words": F.avg(text.word_count(col(c))) if c in strings else null,
         }
     wide = named_rows(df, "column", facts)
     frequencies = value_frequencies(df)  # shared: both uses read the same shuffle
@@ -207,9 +212,10 @@ def column_profile(df: DataFrame, dataset: str = "dataset") -> DataFrame:
 
 
 def dataset_summary(df: DataFrame, time_column: str | None = None, target: str | None = None) -> DataFrame:
-    """Rows, columns, share of missing cells and time range."""
-    missing = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
-    when = F.col(time_column) if time_column else F.lit(None).cast("timestamp_ntz")
+    """Rows, columns, share of missing cells and time range. NaN is missing."""
+    df = nan_to_null(df)
+    missing = reduce(lambda a, b: a + b, [F.count_if(col(c).isNull()) for c in df.columns])
+    when = col(time_column) if time_column else F.lit(None).cast("timestamp_ntz")
     return df.agg(
         F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"),
         (missing * 100.0 / F.greatest(F.count("*") * len(df.columns), F.lit(1))).alias("missing_percent"),
@@ -221,7 +227,7 @@ def dataset_overview(df: DataFrame, order_by: Sequence[str], samples: int = 3) -
     """Column facts with the first few values in the given order."""
     kinds = {c: "numeric" for c in numeric_columns(df)} | {c: "datetime" for c in time_columns(df)}
     first = df.orderBy(*order_by).limit(samples).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.struct(*order_by).alias("at"), F.col(c).cast("string").alias("v"))
+        F.struct(F.lit(c).alias("column"), F.struct(*order_by).alias("at"), col(c).cast("string").alias("v"))
         for c in df.columns
     ])).alias("s")).select("s.*")
     first = first.groupBy("column").agg(
@@ -238,9 +244,10 @@ def type_counts(profile: DataFrame) -> DataFrame:
 
 
 def missing_report(df: DataFrame) -> DataFrame:
-    """Columns with missing values: ``column, missing, percent, severity``."""
+    """Columns with missing values: ``column, missing, percent, severity``. NaN is missing."""
+    df = nan_to_null(df)
     counts = named_rows(df, "column", {
-        c: {"rows": F.count("*"), "missing": F.count_if(F.col(c).isNull())} for c in df.columns
+        c: {"rows": F.count("*"), "missing": F.count_if(col(c).isNull())} for c in df.columns
     })
     share = F.col("missing") / F.col("rows")
     return counts.where(F.col("missing") > 0).select(
@@ -252,7 +259,7 @@ def missing_report(df: DataFrame) -> DataFrame:
 def missing_by_stratum(df: DataFrame, target: str) -> DataFrame:
     """Missing share among rows above the third quartile of the target and among the others."""
     q3 = exact_quantiles(df, [target], [0.75])[target][0]
-    missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("double") for c in df.columns]) / len(df.columns)
+    missing = reduce(lambda a, b: a + b, [col(c).isNull().cast("double") for c in df.columns]) / len(df.columns)
     high = F.coalesce(F.col(target) > F.lit(q3), F.lit(False))
     return df.groupBy(F.when(high, "high").otherwise("rest").alias("stratum")).agg(
         F.count("*").alias("rows"), F.avg(missing).alias("missing_share")
@@ -260,33 +267,35 @@ def missing_by_stratum(df: DataFrame, target: str) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, five-number summary and bias-corrected skewness per numeric column."""
+    """Count, mean, sample deviation, five-number summary and bias-corrected skewness per numeric column. NaN is missing."""
+    df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     return named_rows(df, "column", {
         c: {
-            "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(F.col(c).cast("double")),
+            "mean": F.avg(col(c)), "std": F.stddev_samp(col(c)), "min": F.min(col(c).cast("double")),
             "q1": F.lit(quartiles[c][0]).cast("double"), "q2": F.lit(quartiles[c][1]).cast("double"),
-            "q3": F.lit(quartiles[c][2]).cast("double"), "max": F.max(F.col(c).cast("double")),
-            "skewness": stats.skewness_g1(F.col(c)),
+            "q3": F.lit(quartiles[c][2]).cast("double"), "max": F.max(col(c).cast("double")),
+            "skewness": stats.skewness_g1(col(c)),
         } for c in columns
     })
 
 
 def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Population moments, median, G1, G2 and outlier share per numeric column."""
+    """Population moments, median, G1, G2 and outlier share per numeric column. NaN is missing."""
+    df = nan_to_null(df)
     columns = list(columns or numeric_columns(df))
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     fences = fences_from(quartiles)
     facts = {}
     for c in columns:
         low, high, iqr = fences.get(c, (None, None, 0.0))
-        outside = (F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high)) if iqr else F.lit(False)
+        outside = (col(c) < F.lit(low)) | (col(c) > F.lit(high)) if iqr else F.lit(False)
         facts[c] = {
-            "mean": F.avg(c), "median": F.lit(quartiles[c][1]).cast("double"), "std": F.sqrt(F.var_pop(c)),
-            "variance": F.var_pop(c), "min": F.min(F.col(c).cast("double")), "max": F.max(F.col(c).cast("double")),
-            "skewness": stats.skewness_g1(F.col(c)), "kurtosis": stats.kurtosis_g2(F.col(c)),
-            "outlier_percent": stats.percent(F.count_if(outside), F.count(c)),
+            "mean": F.avg(col(c)), "median": F.lit(quartiles[c][1]).cast("double"), "std": F.sqrt(F.var_pop(col(c))),
+            "variance": F.var_pop(col(c)), "min": F.min(col(c).cast("double")), "max": F.max(col(c).cast("double")),
+            "skewness": stats.skewness_g1(col(c)), "kurtosis": stats.kurtosis_g2(col(c)),
+            "outlier_percent": stats.percent(F.count_if(outside), F.count(col(c))),
         }
     return named_rows(df, "column", facts)
 
@@ -295,7 +304,7 @@ def categorical_analysis(df: DataFrame, k: int = 5) -> DataFrame:
     """Distinct values, top five, share of the most frequent value and mean word count per text column."""
     columns = [c for c in categorical_columns(df) if c not in date_text_columns(df)]
     lengths = named_rows(df, "column", {
-        c: {"word_count_mean": F.avg(text.word_count(F.col(c).cast("string")))} for c in columns
+        c: {"word_count_mean": F.avg(text.word_count(col(c).cast("string")))} for c in columns
     })
     frequencies = value_frequencies(df, columns)
     return (
@@ -321,7 +330,7 @@ def high_cardinality(df: DataFrame, limit: int = 20) -> DataFrame:
     columns = [c for c in categorical_columns(df) + time_columns(df)]
     if not columns:
         return column_stats(df).where(F.lit(False)).select("column", "unique_values")
-    guess = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    guess = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in columns]).first()
     likely = [c for c in columns if guess[c] > limit / 2]
     if not likely:
         likely = columns[:1]
@@ -342,10 +351,10 @@ def outlier_counts(df: DataFrame, columns: Sequence[str] | None = None, k: float
     facts = {}
     for c in columns:
         low, high, iqr = fences.get(c, (None, None, 0.0))
-        outside = F.count_if((F.col(c) < F.lit(low)) | (F.col(c) > F.lit(high)))
+        outside = F.count_if((col(c) < F.lit(low)) | (col(c) > F.lit(high)))
         facts[c] = {
             "low": F.lit(low).cast("double"), "high": F.lit(high).cast("double"), "outliers": outside,
-            "percent": stats.percent(outside, F.count(c)) if iqr else F.lit(0.0),
+            "percent": stats.percent(outside, F.count(col(c))) if iqr else F.lit(0.0),
         }
     return named_rows(df, "column", facts)
 
@@ -367,7 +376,7 @@ def _exact(value: Column, kind: T.DataType) -> Column:
 
 def row_digest(df: DataFrame) -> Column:
     """SHA-256 over all columns of a row, told apart by name, so that long texts never become shuffle keys."""
-    values = [_exact(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
+    values = [_exact(col(f.name), f.dataType).alias(f.name) for f in df.schema]
     return F.unhex(F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256))
 
 
@@ -382,7 +391,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
     """One of each set of equal rows, told by digest; copies are reduced before the shuffle."""
-    kept = df.groupBy(row_digest(df).alias("_row")).agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_kept"))
+    kept = df.groupBy(row_digest(df).alias("_row")).agg(F.any_value(F.struct(*[col(c) for c in df.columns])).alias("_kept"))
     return kept.select("_kept.*")
 
 
@@ -439,13 +448,13 @@ def record_batches(indexed: DataFrame, columns: Sequence[str], batches: int = 9)
     frame = indexed.select(*columns)
     numeric = numeric_columns(frame)
     size = F.greatest(F.ceil(F.col("n") / batches), F.lit(1))
-    missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("double") for c in columns])
-    dates = [F.avg(F.col(c).isNotNull().cast("double")).alias(f"parse_rate_{c}") for c in time_columns(frame)]
+    missing = reduce(lambda a, b: a + b, [col(c).isNull().cast("double") for c in columns])
+    dates = [F.avg(col(c).isNotNull().cast("double")).alias(f"parse_rate_{c}") for c in time_columns(frame)]
     return indexed.groupBy((F.floor(F.col("idx") / size) + 1).cast("long").alias("batch")).agg(
         F.count("*").alias("rows"), (F.min("idx") + 1).alias("first_row"), (F.max("idx") + 1).alias("last_row"),
         (F.sum(missing) * 100 / (F.count("*") * len(columns))).alias("missing_percent"),
         F.lit(len(numeric)).alias("numeric_columns"), F.lit(len(columns) - len(numeric)).alias("categorical_columns"),
-        *[F.avg(c).alias(f"mean_{c}") for c in numeric], *dates,
+        *[F.avg(col(c)).alias(f"mean_{c}") for c in numeric], *dates,
     )
 
 

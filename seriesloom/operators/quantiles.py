@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seriesloom.operators.frames import col
+
 INSIDE_VALUES = 20_000
 ACCURACY = 10_000
 
@@ -22,16 +24,30 @@ def exact_quantiles(
     """``{column: [value per prob]}`` with linear interpolation; nulls and NaN are skipped, an empty column gives nulls."""
     if not columns:
         return {}
-    number = lambda c: F.col(c).cast("double")
-    data = df.select(*[F.when(~F.isnan(number(c)), number(c)).alias(c) for c in columns])
-    sizes = data.agg(*[F.count(c).alias(c) for c in columns]).first()
+    by_position = _exact(df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), probs)
+    return {c: by_position[f"c{i}"] for i, c in enumerate(columns)}
+
+
+def _exact(numbers: DataFrame, probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """As ``exact_quantiles`` for all columns of a frame of doubles."""
+    columns = numbers.columns
+    data = numbers.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+    # The ranks follow from the counts, but the sketch needs only their shares: one scan gives both.
+    around = [min(1.0, max(0.0, p + d / ACCURACY)) for p in probs for d in (-4.0, 4.0)]
+    sizes = data.agg(
+        *[F.count(c).alias(c) for c in columns], *[F.percentile_approx(c, around, ACCURACY).alias(f"s_{c}") for c in columns],
+    ).first()
     wanted = {}
     for c in columns:
         for p in probs if sizes[c] else ():
             position = p * (sizes[c] - 1)
             wanted[(c, p)] = (math.floor(position), math.ceil(position), position - math.floor(position))
     ranks = sorted({(c, r) for (c, _), (low, high, _) in wanted.items() for r in (low, high)})
-    found = _values_at(data, ranks, {c: int(sizes[c]) for c in columns})
+    first = {
+        (c, rank): sizes[f"s_{c}"][2 * i:2 * i + 2]
+        for c in columns for i, p in enumerate(probs) if sizes[c] for rank in wanted[(c, p)][:2]
+    }
+    found = _values_at(data, ranks, {c: int(sizes[c]) for c in columns}, first)
     out: dict[str, list[float | None]] = {}
     for c in columns:
         values = []
@@ -46,7 +62,9 @@ def exact_quantiles(
     return out
 
 
-def _values_at(data: DataFrame, ranks: list[tuple[str, int]], sizes: dict[str, int]) -> dict[tuple[str, int], float]:
+def _values_at(
+    data: DataFrame, ranks: list[tuple[str, int]], sizes: dict[str, int], first_cuts: dict[tuple[str, int], list[float]],
+) -> dict[tuple[str, int], float]:
     """Value of each (column, rank from 0). The driver holds two bounds and two counts per rank only."""
     done: dict[tuple[str, int], float] = {}
     # Open interval (low, high) that holds the rank, rows at or below low, rows inside.
@@ -54,17 +72,19 @@ def _values_at(data: DataFrame, ranks: list[tuple[str, int]], sizes: dict[str, i
         key: (None, None, 0, sizes[key[0]]) for key in ranks
     }
     while wide := [key for key in brackets if key not in done and brackets[key][3] > INSIDE_VALUES]:
-        # Ranks of one column share their interval at first, and so one sketch.
+        fresh = [key for key in wide if key not in first_cuts]
+        cuts = {key: sorted(set(first_cuts.pop(key))) for key in wide if key in first_cuts}
+        # Ranks of one interval share one sketch.
         shared: dict[tuple, list[tuple[str, int]]] = {}
-        for key in wide:
+        for key in fresh:
             shared.setdefault((key[0], *brackets[key]), []).append(key)
         sketched = data.agg(*[
             F.percentile_approx(
                 F.when(_inside(group[0][0], brackets[group[0]]), F.col(group[0][0])),
                 [p for key in group for p in _around(key, brackets[key])], ACCURACY,
             ).alias(f"s{i}") for i, group in enumerate(shared.values())
-        ]).first()
-        cuts = {
+        ]).first() if fresh else None
+        cuts |= {
             key: sorted(set(sketched[f"s{i}"][2 * j:2 * j + 2]))
             for i, group in enumerate(shared.values()) for j, key in enumerate(group)
         }
