@@ -1,23 +1,15 @@
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from registered import joined, query, rounded
-from registered.tables import EVENTS_WITH_GAPS, events_with_gaps
+from registered.tables import EVENTS_WITH_GAPS, events_with_gaps, place
 from seriesloom.functions import text
 from seriesloom.operators import profile
-from seriesloom.session import shared_dir
 from seriesloom.sources import catalog, evidence, files, runlog
 from seriesloom.streaming import alerts, jobs, sketches
 
 
-def place(spark, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def orders_csv(t) -> tuple:
     orders = t("orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     path = place(orders.sparkSession, "orders-csv")

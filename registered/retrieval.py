@@ -3,8 +3,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import joined, query, rounded
+from registered.tables import place
 from seriesloom.functions import domains, text
-from seriesloom.operators import pairing, retrieval, tables
+from seriesloom.operators import pairing, retrieval, tables, vectorindex
+from seriesloom.operators.frames import attach
 from seriesloom.plans.search import search_catalog as run_search
 
 QUERY = "the rest of that and her region"
@@ -70,6 +72,38 @@ def vector_topk(t):
     return rounded(out, 6, "score")
 
 
+NEAREST = """WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings),
+n AS (SELECT vec_id, sqrt(sum(x::DOUBLE * x)) AS norm FROM e GROUP BY 1),
+s AS (SELECT q.vec_id AS asked, e.vec_id, sum(q.x::DOUBLE * e.x) / any_value(qn.norm * n.norm) AS score FROM e JOIN e q USING (p) JOIN n ON n.vec_id = e.vec_id JOIN n qn ON qn.vec_id = q.vec_id
+ WHERE q.vec_id % 100 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS rank FROM s)"""
+
+
+def indexed_vectors(t):
+    """The index of all embeddings, and as queries the rows whose id is divisible by 100."""
+    vectors = t("embeddings")
+    path = place(vectors.sparkSession, "vector-index")
+    vectorindex.build_index(vectors, path, "vec_id")
+    return vectors, path, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("asked"), "embedding")
+
+
+@query("vector_index_full", NEAREST + " SELECT asked, vec_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
+def vector_index_full(t):
+    """All lists read: the exact answer."""
+    vectors, path, asked = indexed_vectors(t)
+    return rounded(vectorindex.search_index(vectors.sparkSession, path, asked, 10, "vec_id", "asked", probes=vectorindex.MOST_LISTS), 6, "score")
+
+
+@query("vector_index", NEAREST + " SELECT count(*) AS wanted, true AS recalled, (SELECT count(*) FROM embeddings) AS indexed FROM r WHERE rank <= 10")
+def vector_index(t):
+    """As many lists read as the build found necessary: recall of at least 0.9 against the exact search, and every row in the index."""
+    vectors, path, asked = indexed_vectors(t)
+    found = vectorindex.search_index(vectors.sparkSession, path, asked, 10, "vec_id", "asked")
+    exact = retrieval.vector_topk(vectors, asked, 10, "vec_id", "asked")
+    indexed = vectorindex.read_lists(vectors.sparkSession, path).agg(F.count("*").alias("indexed"))
+    return attach(vectorindex.recall(found, exact, "vec_id", "asked").select("wanted", (F.col("recall") >= 0.9).alias("recalled")), indexed)
+
+
 SUBS = {d: s for d, s in domains.SUBSTRING_SIGNALS.items()}
 
 

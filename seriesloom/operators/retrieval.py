@@ -62,13 +62,17 @@ def _uses(tokens: str, token: str) -> Column:
 
 def hash_embedding(docs: DataFrame, text: str, id_column: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Sparse signed-hash vectors of unit length: ``id, bucket, weight``; zero weights are left out."""
-    pieces = F.split(F.translate(F.lower(tx.plain_space(F.col(text))), "_", " "), r"\s+")
-    exploded = docs.select(id_column, F.explode(pieces).alias("_w")).where("_w != ''")
-    digest = F.sha2("_w", 256)
-    little_endian = F.concat(*[F.substring(digest, p, 2) for p in (7, 5, 3, 1)])
+    pieces = F.split(F.translate(F.lower(tx.plain_space(F.col("_text"))), "_", " "), r"\s+")
+    # Dealt out by document once: every later grouping is by document as well and needs no shuffle of its own.
+    dealt = docs.select(id_column, F.col(text).alias("_text")).repartition(id_column)
+    exploded = dealt.select(id_column, F.explode(pieces).alias("_w")).where("_w != ''")
+    # Words are counted per document first, so that each is hashed once there.
+    counted = exploded.groupBy(id_column, "_w").agg(F.count("*").alias("_n")).withColumn("_h", F.sha2("_w", 256))
+    little_endian = F.concat(*[F.substring("_h", p, 2) for p in (7, 5, 3, 1)])
     bucket = F.conv(little_endian, 16, 10).cast("long") % dimensions
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = exploded.select(id_column, bucket.alias("bucket"), sign.alias("_s")).groupBy(id_column, "bucket").agg(F.sum("_s").alias("_v"))
+    # The last bit of the fifth byte gives the sign.
+    sign = F.when(F.substring("_h", 10, 1).isin(*"02468ace"), 1.0).otherwise(-1.0)
+    sums = counted.select(id_column, bucket.alias("bucket"), (sign * F.col("_n")).alias("_s")).groupBy(id_column, "bucket").agg(F.sum("_s").alias("_v"))
     # At most one row per bucket and document in each window.
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy(id_column)))
     return sums.select(id_column, "bucket", (F.col("_v") / F.greatest(norm, F.lit(1e-8))).alias("weight")).where("weight != 0")
@@ -81,6 +85,25 @@ def dense_vectors(sparse: DataFrame, id_column: str, dimensions: int = DIMENSION
     return packed.select(id_column, every.cast("array<float>").alias("embedding"))
 
 
+def best_of_block(k: int, id_column: str, query_column: str, embedding: str):
+    """Function of a block of vectors and a block of queries: the block's k largest inner products of unit vectors per query."""
+    def best(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(block) or not len(wanted):
+            return pd.DataFrame({query_column: [], id_column: [], "score": []})
+        matrices = []
+        for side in (block, wanted):
+            matrix = np.stack(side[embedding].to_numpy()).astype("float64")
+            matrices.append(matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8))
+        scores, ids = matrices[0] @ matrices[1].T, block[id_column].to_numpy()
+        parts = []
+        for q, name in enumerate(wanted[query_column]):
+            order = np.lexsort((ids, -scores[:, q]))[:k]
+            parts.append(pd.DataFrame({query_column: name, id_column: ids[order], "score": scores[order, q]}))
+        return pd.concat(parts)
+
+    return best
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_column: str, query_column: str, embedding: str = "embedding") -> DataFrame:
     """``query, rank, id, score``: the k largest inner products of unit vectors per query.
 
@@ -96,20 +119,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_column: str,
     left = rows.select("*", F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int").alias("_v"), every(m).alias("_q"))
     right = asked.select("*", F.pmod(F.xxhash64(query_column), F.lit(m)).cast("int").alias("_q"), every(n).alias("_v"))
 
-    def best(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(wanted):
-            return pd.DataFrame({query_column: [], id_column: [], "score": []})
-        matrices = []
-        for side in (block, wanted):
-            matrix = np.stack(side[embedding].to_numpy()).astype("float64")
-            matrices.append(matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-8))
-        scores, ids = matrices[0] @ matrices[1].T, block[id_column].to_numpy()
-        parts = []
-        for q, name in enumerate(wanted[query_column]):
-            order = np.lexsort((ids, -scores[:, q]))[:k]
-            parts.append(pd.DataFrame({query_column: name, id_column: ids[order], "score": scores[order, q]}))
-        return pd.concat(parts)
-
+    best = best_of_block(k, id_column, query_column, embedding)
     out = left.groupBy("_v", "_q").cogroup(right.groupBy("_v", "_q")).applyInPandas(best, schema)
     w = Window.partitionBy(query_column).orderBy(F.desc("score"), F.asc(id_column))
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
