@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from registered import joined, query, rounded
 from registered.tables import place
 from seriesloom.functions import domains, text
-from seriesloom.operators import pairing, retrieval, tables, vectorindex
+from seriesloom.operators import pairing, retrieval, tables, textindex, vectorindex
 from seriesloom.operators.frames import attach
 from seriesloom.plans.search import search_catalog as run_search
 
@@ -48,6 +48,16 @@ def rank_tfidf(t):
     return rounded(out.select("doc_id", "lang", "score"), 6, "score")
 
 
+@query("search_text_index", f"WITH {_tfidf('documents', 'doc_id', 'text', QUERY, 25)} SELECT doc_id, lang, round(score, 6) AS score FROM ranked")
+def search_text_index(t):
+    """The same ranking from the stored index."""
+    docs = t("documents").select("doc_id", "lang", "text")
+    path = place(docs.sparkSession, "text-index")
+    textindex.build_text_index(docs, path, "text")
+    out = textindex.search_text_index(docs.sparkSession, path, docs, QUERY, 25)
+    return rounded(out.select("doc_id", "lang", "score"), 6, "score")
+
+
 HEX = "sha256(w)"
 
 

@@ -43,19 +43,23 @@ def rank_tfidf(docs: DataFrame, query: str, text: str, limit: int | None = None,
     size = counted.agg(F.count("*").alias("_docs"), *[F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(distinct))])
     vocabulary = tx.token_rows(docs.select(text), text).select("token").distinct().agg(F.count("*").alias("_vocabulary"))
     facts = attach(size, vocabulary)
-    score = F.lit(0.0)
-    for i, q in enumerate(distinct):
-        tf = F.col("_tf")[i]
-        weight = (1 + F.log(tf.cast("double"))) * F.log((1 + F.col("_docs")) / (1 + F.col(f"_df{i}")) + 1)
-        score = score + F.when(tf > 0, weight * wanted.count(q)).otherwise(0.0)
-    scored = attach(counted, facts).withColumn(
-        "score", F.least(F.lit(0.99), F.lit(0.55) + score / F.greatest(F.col("_vocabulary"), F.lit(1)))
-    )
+    score = tfidf_score(
+        [(F.col("_tf")[i], F.col(f"_df{i}"), wanted.count(q)) for i, q in enumerate(distinct)], F.col("_docs"), F.col("_vocabulary"))
+    scored = attach(counted, facts).withColumn("score", score)
     out = scored.drop("_hits", "_tf", "_docs", "_vocabulary", *[f"_df{i}" for i in range(len(distinct))])
     out = out.orderBy(F.desc("score"), id_column)
     return out.limit(limit) if limit else out
 
 
+def tfidf_score(uses: list[tuple[Column, Column, int]], docs: Column, vocabulary: Column) -> Column:
+    """Score from, per word of the query, its uses in the document, the documents that have it, and how often the query names it."""
+    score = F.lit(0.0)
+    for tf, df, times in uses:
+        weight = (1 + F.log(tf.cast("double"))) * F.log((1 + docs) / (1 + df) + 1)
+        score = score + F.when(tf > 0, weight * times).otherwise(0.0)
+    return F.least(F.lit(0.99), F.lit(0.55) + score / F.greatest(vocabulary, F.lit(1)))
+
+
 def _uses(tokens: str, token: str) -> Column:
     return F.size(F.filter(tokens, lambda t: t == token))
 
