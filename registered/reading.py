@@ -3,10 +3,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered import joined, query, rounded
+from registered.profiles import union
 from registered.tables import EVENTS_WITH_GAPS, events_with_gaps, place
 from seriesloom.functions import text
 from seriesloom.operators import profile
-from seriesloom.sources import catalog, evidence, files, runlog
+from seriesloom.sources import catalog, evidence, files, increments, runlog
 from seriesloom.streaming import alerts, jobs, sketches
 
 
@@ -241,3 +242,35 @@ def stream_alerts(t):
 @query("hourly_monitor", """SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type AS kind, count(*) AS events, round(avg(value), 6) AS mean_value, round(least(0.95, 0.12 + avg(value) / 10), 6) AS drift_score FROM events GROUP BY 1, 2""")
 def hourly_monitor(t):
     return rounded(jobs.hourly_monitor(t("events"), "ts", "event_type", "value"), 6, "mean_value", "drift_score")
+
+
+@query("incremental_profile", union(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS unique_values, 1 AS files_read FROM {EVENTS_WITH_GAPS}""" for c in ("event_id", "user_id", "event_type", "value")))
+def incremental_profile(t):
+    """Three files profiled, a fourth one added: only that one is read, and the profile is that of all rows."""
+    events = events_with_gaps(t).select("event_id", "user_id", "event_type", "value")
+    spark = events.sparkSession
+    folder, store = place(spark, "arriving"), place(spark, "profile")
+    read = lambda paths: spark.read.schema(events.schema).parquet(*paths)
+    events.where("event_id % 4 < 3").repartition(3).write.parquet(f"{folder}/first")
+    increments.refresh_profile(spark, folder, store, read)
+    events.where("event_id % 4 = 3").coalesce(1).write.parquet(f"{folder}/second")
+    added = increments.refresh_profile(spark, folder, store, read)
+    return increments.folder_profile(spark, store).select("column", "rows", "missing", "unique_values", F.lit(len(added)).alias("files_read"))
+
+
+@query("scan_csv_rejects", """SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'bad value' WHEN o_orderkey % 50 = 1 THEN 'bad width' ELSE 'read' END AS outcome,
+ count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1""")
+def scan_csv_rejects(t):
+    """A folder with broken lines: each is in exactly one of the two results."""
+    key = F.col("o_orderkey")
+    price = F.when(key % 50 == 0, "n/a").when(key % 50 == 1, F.concat(F.col("o_totalprice").cast("string"), F.lit(",extra"))).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", key, F.concat(F.lit('"'), "o_orderpriority", F.lit(', x"')), price)
+    path = place(t("orders").sparkSession, "broken-csv")
+    # Whole lines as the only column, so that nothing is quoted anew.
+    lines = t("orders").select(line.alias("key,priority,price"))
+    lines.repartition(4).write.option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    read, rejects = files.scan_csv_rejects(lines.sparkSession, path, "key long, priority string, price double")
+    both = read.select(F.lit("read").alias("outcome"), "key").unionByName(
+        rejects.select(F.col("reason").alias("outcome"), F.regexp_extract("record", "^[0-9]+", 0).cast("long").alias("key")))
+    return both.groupBy("outcome").agg(F.count("*").alias("rows"), F.sum("key").alias("keys"))

@@ -7,15 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
-from seriesloom.operators.frames import nan_to_null
+from seriesloom.operators.frames import col, nan_to_null
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+def scan_csv(
+    spark: SparkSession, path: str | list[str], schema: str | None = None, multi_line: bool = False, encoding: str | None = None,
+) -> DataFrame:
     """CSV with header and inferred types; a file with text that is not UTF-8 is read as latin-1, the others are not.
 
     Give ``schema`` for big folders: inference reads the data once more. ``multi_line`` allows line breaks inside quotes, at the price of
-    one task per file.
+    one task per file. With ``encoding`` the texts are not looked through for their encoding first.
     """
+    if encoding:
+        told = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", encoding)
+        return nan_to_null(told.schema(schema).csv(path) if schema else told.option("inferSchema", True).csv(path))
     files = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.max(~F.is_valid_utf8("value")).alias("broken"))
     broken = {r["path"]: r["broken"] for r in files.collect()}  # one row per file
     read = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
@@ -31,6 +36,29 @@ def scan_csv(spark: SparkSession, path: str, schema: str | None = None, multi_li
     return nan_to_null(both if schema else _typed(both))
 
 
+def scan_csv_rejects(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that the schema reads, and the others as ``file, block, record, reason``: text that one scan would turn into silent nulls.
+
+    A record is rejected when a value does not fit its column (``bad value``) or when it has fewer or more fields than the header (``bad
+    width``). ``file`` and ``block`` (the offset of the block that the scan split off) tell where it stands, ``record`` is the line itself.
+    Empty fields are nulls, not errors; NaN is missing. Both results come from the same scan of every column.
+    """
+    names = spark.createDataFrame([], schema).columns
+    read = spark.read.schema(f"{schema}, _record string").option("header", True).option("escape", '"').option("columnPruning", False)
+    frame = read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").csv(path)
+    found = frame.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    # Always true; names every column, so that a count of the rejects still parses all values (Spark refuses to read the record alone).
+    found = found.where(F.xxhash64(*map(col, names)) >= F.lit(-2**63))
+    broken = F.col("_record").isNotNull()
+    quoted = F.regexp_replace("_record", r'"(?:[^"]|"")*"', "")  # separators inside quotes do not count
+    width = F.length(quoted) - F.length(F.replace(quoted, F.lit(","), F.lit(""))) + 1
+    rejects = found.where(broken).select(
+        F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_record").alias("record"),
+        F.when(width != len(names), "bad width").otherwise("bad value").alias("reason"),
+    )
+    return nan_to_null(found.where(~broken).select(*map(col, names))), rejects
+
+
 def _typed(text: DataFrame) -> DataFrame:
     """All-text columns as the narrowest of long, double, timestamp and text that reads every value."""
     kinds = ("bigint", "double", "timestamp")

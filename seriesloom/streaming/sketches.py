@@ -72,8 +72,12 @@ def stream_profile(stream: DataFrame, columns: Sequence[str], path: str, checkpo
     return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merged_counts(spark: SparkSession, path: str) -> list[DataFrame]:
-    """``column, value, rows`` over all batches, one frame per kind of value."""
+def _of(parts: DataFrame, batches: Sequence[int] | None) -> DataFrame:
+    return parts if batches is None else parts.where(F.col("batch").isin(list(batches)))
+
+
+def merged_counts(spark: SparkSession, path: str, batches: Sequence[int] | None = None) -> list[DataFrame]:
+    """``column, value, rows`` over all (or the given) batches, one frame per kind of value."""
     frames = []
     for kind in ("bigint", "double", "string", "timestamp_ntz", *[f"decimal_38_{s}" for s in range(39)]):
         try:
@@ -82,25 +86,25 @@ def merged_counts(spark: SparkSession, path: str) -> list[DataFrame]:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             continue
-        frames.append(counts.groupBy("column", "value").agg(F.sum("rows").alias("rows")))
+        frames.append(_of(counts, batches).groupBy("column", "value").agg(F.sum("rows").alias("rows")))
     return frames
 
 
-def reconcile(spark: SparkSession, path: str, top: int = 3) -> DataFrame:
-    """``column, rows, missing, mean, std, lowest, highest, q1, median, q3, distinct_estimate, unique_values, top_values`` of all batches so far.
+def reconcile(spark: SparkSession, path: str, top: int = 3, batches: Sequence[int] | None = None) -> DataFrame:
+    """``column, rows, missing, mean, std, lowest, highest, q1, median, q3, distinct_estimate, unique_values, top_values`` of all batches so far, or of the given ones.
 
     Rows, missing, extremes, ``unique_values`` and ``top_values`` (text, most frequent first, ties to the smaller value) are exact. The quartiles' ranks
     are off by RANK_ERROR of the rows at most, ``distinct_estimate`` by DISTINCT_ERROR: they cost one row per column and
     batch, where the exact counts cost one row per distinct value and batch. NaN is missing. A column without any value has 0 distinct values and no top ones.
     """
-    facts = spark.read.parquet(f"{path}/facts")
+    facts = _of(spark.read.parquet(f"{path}/facts"), batches)
     sketched = facts.groupBy("column").agg(
         F.kll_merge_agg_double("quantiles", SKETCH_K).alias("_q"), F.hll_union_agg("distincts").alias("_d"), F.count("mean").alias("_filled"),
     )
     at = lambda p: F.when(F.col("_filled") > 0, F.kll_sketch_get_quantile_double("_q", F.lit(p)))
     estimates = sketched.select("column", at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), F.hll_sketch_estimate("_d").alias("distinct_estimate"))
     out = merged_profile(facts).join(estimates, "column")
-    tallies = merged_counts(spark, path)
+    tallies = merged_counts(spark, path, batches)
     if not tallies:
         return out.withColumns({"unique_values": F.lit(0).cast("long"), "top_values": F.array().cast("array<string>")})
     exact = distinct_of(tallies).select("column", "unique_values").join(tops_of(tallies, top), "column")
