@@ -43,3 +43,18 @@ def test_nested_columns_are_counted(spark):
     assert cleaning.plan_encoding(frame.drop("open")).names == []
     tops = {r["column"]: r["top_values"] for r in profile.top_values(frame, ["a", "s"], 2).collect()}
     assert tops == {"a": ["[0, 1]", "[1, 1]"], "s": ["{0}", "{1}"]}
+
+def test_dotted_names(spark):
+    """A header with dots is a name in every profile and cleaning step, NaN is missing in their moments."""
+    df = spark.createDataFrame([(1.0, "a", 5), (math.nan, "b", 6), (3.0, None, 7), (2.0, "a", 8)] * 5, "`x.y` double, `t.u` string, `n.` long")
+    row = profile.describe_numeric(df, ["x.y"]).first()
+    assert (row["mean"], row["q2"], row["min"], row["max"]) == (2.0, 2.0, 1.0, 3.0)
+    found = {r["column"]: r for r in profile.column_profile(df).collect()}
+    assert found["x.y"].missing_percent == 25.0 and found["x.y"].unique_values == 3 and found["t.u"].top_values == ["a", "b"]
+    assert {r["column"]: r["missing"] for r in profile.missing_report(df).collect()} == {"x.y": 5, "t.u": 5}
+    assert profile.numeric_moments(df, ["x.y"]).first()["mean"] == 2.0 and profile.outlier_counts(df, ["x.y"]).first()["outliers"] == 0
+    filled = cleaning.impute_categorical_auto(cleaning.impute_median(df.replace(math.nan, None), ["x.y"]), ["t.u"])
+    assert filled.where("`x.y` IS NULL OR `t.u` IS NULL").count() == 0
+    clean, report = cleaning.prepare_frame(df, "n.")
+    assert clean.columns[:3] == ["x.y", "t.u", "n."] and clean.where("`x.y` IS NULL").count() == 0 and report.fills == {"t.u": "Unknown"}
+    assert {"onehot_t.u_a", "onehot_t.u_b"} <= set(cleaning.encode_auto(df, cleaning.plan_encoding(df, ["t.u"])).columns)
