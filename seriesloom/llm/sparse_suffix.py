@@ -5,7 +5,8 @@ choice depends on content alone, so every window of ``min_words`` words has exac
 the same place. A kept suffix carries a digest of everything its windows see (at most min_words - seed_words words to the left and
 min_words to the right) and a digest per window. The suffixes are range-partitioned and sorted by (seed, surroundings, document,
 position): neighbours with one seed agree on seed_words words, neighbours with one digest agree as far as any of their windows
-reaches. Only neighbours that share a seed and differ in their surroundings are extended to the left and right, window by window.
+reaches. Neighbours that share a seed and differ in their surroundings are not extended word by word: a second shuffle groups
+them by the digests of the windows to their left and right.
 """
 
 from __future__ import annotations
