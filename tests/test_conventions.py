@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.functions import names, stats, text
+from seriesloom.functions import domains, names, stats, text
 from seriesloom.operators import associations, profile, quantiles
 
 
@@ -116,3 +116,17 @@ def test_corr_matrix_with_gaps_and_constants(frame):
     assert len(got) == 15
     assert got["a", "b"] == pytest.approx(pdf["a"].corr(pdf["b"])) and got["b", "k"] == pytest.approx(pdf["b"].corr(pdf["k"]))
     assert got["a", "twice"] == pytest.approx(1) and got["a", "flat"] is None and got["a", "none"] is None and got["b", "flat"] is None
+
+
+def test_use_case_of_each_domain(spark):
+    texts = ["Power, load and grid price", "market stock cost", "nothing known", "supply chain"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(domains.domain_by_tokens(F.col("t")).alias("d"))
+    rows = df.select(domains.use_case(F.col("d"), True), domains.use_case(F.col("d"), False)).collect()
+    assert [tuple(r) for r in rows] == [
+        ("energy demand forecasting and grid optimization", "energy consumption analysis and segmentation"),
+        ("price forecasting and risk modeling", "financial pattern analysis"),
+        ("forecasting and operational planning", "exploratory analysis and predictive modeling"),
+        ("supply chain disruption prediction and resilience scoring",) * 2,
+    ]
+    other = spark.createDataFrame([("commerce",), (None,)], "d string").select(domains.use_case(F.col("d"), True))
+    assert [r[0] for r in other.collect()] == ["forecasting and operational planning"] * 2
