@@ -17,6 +17,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     high, low = F.greatest(a, b).alias("v"), F.least(a, b).alias("u")
     edges = stored(links.where(F.col(a) != F.col(b)).select(high, low).distinct(), "links")
+    if edges.isEmpty():
+        return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
     while True:
         # large star: every larger neighbour of a node links to the smallest node around it
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -28,8 +30,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select("v", F.col("m").alias("u")).unionByName(small.where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")))
         after = stored(small.distinct(), "links")
         # done when the links are stars already: one link a node, and no root is linked on
-        heads = after.groupBy("v").agg(F.count("*").alias("n"))
-        roots = after.select(F.col("u").alias("v")).distinct()
-        if heads.where("n > 1").isEmpty() and heads.join(roots, "v").isEmpty():
+        ends = after.select(F.col("v").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(after.select(F.col("u").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR below = 1 AND above = 1").isEmpty():
             return after.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(after.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
         edges = after

@@ -92,18 +92,32 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, na, nb) whose similarity is ``least`` or more; those whose sizes rule it out go before any set is moved."""
+    """(ra, rb) of the pairs (a, b) whose similarity is ``least`` or more; those whose sizes rule it out go before any set is moved."""
     fit = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
-    pairs = pairs.where(fit).select("a", "b").distinct()
+    pairs = stored(pairs.where(fit).select("a", "b", "ra", "rb").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs.select("ra", "rb")
     both = pairs.join(sets.withColumnsRenamed({"fp": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "own": "y"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             near = [similarity(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) >= least for i in range(len(x))]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            yield batch.select(["ra", "rb"]).filter(pa.array(near, pa.bool_()))
 
-    return in_arrow(both.select("a", "b", "x", "y"), run, "a long, b long")
+    return in_arrow(both.select("ra", "rb", "x", "y"), run, "ra long, rb long")
+
+
+def _joined(roots: DataFrame, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """``roots`` (node, root) with the similar ones of the pairs (a, b, na, nb, ra, rb) linked as well, or None if there are none.
+
+    Only the roots ra and rb are linked anew, as what lies below them is connected already.
+    """
+    more = components(_similar(pairs, sets, least), "ra", "rb")
+    if more.isEmpty():
+        return None
+    moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return stored(moved.unionByName(more.join(roots, "node", "left_anti")), "roots")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -112,25 +126,27 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _roots(bands: DataFrame, sets: DataFrame, least: float, pairs_below: int) -> DataFrame:
     """(node, root) of all sets that similar pairs connect; ``bands`` holds (fp, n, bands)."""
-    links = sets.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    roots = sets.select(F.col("fp").alias("node"), F.col("fp").alias("root")).where("false")
     level = bands.select("fp", "n", F.posexplode("bands").alias("at", "key"), F.col("fp").alias("root"))
     for _ in range(BANDS):
         head = F.min(F.struct("fp", "n", "root")).alias("head")
         level = stored(level.join(level.groupBy("key").agg(F.count("*").alias("many"), head).where("many > 1"), "key"), "buckets")
-        star = level.where("fp != head.fp AND root != head.root").select(F.col("head.fp").alias("a"), F.col("fp").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"))
-        links = stored(links.unionByName(_similar(star, sets, least)), "similar")
-        known = _with_roots(level.drop("head"), components(links))
+        star = level.where("fp != head.fp AND root != head.root")
+        star = star.select(F.col("head.fp").alias("a"), F.col("fp").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.root").alias("ra"), F.col("root").alias("rb"))
+        after, known = _joined(roots, star, sets, least), level.drop("head")
+        if after is not None:
+            roots, known = after, _with_roots(known, after)
         split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
         apart = stored(known.join(split, "key"), "open")
         one = apart.where(F.col("many") <= pairs_below).select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         pairs = one.join(one.withColumnsRenamed({"a": "b", "na": "nb", "ra": "rb"}), "key").where("a < b AND ra != rb")
-        links = stored(links.unionByName(_similar(pairs.select("a", "b", "na", "nb"), sets, least)), "similar")
-        roots = components(links)
-        large = apart.where(F.col("many") > pairs_below)
+        after, large = _joined(roots, pairs, sets, least), apart.where(F.col("many") > pairs_below)
+        if after is not None:
+            roots, large = after, _with_roots(large, after)
         if large.isEmpty():
             return roots
         # the next band is one of the NEXT that follow the last in a circle: a pair has many such chains of common bands
-        finer = _with_roots(large, roots).select("fp", "n", "root", "key", "at").join(bands.select("fp", "bands"), "fp")
+        finer = large.select("fp", "n", "root", "key", "at").join(bands.select("fp", "bands"), "fp")
         finer = finer.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda k: (F.col("at") + k) % BANDS)))
         level = finer.select("fp", "n", "at", F.xxhash64("key", F.get("bands", F.col("at"))).alias("key"), "root")
     return roots

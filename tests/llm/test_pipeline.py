@@ -95,6 +95,25 @@ def test_copies_of_any_similarity_go(spark, below):
     assert sum(d < 1000 for d in kept) < 100
 
 
+def test_links_are_followed_once(spark, monkeypatch):
+    """What is connected already is not handed to the search for components again, and an empty search makes no round."""
+    draw, calls, found = random.Random(5), [], shingle_copies.components
+
+    def watched(links, a="a", b="b"):
+        calls.append([tuple(r) for r in links.select(a, b).distinct().collect()])
+        return found(links, a, b)
+
+    monkeypatch.setattr(shingle_copies, "components", watched)
+    rows = []
+    for group in range(6):
+        words = [f"w{draw.randrange(50_000)}" for _ in range(300)]
+        rows += [(group * 10 + k, " ".join([*words[:200], f"x{draw.randrange(50_000)}", *words[200:]])) for k in range(4)]
+    kept = shingle_copies.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), radius=0)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 10, 20, 30, 40, 50]
+    links = [link for call in calls for link in call]
+    assert links and len(links) == len(set(links))
+
+
 @pytest.mark.parametrize("share", [0.8, 0.85, 0.9, 0.95])
 def test_recall_in_large_buckets(spark, share):
     """Texts that share most shingles but are no copies fill large buckets; copies among them are found all the same."""
