@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import compress
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -27,29 +27,33 @@ LEAST_SIDE = 32  # classes, and members of a class
 SIDE = 3  # neighbours on each side
 WIDTH = 16
 _PIECE = 1 << 20
-_KEPT_WORDS = 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_table(docs: DataFrame, text: str) -> DataFrame:
-    """(word, n) over all texts, counted in each task before the shuffle; a task holds a bounded number of words."""
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``words_of`` of all texts in a row, and the text of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # blanks at either end of a text leave an empty word there
+    return words.filter(full).cast(pa.binary()), pc.list_parent_indices(lists).filter(full).to_numpy().astype(np.int64)
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
 
-    def emit(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+def word_table(docs: DataFrame, text: str) -> DataFrame:
+    """(word, n) over all texts, counted in each task, piece by piece, before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
             texts = batch.column(0)
-            for i in range(len(texts)):
-                counts.update(words_of(texts[i].as_py()))
-                if len(counts) > _KEPT_WORDS:
-                    yield emit(counts)
-                    counts = Counter()
-        yield emit(counts)
+            for a, b in row_slices(texts, 8 * _PIECE):
+                found = split_words(texts.slice(a, b - a))[0].value_counts()
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
     return in_arrow(docs.select(text), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -59,22 +63,18 @@ def side_of(tokens: int) -> int:
     return max(LEAST_SIDE, round(2 * tokens ** (1 / 6)))
 
 
-class Encoder(dict):
-    """Word to number; the slots of rare words are looked up once and kept while they are few."""
-
-    def __init__(self, numbers: dict[bytes, int], common: int, slots: int):
-        super().__init__(numbers)
-        self.numbers, self.common, self.slots = numbers, common, slots
+@dataclass
+class Encoder:
+    """Word to number; rare words have the slot of their hash."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.numbers) + _KEPT_WORDS:
-            self.clear()
-            self.update(self.numbers)
-        slot = self[word] = self.common + zlib.crc32(word) % self.slots
-        return slot
+    numbers: dict[bytes, int]
+    common: int
+    slots: int
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        own = np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
+        hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(self.slots)
+        return np.where(own < 0, self.common + hashed.astype(np.int32), own)
 
 
 @dataclass
@@ -159,10 +159,13 @@ class Network:
         of_class, member = np.minimum(target // self.side, self.side - 1), target % self.side
         scores = self.out.T @ hidden
         scores[: self.side] += self.class_base
-        scores[self.side :] += np.take(self.member_base, of_class, axis=1)
+        scores[self.side :] += np.take(self.member_base, of_class, axis=1, mode="clip")
         columns, found = np.arange(len(target)), 0.0
+        # as tanh is below 1 and some base is -log(side) or more, sums stay in range without the maxima while the weights are small
+        small = np.abs(self.out).sum(axis=0).max() < 40
         for part, right in ((scores[: self.side], of_class), (scores[self.side :], member)):
-            part -= part.max(axis=0)
+            if not small:
+                part -= part.max(axis=0)
             found = found + part[right, columns]
             np.exp(part, out=part)
             total = part.sum(axis=0)
@@ -191,22 +194,25 @@ class Network:
         self.flat -= rate * gradient / np.sqrt(squares)
 
 
-def stretches(column: pa.Array, units: int, encoder: Encoder, tails: list[Counter] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def stretches(column: pa.Array, units: int, encoder: Encoder, tails: list[tuple[pa.Array, pa.Array]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(numbers, row) of the words of a column; SIDE edge signs stand before and behind each text, with row -1.
 
-    ``tails`` receives how often each word without a number of its own stands in each text.
+    ``tails`` receives for each stretch the words without a number of their own and how often each stands, as lists by text.
     """
-    edge, none = np.full(SIDE, units, np.int32), np.full(SIDE, -1, np.int64)
     for a, b in row_slices(column, _PIECE):
-        ids, rows = [edge], [none]
-        for i in range(a, b):
-            words = words_of(column[i].as_py())
-            own = encoder.encode(words)
-            ids += [own, edge]
-            rows += [np.full(len(own), i), none]
-            if tails is not None:
-                tails.append(Counter(compress(words, (own >= encoder.common).tolist())))
-        yield np.concatenate(ids), np.concatenate(rows)
+        words, of = split_words(column.slice(a, b - a))
+        words = words.dictionary_encode()
+        at, own = words.indices.to_numpy(), encoder.encode(as_bytes(words.dictionary))
+        ids, rows = np.full(len(of) + SIDE * (b - a + 1), units, np.int32), np.full(len(of) + SIDE * (b - a + 1), -1, np.int64)
+        places = np.arange(len(of)) + SIDE * (of + 1)
+        ids[places], rows[places] = own[at], of + a
+        if tails is not None:
+            rare, many = own[at] >= encoder.common, max(1, len(own))
+            found, times = np.unique(of[rare] * many + at[rare], return_counts=True)
+            ends = pa.array(np.searchsorted(found, np.arange(b - a + 1) * many), pa.int32())
+            tail = words.dictionary.take(pa.array(found % many, pa.int64()))
+            tails.append((pa.ListArray.from_arrays(ends, tail), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))))
+        yield ids, rows
 
 
 def train(docs: DataFrame, words: Vocabulary, text: str = "text", step: int = 4096, rate: float = 0.1) -> np.ndarray:
@@ -264,7 +270,7 @@ def scored(docs: DataFrame, words: Vocabulary, flat: np.ndarray, text: str = "te
                     real = owner >= 0
                     total += np.bincount(owner[real], found[real], len(column))
                     count += np.bincount(owner[real], minlength=len(column))
-            tail, times = pa.array([list(t) for t in tails], pa.list_(pa.binary())), pa.array([list(t.values()) for t in tails], pa.list_(pa.int64()))
+            tail, times = (pa.concat_arrays([pa.array([], kind), *lists]) for kind, lists in zip((pa.list_(pa.binary()), pa.list_(pa.int64())), zip(*tails) if tails else ((), ())))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(count), pa.array(total), tail, times], schema.names)
 
     # written, as the rows' numbers must not change between the sums and what they are added to

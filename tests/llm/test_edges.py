@@ -2,8 +2,10 @@
 
 import collections
 import math
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import covering_simhash, entropy_mixing, fertility_rules, fm_decontaminate, fm_index, hierarchical_quality, language_mixture
@@ -351,6 +353,24 @@ def test_words_of_a_slot_share_its_probability(spark):
     assert abs(sum(map(math.exp, alone.values())) - 1) < 0.01
 
 
+def test_words_and_tails_of_a_whole_column():
+    """Split as a column, the words, their numbers and the counts of rare ones are those of each text on its own."""
+    draw = random.Random(4)
+    letters = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u3000aAbB\u00e9\u00c9\u0130.\U0001f389"
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randrange(14))) for _ in range(500)] + [None, "", "  ", " a b "]
+    column = pa.array(texts, pa.string())
+    words, of = pseudo_likelihood.split_words(column)
+    each = [pseudo_likelihood.words_of(t) for t in texts]
+    assert list(zip(words.to_pylist(), of.tolist())) == [(w, i) for i, own in enumerate(each) for w in own]
+    encoder, tails = pseudo_likelihood.Encoder({b"a": 0, b"b": 1}, 2, 3), []
+    [(ids, rows)] = pseudo_likelihood.stretches(column, 5, encoder, tails)
+    edge, side = [5] * pseudo_likelihood.SIDE, pseudo_likelihood.SIDE
+    assert ids.tolist() == edge + [n for own in each for n in [*encoder.encode(own).tolist(), *edge]]
+    assert rows.tolist() == [-1] * side + [n for i, own in enumerate(each) for n in [*[i] * len(own), *[-1] * side]]
+    [(tail, times)] = tails
+    assert [dict(zip(*pair)) for pair in zip(tail.to_pylist(), times.to_pylist())] == [dict(collections.Counter(w for w in own if w not in (b"a", b"b"))) for own in each]
+
+
 def test_the_vocabulary_grows_with_the_corpus():
     sides = [pseudo_likelihood.side_of(n) for n in (0, 10**6, 10**8, 10**10)]
     assert sides == sorted(sides) and sides[0] == sides[1] < sides[2] < sides[3]
