@@ -23,6 +23,9 @@ _shipped: set[str] = set()
 #: Bytes that separate words: space and tab to carriage return.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
+#: Narrow rows that are worth a task and a file of their own.
+ROWS_A_TASK = 16_384
+
 
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, as --py-files does, once per application."""
@@ -55,6 +58,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """The table, which has ``rows`` narrow rows at most, in no more partitions than these need; never in fewer than there are cores.
+
+    What a shuffle deals out is gathered again as Spark does where it may coalesce partitions by itself; large tables stay as they are.
+    """
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+    return df.coalesce(parts) if parts < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that the table does not use, whatever the case of its letters."""
     taken, name = {c.lower() for c in df.columns}, base

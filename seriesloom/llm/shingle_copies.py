@@ -3,14 +3,15 @@
 A pair of similarity s agrees in all rows of a band with s^ROWS, and in no band with (1 - s^ROWS)^BANDS: five in a million at 0.8, six in
 a billion at 0.85. No link is made without the similarity itself.
 
-The members of a bucket are compared with its smallest only. What no link connects then is compared in pairs in small buckets; large ones
-are split by a second band, one of the four that follow, and by further ones until none is large, so that nothing grows with the square of a
-bucket's size. A pair at 0.8 has 11 such twos of common bands on average, and as many threes and fours.
+The members of a bucket are compared with its smallest only. Where no link connects them then, large buckets are split by a second band, one
+of the four that follow, and by further ones until none is large; at last what is open in small buckets is compared in pairs, all at once, so
+that nothing grows with the square of a bucket's size. A pair at 0.8 has 11 such twos of common bands on average, and as many threes and fours.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from seriesloom.llm.components import components
 from seriesloom.llm.covering_simhash import named, simhash
-from seriesloom.llm.shared import free_name, in_arrow, keyed, stored
+from seriesloom.llm.shared import few, free_name, in_arrow, keyed, stored
 
 BANDS, ROWS = 40, 6
 NEXT = 4
@@ -91,10 +92,10 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return in_arrow(rows, run, "fp long, own binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(ra, rb) of the pairs (a, b) whose similarity is ``least`` or more; those whose sizes rule it out go before any set is moved."""
+def _similar(pairs: DataFrame, most: int, sets: DataFrame, least: float) -> DataFrame:
+    """(ra, rb) of the pairs (a, b), ``most`` at most, whose similarity is ``least`` or more; those whose sizes rule it out go before any set is moved."""
     fit = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
-    pairs = stored(pairs.where(fit).select("a", "b", "ra", "rb").distinct(), "pairs")
+    pairs = stored(few(pairs.where(fit).select("a", "b", "ra", "rb").distinct(), most), "pairs")
     if pairs.isEmpty():
         return pairs.select("ra", "rb")
     both = pairs.join(sets.withColumnsRenamed({"fp": "a", "own": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "own": "y"}), "b")
@@ -108,16 +109,18 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return in_arrow(both.select("ra", "rb", "x", "y"), run, "ra long, rb long")
 
 
-def _joined(roots: DataFrame, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
-    """``roots`` (node, root) with the similar ones of the pairs (a, b, na, nb, ra, rb) linked as well, or None if there are none.
+def _joined(roots: DataFrame, pairs: DataFrame, most: int, sets: DataFrame, least: float) -> DataFrame | None:
+    """``roots`` (node, root) with the similar ones of the ``most`` pairs (a, b, na, nb, ra, rb) at most linked as well, or None if there are none.
 
     Only the roots ra and rb are linked anew, as what lies below them is connected already.
     """
-    more = components(_similar(pairs, sets, least), "ra", "rb")
-    if more.isEmpty():
+    more = components(_similar(pairs, most, sets, least), "ra", "rb")
+    count = more.count()
+    if not count:
         return None
     moved = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return stored(moved.unionByName(more.join(roots, "node", "left_anti")), "roots")
+    after = moved.unionByName(more.join(roots, "node", "left_anti"))
+    return stored(few(after, roots.count() + count), "roots")
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -125,31 +128,37 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _roots(bands: DataFrame, sets: DataFrame, least: float, pairs_below: int) -> DataFrame:
-    """(node, root) of all sets that similar pairs connect; ``bands`` holds (fp, n, bands)."""
+    """(node, root) of all sets that similar pairs connect; ``bands`` holds (fp, n, bands).
+
+    What stays open in small buckets, of all bands and levels, is compared in one go at the end.
+    """
     roots = sets.select(F.col("fp").alias("node"), F.col("fp").alias("root")).where("false")
-    level = bands.select("fp", "n", F.posexplode("bands").alias("at", "key"), F.col("fp").alias("root"))
+    level, small = bands.select("fp", "n", F.posexplode("bands").alias("at", "key"), F.col("fp").alias("root")), []
+    count = BANDS * bands.count()
     for _ in range(BANDS):
-        head = F.min(F.struct("fp", "n", "root")).alias("head")
-        level = stored(level.join(level.groupBy("key").agg(F.count("*").alias("many"), head).where("many > 1"), "key"), "buckets")
+        heads = level.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("fp", "n", "root")).alias("head")).where("many > 1")
+        level = stored(few(level.join(few(heads, count), "key"), count), "buckets")
+        count = level.count()
         star = level.where("fp != head.fp AND root != head.root")
         star = star.select(F.col("head.fp").alias("a"), F.col("fp").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.root").alias("ra"), F.col("root").alias("rb"))
-        after, known = _joined(roots, star, sets, least), level.drop("head")
-        if after is not None:
-            roots, known = after, _with_roots(known, after)
-        split = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        apart = stored(known.join(split, "key"), "open")
-        one = apart.where(F.col("many") <= pairs_below).select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        pairs = one.join(one.withColumnsRenamed({"a": "b", "na": "nb", "ra": "rb"}), "key").where("a < b AND ra != rb")
-        after, large = _joined(roots, pairs, sets, least), apart.where(F.col("many") > pairs_below)
+        after, known = _joined(roots, star, count, sets, least), level.drop("head")
         if after is not None:
-            roots, large = after, _with_roots(large, after)
-        if large.isEmpty():
-            return roots
+            roots, known = after, few(_with_roots(known, after), count)
+        split = few(known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), count)
+        apart = stored(few(known.join(split, "key"), count), "open")
+        small.append(apart.where(F.col("many") <= pairs_below).select("key", "fp", "n"))
+        large = apart.where(F.col("many") > pairs_below)
+        count = large.count()
+        if not count:
+            break
         # the next band is one of the NEXT that follow the last in a circle: a pair has many such chains of common bands
-        finer = large.select("fp", "n", "root", "key", "at").join(bands.select("fp", "bands"), "fp")
+        finer = few(large.select("fp", "n", "root", "key", "at").join(bands.select("fp", "bands"), "fp"), count)
         finer = finer.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda k: (F.col("at") + k) % BANDS)))
-        level = finer.select("fp", "n", "at", F.xxhash64("key", F.get("bands", F.col("at"))).alias("key"), "root")
-    return roots
+        level, count = stored(finer.select("fp", "n", "at", F.xxhash64("key", F.get("bands", F.col("at"))).alias("key"), "root"), "finer"), NEXT * count
+    one = _with_roots(reduce(DataFrame.unionByName, small), roots).select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    pairs = one.join(one.withColumnsRenamed({"a": "b", "na": "nb", "ra": "rb"}), "key").where("a < b AND ra != rb")
+    after = _joined(roots, pairs, one.count() * pairs_below // 2, sets, least)
+    return roots if after is None else after
 
 
 def drop_copies(

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from seriesloom.llm import covering_simhash, fertility_rules, shingle_copies
+from seriesloom.llm import components, covering_simhash, fertility_rules, shingle_copies
 from seriesloom.llm.shared import stored
 from tests.llm.test_brute_force import SF, repeats
 
@@ -114,6 +114,44 @@ def test_links_are_followed_once(spark, monkeypatch):
     assert links and len(links) == len(set(links))
 
 
+def test_small_tables_take_few_tasks_and_files(spark, monkeypatch):
+    """Of many shuffle partitions that Spark may not coalesce, a search of few links uses no more than there are cores."""
+    files, kept = [], components.stored
+
+    def watched(df, label):
+        out = kept(df, label)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "stored", watched)
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = components.components(spark.createDataFrame([(i, i + 1) for i in range(400)], "a long, b long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in found) == [(i, 0) for i in range(401)]
+    assert len(files) > 2 and max(files[1:]) <= spark.sparkContext.defaultParallelism
+
+
+def test_open_pairs_are_compared_at_once(spark, monkeypatch):
+    """However often large buckets are split, what stays open in small ones is compared once, and no copy is lost."""
+    draw, labels, calls, kept, found = random.Random(8), [], [], shingle_copies.stored, shingle_copies._similar
+    monkeypatch.setattr(shingle_copies, "stored", lambda df, label: (labels.append(label), kept(df, label))[1])
+    monkeypatch.setattr(shingle_copies, "_similar", lambda *a: (calls.append(1), found(*a))[1])
+    common, rows = [f"c{k}" for k in range(200)], []
+    for group in range(60):
+        own = [f"w{draw.randrange(50_000)}" for _ in range(90)]
+        rows += [(group * 10 + k, " ".join([*common, *own[:45], *[f"x{draw.randrange(50_000)}"] * k, *own[45:]])) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = sorted(r.doc_id for r in shingle_copies.drop_copies(docs, radius=0, pairs_below=8).collect())
+    assert ids == [group * 10 for group in range(60)]
+    assert labels.count("buckets") > 1 and len(calls) == labels.count("buckets") + 1
+
+
 @pytest.mark.parametrize("share", [0.8, 0.85, 0.9, 0.95])
 def test_recall_in_large_buckets(spark, share):
     """Texts that share most shingles but are no copies fill large buckets; copies among them are found all the same."""
