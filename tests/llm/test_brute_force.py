@@ -31,7 +31,7 @@ def rows_of(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cursor = con.execute(queries.ORACLES[name])
