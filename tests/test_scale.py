@@ -1,10 +1,13 @@
 """Work done once and in parts that grow in number, not in size, with the table."""
 
+import datetime as dt
+
 import pytest
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from seriesloom.operators import pairing, profile, rowindex, scoring, trees, validation
+from seriesloom.operators import pairing, profile, scoring, trees, validation
+from seriesloom.plans import rawscoring, training
 
 
 def test_target_counts_values_once(spark, tmp_path, monkeypatch):
@@ -58,3 +61,18 @@ def test_trees_learn_from_small_parts(spark, monkeypatch):
     result = trees.train_trees(frame, "y", ["a"], ["id"], (), "forest", [{"numTrees": 2, "maxDepth": 2}], 2)
     assert len(seen) == 3 and all(len(s) >= 20 and max(s) <= 150 for s in seen)
     assert (result.train_rows, result.test_rows) == (1000, 200)
+
+
+def test_only_rows_to_score_and_their_reach_are_predicted(spark, tmp_path, monkeypatch):
+    """Rows further back than any feature looks are read, ordered and used to fill gaps, but get no features and no prediction of their own."""
+    rows = [(i, dt.datetime(2020, 1, 1) + dt.timedelta(days=i // 2), 10.0 + i % 7, f"g{i % 2}", float(i % 5) if i < 6 else None if i % 3 else 4.0) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, when timestamp_ntz, sales double, region string, size double")
+    grid = [{"numTrees": 3, "maxDepth": 3}]
+    run = training.train_and_report(frame, "sales", ["id"], "when", ["region"], "RandomForest", grid, folds=2, path=str(tmp_path))
+    sizes, predicted = [], rawscoring._predicted
+    monkeypatch.setattr(rawscoring, "_predicted", lambda s, m, f: sizes.append(f.count()) or predicted(s, m, f))
+    last = frame.where("id >= 960")
+    scored = rawscoring.score_rows(spark, f"{tmp_path}/model", last, frame.where("id < 960")).collect()
+    own = {r["id"]: r["predicted"] for r in run.trees.model.transform(run.matrix).collect()}
+    assert len(scored) == 40 and all(r["predicted"] == pytest.approx(own[r["id"]]) for r in scored)
+    assert sizes == [40 + 2 * run.scorer.plan.reach]
